@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, scratch, written
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Without preallocation a small partition's state takes no more disk than its rows need.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def digest(text: Column) -> Column:
@@ -38,8 +42,9 @@ class Dedup:
             F.unhex(digest(F.col(text_col))).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), F.input_file_name().alias("locator")
         )
         rows.write.mode("append").parquet(f"{self.folder}/feed")
-        before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        before = {k: spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         try:
             stream = spark.readStream.schema(rows.schema).parquet(f"{self.folder}/feed")
             known = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
