@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dedup, packing, wavelet
+from . import decontam, dedup, packing, wavelet
 from .common import table
 
 
@@ -34,3 +35,27 @@ QUERIES = {
     "op7_token_wavelet": op7_token_wavelet,
 }
 SQL = {"op4_exact_dedup": OP4_SQL}
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP10_SQL = f"""
+WITH items AS (SELECT item_id, {WORDS_SQL} AS words FROM benchmark),
+cut AS (SELECT item_id, least(len(words), 10) AS n, words, unnest(range(greatest(len(words) - 10, 0) + 1)) AS s FROM items WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, n, list_slice(words, s + 1, s + n) AS w FROM cut),
+docs AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, words, unnest(range(greatest(len(words) - n + 1, 0))) AS s FROM docs, sizes),
+hits AS (SELECT p.doc_id, p.s, p.n, i.item_id FROM places p JOIN windows i ON i.n = p.n AND i.w = list_slice(p.words, p.s + 1, p.s + p.n)),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination
+SQL["op10_benchmark_decontamination"] = OP10_SQL
