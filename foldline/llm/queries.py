@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, packing, wavelet
+from . import decontam, dedup, jaccard, packing, wavelet
 from .common import table
 
 
@@ -59,3 +59,10 @@ FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 QUERIES["op10_benchmark_decontamination"] = op10_benchmark_decontamination
 SQL["op10_benchmark_decontamination"] = OP10_SQL
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
