@@ -16,7 +16,7 @@ import numpy as np
 from .common import chunks
 
 #: Pieces remembered by a worker; beyond it the memo starts anew, so its memory is bounded.
-MEMO = 500_000
+MEMO = 1_200_000
 #: A text with a longer piece goes to the library whole, so no long piece is remembered.
 LONG_PIECE = 200
 _LOADED: dict[str, Encoder] = {}
@@ -39,13 +39,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words_only = words_only
         self.memo: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        #: Of each id whether it ends a word, and how many bytes of text it stands for.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.width = np.zeros(len(self.ends), np.int64)
+        for token, i in vocab.items():
+            self.ends[i], self.width[i] = token.endswith("</w>"), len(token)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def joined(self, words: list[str]) -> list[bytes]:
+        """The same for pieces of letters alone (after a space, unless white space is dropped), as one text."""
+        if not words:
+            return []
+        text = " ".join(words) if self.words_only else "".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        if self.words_only:
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+        else:
+            upto = np.cumsum([len(w.encode()) for w in words])
+            run = np.cumsum(self.width[ids])
+            cuts = np.searchsorted(run, upto) + 1
+            if len(run) != cuts[-1] or (run[cuts - 1] != upto).any():
+                return self.whole(words)
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return self.whole(words)
+        raw, ends = ids.tobytes(), (cuts * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def pieces(self, text: str) -> list[str]:
         if self.words_only:
+            # Lower case is the vocabulary's own first step; for ASCII it is the same here.
+            text = text.lower() if text.isascii() else text
             return text.replace("\n", " ").split(" ")
         return [text] if "\0" in text else text.replace(" ", "\0 ").split("\0")
 
@@ -53,17 +80,22 @@ class Encoder:
         """Whether a piece's ids don't depend on its neighbours."""
         return len(piece) <= LONG_PIECE and (self.words_only or piece[:1] != " " or not (piece[1:2] or " ").isspace())
 
+    def letters(self, piece: str) -> bool:
+        return piece.lower().isalpha() if self.words_only else piece[:1] == " " and piece[1:].isalpha()
+
     def parts(self, piece: str) -> tuple[str, ...]:
         """Letters before trailing punctuation are a split of their own."""
         core = piece.rstrip(string.punctuation)
-        letters = core.lower() if self.words_only else core.removeprefix(" ")
-        return (core, piece[len(core) :]) if len(core) < len(piece) and letters.isalpha() else (piece,)
+        return (core, piece[len(core) :]) if len(core) < len(piece) and self.letters(core) else (piece,)
 
     def learn(self, pieces: list[str]) -> None:
         """Puts pieces into the memo."""
         memo, both = self.memo, {p: self.parts(p) for p in pieces}
-        new = list({x for parts in both.values() for x in parts if x not in memo})
-        memo.update(zip(new, self.whole(new), strict=True))
+        new = {x for parts in both.values() for x in parts if x not in memo}
+        words = [x for x in new if self.letters(x)]
+        other = [x for x in new if not self.letters(x)]
+        memo.update(zip(words, self.joined(words), strict=True))
+        memo.update(zip(other, self.whole(other), strict=True))
         memo.update((p, b"".join(memo[x] for x in parts)) for p, parts in both.items() if len(parts) > 1)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
