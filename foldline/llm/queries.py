@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, jaccard, packing, wavelet
+from . import decontam, dedup, jaccard, packing, pii, wavelet
 from .common import table
 
 
@@ -66,3 +66,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.spans_of(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op2_pii"] = op2_pii
