@@ -87,3 +87,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without the rows that ``dedup`` drops, with all their columns; of repeated rows one stays."""
+    found = dedup(docs, id_col, text_col).filter("group_size > 1")
+    kept = F.col("kept")
+    # Ids of copies: of a dropped row, or of a kept one that comes more than once.
+    copies = found.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    copies = written(copies.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"), kept.alias("__kept")), "copies")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.unhex(digest(F.col(text_col))) == F.col("__digest"))
+    rest = docs.join(broadcast_if_small(copies, 64), same, "left_anti")
+    again = written(copies.filter("__kept"), "again")
+    if again.count():
+        once = docs.join(broadcast_if_small(again, 64), same, "left_semi").dropDuplicates([id_col, text_col])
+        rest = rest.unionByName(once)
+    return rest

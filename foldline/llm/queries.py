@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, jaccard, packing, pii, wavelet
-from .common import table
+from . import decontam, dedup, html, jaccard, langid, licenses, packing, pii, quality, wavelet
+from .common import id_remainder, table
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,3 +73,51 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_pii"] = op2_pii
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), id_remainder("doc_id", 3)
+    scores = quality.scored(docs, table(spark, sf_dir, "labels"), fold != 1)
+    return scores.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = id_remainder("doc_id", 4)
+    found = langid.predict(table(spark, sf_dir, "documents"), fold != 2)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _normalised_sql(text: str) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    marks = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{00A0}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}\x{2026}]+"
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"' ' || regexp_replace(regexp_replace({low}, {quoted(licenses.NOTICE)}, chr(10), 'g'), {quoted(marks)}, ' ', 'g') || ' '"
+    for old, new in licenses.SPELLINGS:
+        words = f"replace({words}, {quoted(f' {old} ')}, {quoted(f' {new} ')})"
+    return f"sha256(trim({words}))"
+
+
+def _license_sql() -> str:
+    rows = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in licenses.KNOWN)
+    return f"""
+WITH known AS (SELECT DISTINCT {_normalised_sql("body")} AS digest, license FROM (VALUES {rows}) k(license, body)),
+docs AS (SELECT doc_id, {_normalised_sql("text")} AS digest FROM documents)
+SELECT doc_id, digest, license, license IS NOT NULL AS licensed FROM docs LEFT JOIN known USING (digest)
+"""
+
+
+QUERIES |= {
+    "op1_html_extraction": op1_html_extraction,
+    "op5_language_id": op5_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op9_quality_classifier": op9_quality_classifier,
+}
+SQL["op8_license_scan"] = _license_sql()
