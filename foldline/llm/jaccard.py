@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, chunks, mix64, small_batches, written
@@ -46,7 +46,7 @@ PERCENT = 80
 #: Longest extension of a prefix, and the cost of verifying a candidate in posting-list entries a shingle.
 EXTEND = 8
 VERIFY = 0.25
-ROUNDS = 3
+ROUNDS = 2
 #: Shingles that a bucket of the first pass should hold, and that a block of rows is closed at.
 BUCKET = 1 << 19
 BLOCK = 1 << 20
@@ -213,23 +213,35 @@ def extension(n: int, counts: np.ndarray, percent: int = PERCENT) -> tuple[int,
 
 
 def prefixes(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, n, l, token: the prefix of each representative that can have a link."""
+    """The prefix of each representative that can have a link, a row a shingle that others have too: node, n, l, how
+    many shingles it has alone, size of the prefix without those, the place in the order, token."""
     tokens = reps.select("node", "n", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
     lists = tokens.join(counts, "token").groupBy("node", "n").agg(F.collect_list("count").alias("counts"), F.collect_list("token").alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
             for row in batch.to_pylist():
                 counts, mine = np.array(row["counts"], np.int64), np.array(row["tokens"], np.int64)
                 order = np.lexsort((mine, counts))
                 more, take = extension(row["n"], counts[order], percent)
-                for col, x in zip(cols, (np.full(take, row["node"]), np.full(take, row["n"]), np.full(take, more), mine[order[:take]]), strict=True):
-                    col.append(x.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["node", "n", "l", "token"])
+                alone = row["n"] - len(counts)
+                for col, x in zip(cols, (row["node"], row["n"], more, alone, take), strict=False):
+                    col.append(np.full(take, x, np.int64))
+                cols[5].append(np.arange(take, dtype=np.int64) + alone)
+                cols[6].append(mine[order[:take]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["node", "n", "l", "alone", "size", "at", "token"])
 
-    return lists.select("node", "n", "counts", "tokens").mapInArrow(run, "node long, n long, l long, token long")
+    return lists.select("node", "n", "counts", "tokens").mapInArrow(run, "node long, n long, l long, alone long, size long, at long, token long")
+
+
+def possible(a: str, b: str, percent: int) -> Column:
+    """Whether two sets that share a shingle can be alike enough, from its places in them: before it they share
+    at most the shorter stretch of shingles that occur elsewhere at all, behind it the shorter rest."""
+    at = lambda side, name: F.col(side.format(name))
+    most = F.least(at(a, "at") - at(a, "alone"), at(b, "at") - at(b, "alone")) + F.least(at(a, "n") - at(a, "at"), at(b, "n") - at(b, "at"))
+    return most * (100 + percent) >= (at(a, "n") + at(b, "n")) * percent
 
 
 def verified(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -260,20 +272,26 @@ def linked(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, label for the representatives that can have a link."""
     posts = written(prefixes(reps, percent), "posts")
     labels = written(posts.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    alike = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
+    # The pivot of a list has the fewest shingles of its own, so it is nearest to the rest; in the second round the
+    # pivot is the nearest of those that the first one didn't join.
+    nearest = F.min(F.struct("alone", F.xxhash64("node").alias("order"), "node", "n", "at", "label")).alias("pivot")
     for turn in range(ROUNDS):
-        here = posts.join(labels, "node").select("token", "node", "n", "label")
-        pivots = here.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "label")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high"))
-        pairs = here.join(pivots.filter("low < high"), "token").filter((F.col("label") != F.col("pivot.label")) & alike(F.col("n"), F.col("pivot.n")))
+        here = posts.join(labels, "node")
+        lists = here.groupBy("token").agg(nearest, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        if turn:
+            lists = here.join(lists.select("token", F.col("pivot.label").alias("done")), "token").filter("label <> done").groupBy("token").agg(nearest)
+        pairs = here.join(lists.select("token", "pivot"), "token").filter((F.col("label") != F.col("pivot.label")) & possible("{}", "pivot.{}", percent))
         pairs = written(pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
         labels = merged(labels, verified(pairs, reps, percent))
     here = posts.join(labels, "node")
     open_lists = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    here = written(here.join(open_lists, "token", "left_semi"), "open")
-    one, two = here.toDF(*[f"{c}_a" if c != "token" else c for c in here.columns]), here.toDF(*[f"{c}_b" if c != "token" else c for c in here.columns])
-    pairs = one.join(two, "token").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & alike(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min(F.least("l_a", "l_b")).alias("l"))
-    pairs = written(pairs.filter("common >= l").select("a", "b"), "pairs")
+    here = written(here.join(open_lists, "token", "left_semi").withColumn("rest", F.col("n") - F.col("alone") - F.col("size")), "open")
+    one, two = (here.toDF(*[c if c == "token" else f"{c}_{side}" for c in here.columns]) for side in "ab")
+    pairs = one.join(two, "token").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & possible("{}_a", "{}_b", percent))
+    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("l_a", "l_b")).alias("l"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
+    # Beyond the shorter prefix, by the order of shingles, at most the rest of its set is shared.
+    enough = (F.col("common") >= F.col("l")) & ((F.col("common") + F.col("rest")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    pairs = written(pairs.filter(enough).select("a", "b"), "pairs")
     return merged(labels, verified(pairs, reps, percent))
 
 
