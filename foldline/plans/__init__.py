@@ -1,6 +1,6 @@
 """Registered queries. Importing the package registers all of them."""
 
-from . import folds, logs, messages, models  # noqa: F401
+from . import flows, folds, logs, messages, models  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -174,11 +174,11 @@ def catalog_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return c.cycles(s.select((F.col("s_suppkey") % 60).alias("name"), ((F.col("s_suppkey") * 7 + 3) % 60).alias("depends_on")))
 
 
-@query(f"WITH e AS (SELECT DISTINCT * FROM ({_EDGES})) SELECT a.s_nationkey AS grp, e.name, e.depends_on FROM e JOIN supplier a ON a.s_suppkey = e.name JOIN supplier b ON b.s_suppkey = e.depends_on AND b.s_nationkey = a.s_nationkey WHERE b.s_suppkey >= a.s_suppkey")
+@query(f"WITH e AS (SELECT DISTINCT * FROM ({_EDGES})) SELECT (a.s_suppkey % 3)::INT AS grp, e.name, e.depends_on FROM e JOIN supplier a ON a.s_suppkey = e.name JOIN supplier b ON b.s_suppkey = e.depends_on AND b.s_suppkey % 3 = a.s_suppkey % 3 WHERE b.s_suppkey >= a.s_suppkey")
 def catalog_order(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier")
     edges = s.filter("s_suppkey < 100 and s_suppkey % 4 <> 0").select((F.col("s_suppkey") % 60).alias("name"), ((F.col("s_suppkey") * 7 + 3) % 60).alias("depends_on")).distinct()
-    return c.out_of_order(s.select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("name"), F.col("s_suppkey").alias("position")), edges)
+    return c.out_of_order(s.select((F.col("s_suppkey") % 3).cast("int").alias("grp"), F.col("s_suppkey").alias("name"), F.col("s_suppkey").alias("position")), edges)
 
 
 @query("SELECT 'removed' AS finding, c_custkey AS name FROM customer WHERE c_custkey % 12 = 0 UNION ALL SELECT 'moved', c_custkey FROM customer WHERE c_custkey % 12 <> 0 AND c_custkey % 10 = 1")
