@@ -283,15 +283,21 @@ def linked(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = here.join(lists.select("token", "pivot"), "token").filter((F.col("label") != F.col("pivot.label")) & possible("{}", "pivot.{}", percent))
         pairs = written(pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
         labels = merged(labels, verified(pairs, reps, percent))
-    here = posts.join(labels, "node")
-    open_lists = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    here = written(here.join(open_lists, "token", "left_semi").withColumn("rest", F.col("n") - F.col("alone") - F.col("size")), "open")
+    # What is left: all pairs of different components in a list. They meet at a shingle within the shorter prefixes that
+    # their sizes call for; there the longer prefixes of both must share enough, before anything is put out.
+    here = posts.join(labels, "node").withColumn("rest", F.col("n") - F.col("alone") - F.col("size"))
+    lists = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    here = written(here.filter(f"(n - at) * 100 >= n * {percent}").join(lists, "token", "left_semi"), "open")
+    whole = posts.join(here.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("prefix"))
+    here = here.join(whole, "node")
     one, two = (here.toDF(*[c if c == "token" else f"{c}_{side}" for c in here.columns]) for side in "ab")
-    pairs = one.join(two, "token").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & possible("{}_a", "{}_b", percent))
-    pairs = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.min(F.least("l_a", "l_b")).alias("l"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
-    # Beyond the shorter prefix, by the order of shingles, at most the rest of its set is shared.
-    enough = (F.col("common") >= F.col("l")) & ((F.col("common") + F.col("rest")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    pairs = written(pairs.filter(enough).select("a", "b"), "pairs")
+    need = (F.col("n_a") + F.col("n_b")) * percent
+    short = (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent) >= need) & possible("{}_a", "{}_b", percent)
+    common = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    # Beyond the prefix that ends first in the order, at most the rest of its set is shared.
+    enough = (common >= F.least("l_a", "l_b")) & ((common + F.greatest("rest_a", "rest_b")) * (100 + percent) >= need)
+    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & short & enough)
+    pairs = written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
     return merged(labels, verified(pairs, reps, percent))
 
 
