@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python. Whole texts travel in these batches, so the row
 #: count bounds the memory of a worker; one very long text still travels alone in its row.
-ARROW_ROWS = 64
-ARROW_BYTES = 16 << 20
+ARROW_ROWS = 512
+ARROW_BYTES = 2 << 20
 #: Most bytes that an operator broadcasts, after counting the rows.
 BROADCAST_BYTES = 16 << 20
 

@@ -19,6 +19,8 @@ from .common import chunks
 MEMO = 1_200_000
 #: A text with a longer piece goes to the library whole, so no long piece is remembered.
 LONG_PIECE = 200
+#: Characters looked up together; small, so that what is at hand fits the processor's cache.
+RUN = 50_000
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -74,34 +76,43 @@ class Encoder:
             # Lower case is the vocabulary's own first step; for ASCII it is the same here.
             text = text.lower() if text.isascii() else text
             return text.replace("\n", " ").split(" ")
-        return [text] if "\0" in text else text.replace(" ", "\0 ").split("\0")
+        if "\0" in text or "\n\n" in text:
+            return [text]
+        # A line end between characters that are no white space is a split of its own.
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def apart(self, piece: str) -> bool:
         """Whether a piece's ids don't depend on its neighbours."""
-        return len(piece) <= LONG_PIECE and (self.words_only or piece[:1] != " " or not (piece[1:2] or " ").isspace())
-
-    def letters(self, piece: str) -> bool:
-        return piece.lower().isalpha() if self.words_only else piece[:1] == " " and piece[1:].isalpha()
-
-    def parts(self, piece: str) -> tuple[str, ...]:
-        """Letters before trailing punctuation are a split of their own."""
-        core = piece.rstrip(string.punctuation)
-        return (core, piece[len(core) :]) if len(core) < len(piece) and self.letters(core) else (piece,)
+        if self.words_only or piece in ("", "\n"):
+            return len(piece) <= LONG_PIECE
+        core = piece.removeprefix(" ")
+        return 0 < len(core) and len(piece) <= LONG_PIECE and not core[0].isspace() and not core[-1].isspace()
 
     def learn(self, pieces: list[str]) -> None:
-        """Puts pieces into the memo."""
-        memo, both = self.memo, {p: self.parts(p) for p in pieces}
-        new = {x for parts in both.values() for x in parts if x not in memo}
-        words = [x for x in new if self.letters(x)]
-        other = [x for x in new if not self.letters(x)]
-        memo.update(zip(words, self.joined(words), strict=True))
-        memo.update(zip(other, self.whole(other), strict=True))
-        memo.update((p, b"".join(memo[x] for x in parts)) for p, parts in both.items() if len(parts) > 1)
+        """Puts pieces into the memo. Letters before trailing punctuation are a split of their own."""
+        memo, words, other, later = self.memo, set(), set(), []
+        punctuation, words_only = string.punctuation, self.words_only
+        for piece in pieces:
+            core = piece.rstrip(punctuation)
+            if not (core.lower().isalpha() if words_only else core[:1] == " " and core[1:].isalpha()):
+                other.add(piece)
+            elif len(core) == len(piece):
+                words.add(piece)
+            else:
+                end = piece[len(core) :]
+                later.append((piece, core, end))
+                words.add(core)
+                other.add(end)
+        new = [x for x in words if x not in memo]
+        memo.update(zip(new, self.joined(new), strict=True))
+        new = [x for x in other if x not in memo]
+        memo.update(zip(new, self.whole(new), strict=True))
+        memo.update([(piece, memo[core] + memo[end]) for piece, core, end in later])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers; None is an empty text."""
         out: list[bytes] = []
-        for _, some in chunks(texts):
+        for _, some in chunks(texts, RUN):
             lists = [self.pieces(x) for x in some]
             every = list(chain.from_iterable(lists))
             if len(self.memo) > MEMO:
