@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, scratch, written
 
-#: State on disk. Without preallocation a small partition's state takes no more disk than its rows need.
+#: State on disk. Without preallocation a small partition's state takes no more disk than its rows need; all the
+#: stores of an executor share one bounded memory.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
 }
 
 

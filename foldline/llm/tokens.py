@@ -15,8 +15,8 @@ import numpy as np
 
 from .common import chunks
 
-#: Pieces remembered by a worker; beyond it the memo starts anew, so its memory is bounded.
-MEMO = 1_200_000
+#: Pieces remembered by a worker; beyond it the memo starts anew, so its memory is bounded (about 200 bytes a piece).
+MEMO = 400_000
 #: A text with a longer piece goes to the library whole, so no long piece is remembered.
 LONG_PIECE = 200
 #: Characters looked up together; small, so that what is at hand fits the processor's cache.
@@ -24,22 +24,23 @@ RUN = 50_000
 _LOADED: dict[str, Encoder] = {}
 
 
-def encoder(path: str, words_only: bool) -> Encoder:
+def encoder(path: str, words_only: bool, memo: int = MEMO) -> Encoder:
     """The worker's encoder for a vocabulary file; made once a process."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path, words_only)
+        _LOADED[path] = Encoder(path, words_only, memo)
     return _LOADED[path]
 
 
 class Encoder:
     """words_only: the vocabulary drops white space (else a piece keeps the space before it)."""
 
-    def __init__(self, path: str, words_only: bool) -> None:
+    def __init__(self, path: str, words_only: bool, memo: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words_only = words_only
+        self.most = memo
         self.memo: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         #: Of each id whether it ends a word, and how many bytes of text it stands for.
@@ -115,7 +116,7 @@ class Encoder:
         for _, some in chunks(texts, RUN):
             lists = [self.pieces(x) for x in some]
             every = list(chain.from_iterable(lists))
-            if len(self.memo) > MEMO:
+            if len(self.memo) > self.most:
                 self.memo.clear()
             found = list(map(self.memo.get, every))
             missing = [i for i, x in enumerate(found) if x is None]

@@ -29,6 +29,8 @@ from .tokens import encoder
 MAGIC = b"FLWM"
 #: A shard ends with the document that brings it to so many tokens.
 SHARD_TOKENS = 1_000_000
+#: Pieces that the encoder remembers; pieces with their case and spaces are many.
+MEMO = 1_200_000
 #: Bits between two entries of the rank directory.
 RANK_BITS = 512
 
@@ -156,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, to: str, end_id: int = 0, shard_tok
     id_type = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, words_only=False).encode
+        encode = encoder(path, words_only=False, memo=MEMO).encode
         ids: list = []
         parts: list[bytes] = []
         held, first, shard = 0, 0, 0
