@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldline.llm import decontam, dedup, jaccard, packing, quality
-from foldline.llm.common import broadcast_if_small, id_remainder, table, written
+from foldline.llm.common import broadcast_if_small, id_remainder, spare, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
-    found = jaccard.similar(docs)
-    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col("__gone"), "left_anti")
+    found, name = jaccard.similar(docs), spare(docs, "_gone_id")
+    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, spare, written
 
 WINDOW = 10
 SHINGLE = 3
@@ -128,6 +128,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with all their columns."""
     found = written(contaminated(docs, benchmark).select("k1", "k2"), "contaminated")
     key = row_key(F.col("doc_id"), F.col("text"))
-    # Unusual names, so that no column of the documents clashes.
-    found = broadcast_if_small(found.toDF("__k1", "__k2"), 32)
-    return docs.join(found, (key[0] == F.col("__k1")) & (key[1] == F.col("__k2")), "left_anti")
+    one, two = spare(docs, "_key_1"), spare(docs, "_key_2")
+    found = broadcast_if_small(found.toDF(one, two), 32)
+    return docs.join(found, (key[0] == F.col(one)) & (key[1] == F.col(two)), "left_anti")

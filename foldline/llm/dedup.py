@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, scratch, written
+from .common import broadcast_if_small, scratch, spare, written
 
 #: State on disk. Without preallocation a small partition's state takes no more disk than its rows need; all the
 #: stores of an executor share one bounded memory.
@@ -98,10 +98,11 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kept = F.col("kept")
     # Ids of copies: of a dropped row, or of a kept one that comes more than once.
     copies = found.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    copies = written(copies.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"), kept.alias("__kept")), "copies")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.unhex(digest(F.col(text_col))) == F.col("__digest"))
+    name, mark, keeps = (spare(docs, x) for x in ("_copy_id", "_copy_digest", "_copy_kept"))
+    copies = written(copies.filter(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias(name), F.unhex("text_sha256").alias(mark), kept.alias(keeps)), "copies")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.unhex(digest(F.col(text_col))) == F.col(mark))
     rest = docs.join(broadcast_if_small(copies, 64), same, "left_anti")
-    again = written(copies.filter("__kept"), "again")
+    again = written(copies.filter(F.col(keeps)), "again")
     if again.count():
         once = docs.join(broadcast_if_small(again, 64), same, "left_semi").dropDuplicates([id_col, text_col])
         rest = rest.unionByName(once)

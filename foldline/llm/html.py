@@ -41,7 +41,7 @@ PATH_DEPTH = 64
 #: Blocks read at once: pages are batched up to so many steps times rows.
 BATCH_CELLS = 20_000
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that is no text of the page.
 HIDDEN_TAGS = frozenset("script style template noscript iframe svg math canvas object audio video head title textarea select datalist".split())

@@ -132,7 +132,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
         ends = [(at, rows) for at, rows in _ends(top, np.arange(len(y)), code, edges, feature, threshold, left, right)]
         for at, rows in ends:
             raw[rows] += value[at]
-    return Forest(start, np.array(root, np.int64), np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value))
+    integers = [np.array(v, np.int64) for v in (root, feature, left, right)]
+    return Forest(start, integers[0], integers[1], np.array(threshold, np.float64), integers[2], integers[3], np.array(value, np.float64))
 
 
 def _ends(top: int, rows: np.ndarray, code: np.ndarray, edges: list, feature: list, threshold: list, left: list, right: list) -> Iterator[tuple[int, np.ndarray]]:

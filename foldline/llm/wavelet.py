@@ -30,7 +30,7 @@ MAGIC = b"FLWM"
 #: A shard ends with the document that brings it to so many tokens.
 SHARD_TOKENS = 1_000_000
 #: Pieces that the encoder remembers; pieces with their case and spaces are many.
-MEMO = 1_200_000
+MEMO = 1_600_000
 #: Bits between two entries of the rank directory.
 RANK_BITS = 512
 
