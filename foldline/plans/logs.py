@@ -111,11 +111,11 @@ def left_join_chain(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy(F.coalesce("n_name", F.lit("(none)")).alias("n_name")).agg(F.count_distinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
-@query("SELECT e.event_id, o.o_orderkey, e.ts AS at, o.o_orderdate FROM events e JOIN orders o ON o.o_orderkey = e.event_id WHERE (e.user_id, e.event_id) > (100, 5000)")
+@query("SELECT e.event_id, o.o_orderkey, e.ts AS event_ts, o.o_orderdate FROM events e JOIN orders o ON o.o_orderkey = e.event_id WHERE (e.user_id, e.event_id) > (100, 5000)")
 def keyset_compare(spark: SparkSession, sf: str) -> DataFrame:
     e, o = table(spark, sf, "events"), table(spark, sf, "orders")
     later = F.struct("user_id", "event_id") > F.struct(F.lit(100).cast("long").alias("user_id"), F.lit(5000).cast("long").alias("event_id"))
-    return e.filter(later).join(o, e["event_id"] == o["o_orderkey"]).select("event_id", "o_orderkey", F.col("ts").alias("at"), "o_orderdate")
+    return e.filter(later).join(o, e["event_id"] == o["o_orderkey"]).select("event_id", "o_orderkey", F.col("ts").alias("event_ts"), "o_orderdate")
 
 
 @query("WITH f AS (SELECT l_suppkey % 10 AS name, max(l_partkey) AS floor FROM lineitem WHERE l_quantity < 5 GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l LEFT JOIN f ON f.name = l.l_suppkey % 10 WHERE floor IS NULL OR l_partkey > floor")
