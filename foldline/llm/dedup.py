@@ -13,18 +13,21 @@ stays; an empty table gives no rows; further columns don't matter.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, scratch, spare, written
 
 #: State on disk. Without preallocation a small partition's state takes no more disk than its rows need; all the
-#: stores of an executor share one bounded memory.
+#: stores of an executor share one bounded memory, and those of a stream that has ended are soon let go.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 
@@ -33,13 +36,13 @@ def digest(text: Column) -> Column:
 
 
 class Dedup:
-    """State in a folder: ``feed`` takes a batch of documents in, ``state`` reads what is known."""
+    """State in a folder: ``feed`` takes a batch of documents in and returns what is now known of their digests (a row for
+    each micro-batch that a digest came in, as a rule one), ``state`` reads what is known of all."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark, self.folder = spark, folder or scratch(spark, "dedup")
-        self.batches = 0
 
-    def feed(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+    def feed(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         spark = self.spark
         rows = docs.select(
             F.unhex(digest(F.col(text_col))).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), F.input_file_name().alias("locator")
@@ -51,14 +54,17 @@ class Dedup:
         try:
             stream = spark.readStream.schema(rows.schema).parquet(f"{self.folder}/feed")
             known = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
-            query = (
-                known.writeStream.outputMode("update").format("noop").trigger(availableNow=True)
-                .option("checkpointLocation", f"{self.folder}/state").start()
-            )
+            known = known.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.locator").alias("locator"), "n")
+            out = f"{self.folder}/seen-{uuid.uuid4().hex}"
+            spark.createDataFrame([], known.schema).write.parquet(f"{out}/batch=-1")
+            # Written on the executors; a micro-batch that runs again replaces its own folder.
+            write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+            query = known.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{self.folder}/state").start()
             query.awaitTermination()
         finally:
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        return spark.read.schema(known.schema).parquet(f"{out}/batch=*")
 
     def state(self) -> DataFrame:
         """digest, keep_id, locator, n: one row a digest ever fed."""
@@ -70,8 +76,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Per document: doc_id, keep_id (the largest id of its text), group_size, kept, text_sha256."""
     spark = docs.sparkSession
     known = Dedup(spark)
-    known.feed(docs, id_col, text_col)
-    hits = written(known.state().filter("n > 1").select("digest"), "hits")
+    seen = known.feed(docs, id_col, text_col)
+    hits = written(seen.filter("n > 1").select("digest").distinct(), "hits")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("digest", F.unhex(digest(F.col("text"))))
     # Full bytes of the hits: one class a distinct text, whatever its digest.

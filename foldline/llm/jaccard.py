@@ -49,7 +49,7 @@ VERIFY = 0.25
 ROUNDS = 2
 #: Shingles that a bucket of the first pass should hold, and that a block of rows is closed at.
 BUCKET = 1 << 19
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

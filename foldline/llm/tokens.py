@@ -16,7 +16,7 @@ import numpy as np
 from .common import chunks
 
 #: Pieces remembered by a worker; beyond it the memo starts anew, so its memory is bounded (about 200 bytes a piece).
-MEMO = 400_000
+MEMO = 300_000
 #: A text with a longer piece goes to the library whole, so no long piece is remembered.
 LONG_PIECE = 200
 #: Characters looked up together; small, so that what is at hand fits the processor's cache.
