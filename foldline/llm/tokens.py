@@ -20,7 +20,7 @@ MEMO = 300_000
 #: A text with a longer piece goes to the library whole, so no long piece is remembered.
 LONG_PIECE = 200
 #: Characters looked up together; small, so that what is at hand fits the processor's cache.
-RUN = 50_000
+RUN = 25_000
 _LOADED: dict[str, Encoder] = {}
 
 

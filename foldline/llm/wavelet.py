@@ -28,7 +28,7 @@ from .tokens import encoder
 
 MAGIC = b"FLWM"
 #: A shard ends with the document that brings it to so many tokens.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 250_000
 #: Pieces that the encoder remembers; pieces with their case and spaces are many.
 MEMO = 1_600_000
 #: Bits between two entries of the rank directory.
