@@ -107,10 +107,18 @@ def replay(log: DataFrame, machine: Machine, seed: DataFrame | None = None, run:
     return whole.select("stream_name", state.alias("s"), "version", "last_position").select("stream_name", "s.vertex", *[f"s.{r}" for r in machine.registers], "s.rejected", "version", "last_position")
 
 
-def gaps(log: DataFrame) -> DataFrame:
-    """First version of each stream that isn't the one before plus one: stream_name, expected, observed."""
-    before = F.coalesce(F.lag("stream_version").over(Window.partitionBy("stream_name").orderBy("stream_version")), F.lit(0))
-    found = log.select("stream_name", (before + 1).alias("expected"), F.col("stream_version").alias("observed")).filter("expected <> observed")
+def gaps(log: DataFrame, run: int = RUN) -> DataFrame:
+    """First version of each stream that isn't the one before plus one: stream_name, expected, observed.
+
+    Within runs of versions by a window, between runs over one row a run, so that no stream is sorted in one task.
+    """
+    cut = log.select("stream_name", "stream_version", F.floor((F.col("stream_version") - 1) / run).alias("_run"))
+    before = F.lag("stream_version").over(Window.partitionBy("stream_name", "_run").orderBy("stream_version"))
+    inside = cut.select("stream_name", (before + 1).alias("expected"), F.col("stream_version").alias("observed"))
+    runs = cut.groupBy("stream_name", "_run").agg(F.min("stream_version").alias("observed"), F.max("stream_version").alias("_last"))
+    last = F.coalesce(F.lag("_last").over(Window.partitionBy("stream_name").orderBy("_run")), F.lit(0))
+    between = runs.select("stream_name", (last + 1).alias("expected"), "observed")
+    found = inside.unionByName(between).filter("expected <> observed")
     return found.groupBy("stream_name").agg(F.min(F.struct("observed", "expected")).alias("x")).select("stream_name", "x.expected", "x.observed")
 
 
@@ -157,9 +165,11 @@ def latest_compatible(snapshots: DataFrame, codec: int, registers: str, shape: s
 
 
 def snapshot_upsert(writes: DataFrame) -> DataFrame:
-    """Writes (stream_name, seq, version, tag) in order: a newer or equal version replaces; so does any other tag,
-    even backwards. In order of writes that is: the last change of tag, then the highest version of that tag's run."""
-    w = Window.partitionBy("stream_name").orderBy("seq")
-    turn = writes.withColumn("turn", F.sum((~F.lag("tag").over(w).eqNullSafe(F.col("tag"))).cast("int")).over(w))
-    runs = turn.groupBy("stream_name", "turn").agg(F.max_by(F.struct("version", "tag", "seq"), F.struct("version", "seq")).alias("x"))
-    return runs.groupBy("stream_name").agg(F.max_by("x", "turn").alias("x")).select("stream_name", "x.version", "x.tag", "x.seq")
+    """Writes (stream_name, seq, version, tag) in order: a newer or equal version replaces; so does any other tag, even
+    backwards. So what counts are the writes since the last change of tag, and of these the highest version, the
+    latest of equals. Aggregates and joins by stream, no window."""
+    last = writes.groupBy("stream_name").agg(F.max_by("tag", "seq").alias("_tag"))
+    rows = writes.join(last, "stream_name")
+    other = rows.filter(~F.col("tag").eqNullSafe(F.col("_tag"))).groupBy("stream_name").agg(F.max("seq").alias("_other"))
+    rows = rows.join(other, "stream_name", "left").filter("_other is null or seq > _other")
+    return rows.groupBy("stream_name").agg(F.max_by(F.struct("version", "tag", "seq"), F.struct("version", "seq")).alias("x")).select("stream_name", "x.version", "x.tag", "x.seq")

@@ -1,7 +1,7 @@
 """Outbox, inbox, timers and queues as next-state transforms. ``now`` is always a parameter.
 
-Ordering rules are windows over (source, key), never theta joins. A window of one key runs in one task, as the
-order within a key demands it; rows without a key are never blocked and stay out of the windows.
+Ordering rules come down to the first row of a key that blocks or fails: an aggregate and an equi-join, neither a
+theta join nor a window that would put a hot key into one task.
 """
 
 from __future__ import annotations
@@ -14,11 +14,27 @@ def due(now: Column) -> Column:
     return F.col("status").isin("pending", "failed") & (F.col("next_attempt_at") <= now)
 
 
+def _before(at: str) -> Column:
+    """Whether a row comes before the place ``at`` (created_at, outbox_id), if there is one."""
+    return F.col(at).isNull() | (F.struct("created_at", "outbox_id") < F.col(at))
+
+
+def _with_first(rows: DataFrame, keys: list[str], which: Column, name: str) -> DataFrame:
+    """Adds the first place among the rows of each key for which a condition holds.
+
+    An aggregate that combines on the map side and a join that can be split: unlike a window, it holds for a key
+    of any size.
+    """
+    first = rows.filter(which).groupBy(*keys).agg(F.min(F.struct("created_at", "outbox_id")).alias(name))
+    return rows.join(first, keys, "left")
+
+
 def claim(outbox: DataFrame, now: Column, policy: str, limit: int | None = None) -> DataFrame:
     """Rows that a publisher may claim at ``now``, oldest first.
 
     Under key and stop-the-line order a row waits while an earlier row of its (source, key) isn't finished and isn't
-    itself due; under source order the same by source; best effort blocks nothing.
+    itself due, that is, only what comes before the key's first such row goes; under source order the same by source;
+    best effort blocks nothing, and neither does a row without a key.
     """
     if policy not in ("per-key", "stop-the-line", "per-source", "best-effort"):
         raise ValueError(policy)
@@ -27,38 +43,19 @@ def claim(outbox: DataFrame, now: Column, policy: str, limit: int | None = None)
         found = rows.filter(due(now))
     else:
         keys = ["source"] if policy == "per-source" else ["source", "message_key"]
-        blocks = (~due(now)).cast("int")
-        before = Window.partitionBy(*keys).orderBy("created_at", "outbox_id").rowsBetween(Window.unboundedPreceding, -1)
-        keyed = rows if policy == "per-source" else rows.filter("message_key is not null")
-        found = keyed.withColumn("blocked", F.coalesce(F.max(blocks).over(before), F.lit(0)) == 1).filter(due(now) & ~F.col("blocked")).drop("blocked")
-        if policy != "per-source":
-            found = found.unionByName(rows.filter("message_key is null").filter(due(now)))
-    found = found.withColumn("status", F.lit("publishing")).withColumn("attempts", F.col("attempts") + 1).orderBy("created_at", "outbox_id")
-    return found if limit is None else found.limit(limit)
-
-
-def first_block(outbox: DataFrame, now: Column, keys: list[str]) -> DataFrame:
-    """Per key the first row that blocks: with it source order needs an aggregate only, not a window over all rows."""
-    rows = outbox.filter(~F.col("status").isin("sent", "rejected", "dead")).filter(~due(now))
-    return rows.groupBy(*keys).agg(F.min(F.struct("created_at", "outbox_id")).alias("block"))
-
-
-def claim_by_source(outbox: DataFrame, now: Column) -> DataFrame:
-    """``claim`` under source order for sources of any size: due rows before the source's first blocking row."""
-    block = first_block(outbox, now, ["source"])
-    rows = outbox.filter(due(now)).join(block, "source", "left")
-    free = F.col("block").isNull() | (F.struct("created_at", "outbox_id") < F.col("block"))
-    return rows.filter(free).drop("block").withColumn("status", F.lit("publishing")).withColumn("attempts", F.col("attempts") + 1)
+        found = _with_first(rows, keys, ~due(now), "_block").filter(due(now))
+        free = _before("_block") if policy == "per-source" else F.col("message_key").isNull() | _before("_block")
+        found = found.filter(free).drop("_block").select(*outbox.columns)
+    found = found.withColumn("status", F.lit("publishing")).withColumn("attempts", F.col("attempts") + 1)
+    return found.orderBy("created_at", "outbox_id") if limit is None else found.orderBy("created_at", "outbox_id").limit(limit)
 
 
 def publish(claimed: DataFrame, outcome: Column, group: list[str]) -> DataFrame:
     """Results of a publish pass: after the first failure in a group the rest of it is skipped; a missing outcome is
     a failure; a rejection stops nothing."""
-    told = F.coalesce(outcome, F.lit("failed"))
-    before = Window.partitionBy(*group).orderBy("created_at", "outbox_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = claimed.withColumn("told", told)
-    stopped = F.coalesce(F.max((F.col("told") == "failed").cast("int")).over(before), F.lit(0)) == 1
-    return rows.withColumn("result", F.when(stopped, "skipped").otherwise(F.col("told"))).drop("told")
+    rows = _with_first(claimed.withColumn("_told", F.coalesce(outcome, F.lit("failed"))), group, F.col("_told") == "failed", "_stop")
+    after = F.col("_stop").isNotNull() & (F.struct("created_at", "outbox_id") > F.col("_stop"))
+    return rows.select(*claimed.columns, F.when(after, "skipped").otherwise(F.col("_told")).alias("result"))
 
 
 def mark(published: DataFrame, most: int, now: Column, base: float, factor: float, ceiling: float) -> DataFrame:

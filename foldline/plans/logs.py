@@ -162,7 +162,8 @@ def subscription_position(spark: SparkSession, sf: str) -> DataFrame:
     log = lift.all_log(spark, sf)
     members = log.filter("source_id % 7 <> 0").groupBy("category", (F.col("source_id") % 3).alias("member")).agg(F.max("global_position").alias("pos"))
     floors = members.groupBy("category").agg(F.min("pos").alias("position"))
-    return floors.crossJoin(F.broadcast(scans.head(log))).select(F.concat(F.lit("sub-"), "category").alias("subscription"), "category", "position", F.greatest(F.lit(0), F.col("head") - F.col("position")).alias("distance"))
+    behind = F.greatest(F.lit(0), scans.head(log).scalar() - F.col("position"))
+    return floors.select(F.concat(F.lit("sub-"), "category").alias("subscription"), "category", "position", behind.alias("distance"))
 
 
 @query("SELECT l_returnflag AS flag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price, max(l_shipdate) AS last FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-06-01' GROUP BY l_returnflag")

@@ -38,8 +38,7 @@ def outbox_claim_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_("outbox") + f"{_SELECT} WHERE {DUE} AND (a.created_at, a.outbox_id) < (SELECT min((created_at, outbox_id)) FROM outbox b WHERE {OPEN} AND {NOT_DUE})")
 def outbox_claim_source(spark: SparkSession, sf: str) -> DataFrame:
-    """By source order, with the first blocking row as an aggregate, so that one huge source is no hot task."""
-    return _claimed(m.claim_by_source(lift.outbox(spark, sf), now()))
+    return _claimed(m.claim(lift.outbox(spark, sf), now(), "per-source"))
 
 
 @query(with_("outbox") + f"{_SELECT} WHERE {DUE} ORDER BY a.created_at, a.outbox_id LIMIT 200")

@@ -79,7 +79,6 @@ def test_head_of_line(spark):
     assert claim("per-key") == [3, 4, 5, 7] and claim("stop-the-line") == [3, 4, 5, 7]
     assert claim("per-source") == [] and claim("best-effort") == [2, 3, 4, 5, 7]
     assert [r["outbox_id"] for r in messaging.claim(outbox(spark, rows), now, "best-effort", 2).collect()] == [2, 3]
-    assert sorted(r["outbox_id"] for r in messaging.claim_by_source(outbox(spark, rows), now).collect()) == []
     with pytest.raises(ValueError):
         claim("any")
 
