@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,9 @@ ROUNDS = 2
 #: Shingles that a bucket of the first pass should hold, and that a block of rows is closed at.
 BUCKET = 1 << 19
 BLOCK = 1 << 19
+#: Shingles of a message at least, and buckets at most; beyond that the buckets grow (2**18 hold 10**13 shingles).
+MESSAGE = 64
+MOST_BUCKETS = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -94,50 +98,70 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def _dealt(keys: list, sets: list[np.ndarray], block: int, buckets: int) -> Iterator[tuple]:
-    """(bucket, block, bits, counts, keys, sizes, local) of a block of rows; bucket 0 always comes and has the keys."""
+def packed(rows: np.ndarray, counts: np.ndarray, n: int) -> bytes:
+    """Counts of some of n rows, as pairs or, where that is shorter, as one count a row."""
+    if 2 * len(rows) < n:
+        return b"p" + rows.astype("<u4").tobytes() + counts.astype("<u4").tobytes()
+    dense = np.zeros(n, "<u4")
+    dense[rows] = counts
+    return b"d" + dense.tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, counts) in the order of rows."""
+    both = np.frombuffer(raw, "<u4", offset=1)
+    if raw[:1] == b"p":
+        return both[: len(both) // 2].astype(np.int64), both[len(both) // 2 :].astype(np.int64)
+    rows = np.flatnonzero(both)
+    return rows, both[rows].astype(np.int64)
+
+
+def _dealt(sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes, bytes]]]:
+    """Of a block of rows: how many of each row's shingles another row of it has, and the messages (bucket, bits,
+    packed counts); bucket 0 always gets one."""
     sizes = np.array([len(x) for x in sets], np.int64)
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
     same = np.concatenate([[False], every[1:] == every[:-1]])
     many = same | np.concatenate([same[1:], [False]])
-    # A shingle of several rows here is shared already: it is sent once, and for no row.
-    local = np.bincount(owner[many], minlength=len(sets)).astype(np.uint32)
-    alone = np.flatnonzero(~many)
-    first = np.flatnonzero(many & ~same)
-    bucket_of = lambda h: (mix64(h) >> np.uint64(32)).astype(np.int64) % buckets
-    b_alone, b_first = bucket_of(every[alone]), bucket_of(every[first])
-    by = np.lexsort((owner[alone], b_alone))
-    alone, cut = alone[by], np.searchsorted(b_alone[by], np.arange(buckets + 1))
-    by = np.argsort(b_first, kind="stable")
-    first, cut_first = first[by], np.searchsorted(b_first[by], np.arange(buckets + 1))
-    for b in range(buckets):
-        mine, also = alone[cut[b] : cut[b + 1]], first[cut_first[b] : cut_first[b + 1]]
-        if b and not len(mine) and not len(also):
-            continue
-        bits = np.concatenate([every[mine], every[also]]).astype(np.uint32).tobytes()
-        counts = np.bincount(owner[mine], minlength=len(sets)).astype(np.uint32).tobytes()
-        yield b, block, bits, counts, keys if b == 0 else None, sizes.tolist() if b == 0 else None, local.tobytes() if b == 0 else None
-
-
-def count_shared(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
+    # A shingle of several rows here is shared already: it is sent once, after the others, and for no row.
+    local = np.bincount(owner[many], minlength=len(sets))
+    send = np.concatenate([np.flatnonzero(~many), np.flatnonzero(many & ~same)])
+    bits, row = every[send], np.concatenate([owner[~many], np.full(len(send) - np.count_nonzero(~many), len(sets))])
+    bucket = (mix64(bits) >> np.uint64(32)).astype(np.int64) % buckets
+    by = np.lexsort((row, bucket))
+    bits, row, bucket = bits[by].astype("<u4"), row[by], bucket[by]
+    used = np.union1d(bucket, [0])
+    cut = np.searchsorted(bucket, np.append(used, buckets))
+    out = []
+    for k, b in enumerate(used.tolist()):
+        mine = row[cut[k] : cut[k + 1]]
+        mine = mine[: np.searchsorted(mine, len(sets))]
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
+        out.append((b, bits[cut[k] : cut[k + 1]].tobytes(), packed(mine[first], np.diff(np.append(first, len(mine))), len(sets))))
+    return local, out
+
+
+def count_shared(docs: DataFrame, buckets: int, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n, shared: per row the size of its set and how many of its shingles another row has too.
 
     A block of rows sends each bucket its shingles as one array of 32 further bits of the hash, row by row, and
     how many are each row's. A bucket answers each block with the counts of what it found twice. Shingles that
     agree in bucket and bits count as one; that only lets a row stay that has no link, and such accidents stay
-    as rare as they are because the buckets follow the input. A shingle of many rows is sent once a block.
+    rare because the buckets follow the input. A shingle of many rows is sent once a block, so a common one makes
+    no bucket large.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, keys, sets, held, schema = (TaskContext.get().partitionId() << 32), 0, [], [], 0, None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for row in _dealt(keys, sets, part + number, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
+        def out() -> pa.RecordBatch:
+            local, messages = _dealt(sets, buckets)
+            head = [(keys, [len(x) for x in sets], local.astype("<u4").tobytes())] + [(None, None, None)] * (len(messages) - 1)
+            columns = [[m[0] for m in messages], [part + number] * len(messages), [m[1] for m in messages], [m[2] for m in messages], *zip(*head, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
             schema = schema or pa.schema({"bucket": pa.int64(), "block": pa.int64(), "bits": pa.binary(), "counts": pa.binary(), "keys": pa.list_(batch.schema.field(0).type), "sizes": pa.list_(pa.int64()), "local": pa.binary()})
@@ -145,34 +169,36 @@ def count_shared(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame
                 keys.append(key)
                 sets.append(one)
                 held += len(one)
-                if held >= BLOCK:
-                    yield from out()
+                if held >= block:
+                    yield out()
                     keys, sets, held, number = [], [], 0, number + 1
         if keys:
-            yield from out()
+            yield out()
 
     def count(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        bits = np.frombuffer(b"".join(x["bits"] for x in rows), np.uint32)
+        messages, raw = group.column("bits").to_pylist(), group.column("counts").to_pylist()
+        bits = np.frombuffer(b"".join(messages), "<u4")
         order = np.argsort(bits, kind="stable")
         same = bits[order][1:] == bits[order][:-1]
         twice = np.zeros(len(bits), bool)
         if len(bits):
             twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         found, at = [], 0
-        for x in rows:
-            run = np.concatenate([[0], np.cumsum(twice[at : at + len(x["bits"]) // 4])])
-            ends = np.cumsum(np.frombuffer(x["counts"], np.uint32), dtype=np.int64)
-            found.append(np.diff(np.concatenate([[0], run[ends]])).astype(np.uint32).tobytes())
-            at += len(x["bits"]) // 4
+        for one, counts in zip(messages, raw, strict=True):
+            rows, sizes = unpacked(counts)
+            run = np.concatenate([[0], np.cumsum(twice[at : at + len(one) // 4])])
+            ends = np.cumsum(sizes)
+            hits = run[ends] - run[ends - sizes]
+            found.append(packed(rows[hits > 0], hits[hits > 0], (len(counts) - 1) // 4 if counts[:1] == b"d" else 1 << 32))
+            at += len(one) // 4
         return group.select(["block", "keys", "sizes", "local"]).append_column("found", pa.array(found, pa.binary()))
 
     def total(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        head = next(x for x in rows if x["keys"] is not None)
-        shared = np.frombuffer(head["local"], np.uint32).astype(np.int64)
-        for x in rows:
-            shared = shared + np.frombuffer(x["found"], np.uint32)
+        head = group.filter(pc.is_valid(group.column("keys"))).to_pylist()[0]
+        shared = np.frombuffer(head["local"], "<u4").astype(np.int64)
+        for raw in group.column("found").to_pylist():
+            rows, hits = unpacked(raw)
+            shared[rows] += hits
         return pa.table({"doc_id": pa.array(head["keys"], group.schema.field("keys").type.value_type), "n": pa.array(head["sizes"], pa.int64()), "shared": pa.array(shared)})
 
     dealt = docs.mapInArrow(deal, f"bucket long, block long, bits binary, counts binary, keys array<{kind}>, sizes array<long>, local binary")
@@ -180,6 +206,13 @@ def count_shared(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame
     return counted.groupBy("block").applyInArrow(total, f"doc_id {kind}, n long, shared long")
 
 
+def dealing(shingles: int) -> tuple[int, int]:
+    """(buckets, shingles of a block) for a corpus. Both grow with it, so that a bucket fits a task and a message from
+    a block to a bucket keeps some dozens of shingles."""
+    buckets = min(max(1, shingles // BUCKET), MOST_BUCKETS)
+    return buckets, max(BLOCK, MESSAGE * buckets)
+
+
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n, digest of the set, tokens (the set, as signed integers)."""
 
@@ -312,7 +345,8 @@ def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    every = written(count_shared(docs, max(1, size // (6 * BUCKET)), words), "sizes")
+    buckets, block = dealing(size // 6)
+    every = written(count_shared(docs, buckets, words, block), "sizes")
     stay = written(every.filter(f"n > 0 and doc_id is not null and shared * 100 >= {percent} * n").select("doc_id").distinct(), "stay")
     sets = written(sets_of(docs.join(broadcast_if_small(stay, 16), "doc_id", "left_semi"), words), "sets")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
