@@ -161,3 +161,13 @@ def disposition(read_ct: Column, most: int, version: Column, known: int, outcome
 def whole_seconds(delay_s: Column) -> Column:
     """A retry delay as the queue takes it: rounded up, within int32."""
     return F.least(F.greatest(F.ceil(delay_s), F.lit(0)), F.lit(2147483647)).cast("int")
+
+
+def enqueue(payloads: DataFrame, order: list[str], now: Column, head: int = 0, delay_s: Column | None = None, group: Column | None = None) -> DataFrame:
+    """New messages in the order of the input, one id each after the queue's head; visible after a delay, with a group
+    for FIFO reads if one is given."""
+    from ..sources.numbering import numbered
+
+    rows = numbered(payloads, "msg_id", *order, first=head + 1)
+    visible = now if delay_s is None else now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), delay_s)
+    return rows.withColumn("enqueued_at", now).withColumn("visible_at", visible).withColumn("read_ct", F.lit(0)).withColumn("group_key", F.lit(None).cast("string") if group is None else group)

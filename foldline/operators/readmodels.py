@@ -126,3 +126,30 @@ def begin_rebuild(groups: DataFrame, want: DataFrame) -> DataFrame:
     ok = (F.col("status") == "live") | ((F.col("status") == "failed") & (F.col("slice") == F.col("want_slice")))
     outcome = F.when(~ok, "refused").when(~F.col("checkpoints_ok"), "missing-checkpoint").otherwise("begun")
     return rows.select("grp", outcome.alias("outcome"), F.when(outcome == "begun", "rebuilding").otherwise(F.col("status")).alias("status"))
+
+
+def rebuild(targets: DataFrame, log: DataFrame, head: int, adapters: list, policy: str) -> DataFrame:
+    """Targets (key, value) rebuilt from the events up to a captured head, which is never extended.
+
+    adapters: functions from events to rows (key, value, global_position), applied in the order given; on one event a
+    later adapter writes after an earlier one. ``clear`` starts from nothing, ``preserve`` from what is there, so a row
+    without history stays. Last writers by an aggregate, so that a key of any size combines on the map side.
+    """
+    if policy not in ("clear", "preserve"):
+        raise ValueError(policy)
+    events = log.filter(F.col("global_position") <= head)
+    writes = None
+    for ordinal, adapter in enumerate(adapters):
+        rows = adapter(events).select("key", "value", F.struct(F.col("global_position"), F.lit(ordinal).alias("ordinal")).alias("at"))
+        writes = rows if writes is None else writes.unionByName(rows)
+    made = writes.groupBy("key").agg(F.max_by("value", "at").alias("value"))
+    if policy == "clear":
+        return made
+    return targets.select("key", "value").join(made.select("key"), "key", "left_anti").unionByName(made)
+
+
+def progress(log: DataFrame, head: int, adapters: dict[str, object]) -> DataFrame:
+    """Events seen and applied by each adapter's condition, in one scan: adapter, events, applied."""
+    events = log.filter(F.col("global_position") <= head)
+    counts = events.agg(F.count(F.lit(1)).alias("events"), *[F.count_if(c).alias(n) for n, c in adapters.items()])
+    return counts.select("events", F.explode(F.create_map(*[x for n in adapters for x in (F.lit(n), F.col(n))])).alias("adapter", "applied")).select("adapter", "events", "applied")

@@ -133,3 +133,12 @@ def order_summary(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("stream")).agg(
         F.count(F.lit(1)).alias("orders"), F.bool_or(F.col("o_orderstatus") == "F").alias("finished"), F.max_by("o_orderstatus", "o_orderkey").alias("status"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"),
     )
+
+
+@query(with_("event_log") + ", s AS (SELECT stream_name, max(stream_version) AS seed FROM event_log WHERE stream_version % 10 = 0 AND global_position <= 6000 GROUP BY 1) SELECT e.stream_name, coalesce(max(s.seed), 0) AS seed, count(*) FILTER (e.stream_version > coalesce(s.seed, 0)) AS tail FROM event_log e LEFT JOIN s USING (stream_name) WHERE e.global_position <= 6000 GROUP BY 1")
+def snapshot_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest snapshot at or before a head, and how long the tail behind it is."""
+    log = lift.event_log(spark, sf).filter("global_position <= 6000")
+    seed = log.filter("stream_version % 10 = 0").groupBy("stream_name").agg(F.max("stream_version").alias("seed"))
+    rows = log.join(seed, "stream_name", "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
+    return rows.groupBy("stream_name").agg(F.max("seed").alias("seed"), F.count_if(F.col("stream_version") > F.col("seed")).alias("tail"))

@@ -164,3 +164,12 @@ def queue_disposition(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_("queue") + f"SELECT count(*) AS depth, count(*) FILTER (visible_at <= TIMESTAMP '{Q_NOW}') AS visible, min(enqueued_at) AS oldest, max(read_ct) AS most_reads FROM queue")
 def queue_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return lift.queue(spark, sf).agg(F.count(F.lit(1)).alias("depth"), F.count_if(F.col("visible_at") <= now(Q_NOW)).alias("visible"), F.min("enqueued_at").alias("oldest"), F.max("read_ct").alias("most_reads"))
+
+
+@query(f"SELECT 500000 + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS msg_id, l_orderkey, l_partkey, {NOW_SQL} + to_seconds(l_linenumber * 60) AS visible_at, 's' || l_suppkey AS group_key FROM lineitem")
+def queue_enqueue(spark: SparkSession, sf: str) -> DataFrame:
+    """One id a payload, in order, with a delay and a FIFO group."""
+    order = ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    group = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    sent = m.enqueue(table(spark, sf, "lineitem").select(*order), order, now(), 500_000, (F.col("l_linenumber") * 60).cast("decimal(18,6)"), group)
+    return sent.select("msg_id", "l_orderkey", "l_partkey", "visible_at", "group_key")

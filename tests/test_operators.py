@@ -222,3 +222,21 @@ def test_scans(spark):
 def test_replay_digest(spark):
     got = spark.createDataFrame([('{"b": 1, "a": 2}',), ('{"a":2,"b":1}',)], "j string").select(ids.replay_digest(F.col("j")).alias("d")).collect()
     assert got[0]["d"] == got[1]["d"] == hashlib.sha256(b'{"a":2,"b":1}').hexdigest()
+
+
+def test_numbers_are_consecutive_in_order(spark):
+    from foldline.sources.numbering import numbered
+
+    rows = [(i * 7919 % 1000, i) for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "a long, b long").repartition(5), "n", "a", "b", first=10).orderBy("n").collect()
+    assert [(r["a"], r["b"], r["n"]) for r in got] == [(a, b, 10 + i) for i, (a, b) in enumerate(sorted(rows))]
+
+
+def test_adapters_write_in_their_order(spark):
+    log = spark.createDataFrame([(1, "x"), (2, "y"), (9, "z")], "global_position long, v string")
+    one = lambda e: e.select(F.lit("k").alias("key"), F.concat(F.lit("1"), "v").alias("value"), "global_position")
+    two = lambda e: e.select(F.lit("k").alias("key"), F.concat(F.lit("2"), "v").alias("value"), "global_position")
+    old = spark.createDataFrame([("k", "old"), ("root", "kept")], "key string, value string")
+    run = lambda adapters, policy: {r["key"]: r["value"] for r in readmodels.rebuild(old, log, 5, adapters, policy).collect()}
+    assert run([one, two], "clear") == {"k": "2y"} and run([two, one], "clear") == {"k": "1y"}
+    assert run([one, two], "preserve") == {"k": "2y", "root": "kept"}
