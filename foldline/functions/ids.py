@@ -6,10 +6,10 @@ import hashlib
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import PandasUDFType
 
 #: Namespace of URLs (RFC 9562); fixed value.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -66,7 +66,11 @@ def fnv1a64_points(text: str) -> str:
 def _mapped(f: Callable[[str], str], text: Column) -> Column:
     """A text function over Arrow batches. It is wrapped here, at plan time: a worker that imports this module has
     no session to make it in."""
-    return F.pandas_udf(lambda xs: xs.map(lambda x: None if x is None else f(x)), T.StringType(), PandasUDFType.SCALAR)(text)
+
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else f(x))
+
+    return F.pandas_udf(run, T.StringType())(text)
 
 
 def fnv(text: Column) -> Column:

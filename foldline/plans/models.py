@@ -235,7 +235,7 @@ def catalog_supplier(spark: SparkSession, sf: str) -> DataFrame:
     return c.suppliers(models, s.select(F.col("s_suppkey").alias("target"), (F.col("s_suppkey") % 2).alias("projection")))
 
 
-_REBUILD = "w AS (SELECT o_custkey AS key, 'f-' || o_orderkey AS value, o_orderkey * 4 + 2 AS at, 0 AS ordinal FROM orders WHERE o_orderstatus = 'F' AND o_orderkey * 4 + 2 <= 40000 UNION ALL SELECT o_custkey, 'u-' || o_orderkey, o_orderkey * 4 + 2, 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey * 4 + 2 <= 40000), m AS (SELECT key, max_by(value, at * 10 + ordinal) AS value FROM w GROUP BY 1)"
+_REBUILD = "w AS (SELECT o_custkey AS key, 'f-' || o_orderkey AS value, o_orderkey * 4 + 2 AS place, 0 AS ordinal FROM orders WHERE o_orderstatus = 'F' AND o_orderkey * 4 + 2 <= 40000 UNION ALL SELECT o_custkey, 'u-' || o_orderkey, o_orderkey * 4 + 2, 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey * 4 + 2 <= 40000), m AS (SELECT key, max_by(value, place * 10 + ordinal) AS value FROM w GROUP BY 1)"
 
 
 def _rebuilt(spark: SparkSession, sf: str, policy: str) -> DataFrame:
