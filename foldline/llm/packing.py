@@ -163,7 +163,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
         return rows.drop_columns(["block"]).append_column("sequence_id", pa.array(place + first)).append_column("offset", pa.array(offset))
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(blocks)))
+    # The row's place joins the hash, so that rows of one id, or of none, don't meet in one block.
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(run, schema)
 
 

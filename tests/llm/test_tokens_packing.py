@@ -102,3 +102,10 @@ def test_token_files_round_trip(spark, edges, nothing, tmp_path):
         at += len(ids)
     assert spark.read.parquet(f"{tmp_path}/t").count() > 3
     assert wavelet.encode_documents(nothing, BYTE).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_over_blocks(spark):
+    pieces = spark.range(400).selectExpr("cast(null as bigint) doc_id", "0 piece", "0L start", "100L length", "7L ids_crc32")
+    got = packing.pack(pieces, capacity=1000, block=50).collect()
+    per = np.unique([r["sequence_id"] >> 32 for r in got], return_counts=True)[1]
+    assert len(got) == 400 and len(per) > 4 and per.max() < 120
