@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
-from .tokens import encoder
+from .tokens import MEMO, encoder
 
 CAPACITY = 4096
 #: Pieces packed together by one task.
@@ -40,13 +40,13 @@ def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, bytes]]:
         yield piece, start, len(part) // 4, part
 
 
-def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32."""
+def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32. memo: pieces of text that a worker remembers."""
     small_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, words_only=True).encode
+        encode = encoder(path, words_only=True, memo=memo).encode
         for batch in batches:
             rows, cols = [], ([], [], [], [])
             for i, ids in enumerate(encode(batch.column(1).to_pylist())):
@@ -168,6 +168,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     return dealt.groupBy("block").applyInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """Packs documents; one row per piece with its sequence and place there."""
-    return pack(written(pieces_of(docs, path, end_id, capacity), "pieces"), capacity, block)
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, block: int = BLOCK, memo: int = MEMO) -> DataFrame:
+    """Packs documents; one row per piece with its sequence and place there. A larger memo saves time for about 200
+    bytes of a worker's memory a piece; the default leaves room for the stages of a pipeline."""
+    return pack(written(pieces_of(docs, path, end_id, capacity, memo=memo), "pieces"), capacity, block)

@@ -22,7 +22,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, memo=1_200_000)
 
 
 def op7_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
