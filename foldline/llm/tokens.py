@@ -28,6 +28,7 @@ def encoder(path: str, words_only: bool, memo: int = MEMO) -> Encoder:
     """The worker's encoder for a vocabulary file; made once a process."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path, words_only, memo)
+    _LOADED[path].most = memo
     return _LOADED[path]
 
 
