@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
@@ -109,3 +110,45 @@ def test_rows_of_one_id_are_dealt_over_blocks(spark):
     got = packing.pack(pieces, capacity=1000, block=50).collect()
     per = np.unique([r["sequence_id"] >> 32 for r in got], return_counts=True)[1]
     assert len(got) == 400 and len(per) > 4 and per.max() < 120
+
+
+def test_local_search_tries_every_underfull_bin():
+    lengths = np.random.default_rng(0).integers(1000, 1701, 2048)
+    bins = packing.Bins(lengths, 4096)
+    bins.best_fit()
+    before = len(bins.items)
+    bins.search()
+    assert before - sum(map(bool, bins.items)) >= 40 and sorted(x for items in bins.items for x in items) == list(range(2048))
+    assert [sum(bins.lengths[x] for x in items) for items in bins.items] == bins.fill and max(bins.fill) <= 4096
+    # No move or swap of two small bins is left that raises the sum of squares.
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        bins = packing.Bins(rng.integers(20, 60, 24), 100)
+        bins.best_fit()
+        bins.search()
+        live = [b for b in range(len(bins.items)) if bins.items[b]]
+        if len(live) == bins.least():
+            continue
+        total = lambda xs: sum(bins.lengths[x] for x in xs)
+        for a in live:
+            for b in live:
+                outs = [c for k in (1, 2) for c in itertools.combinations(bins.items[a], k)]
+                for out, back in itertools.product(outs, [(), *((x,) for x in bins.items[b])]):
+                    moved = total(out) - total(back)
+                    if a != b and bins.fill[b] + moved <= 100 and bins.fill[a] - moved <= 100:
+                        assert moved * (bins.fill[b] - bins.fill[a] + moved) <= 0
+    bins = packing.Bins(np.array([1] * 70 + [30]), 100)
+    bins.items, bins.fill = [list(range(70)), [70]], [70, 30]
+    bins.search()
+    assert sum(map(bool, bins.items)) == 1
+
+
+def test_part_filled_bins_of_blocks_are_packed_together(spark):
+    pieces = spark.range(300).selectExpr("id doc_id", "0 piece", "0L start", "60L + id % 7 length", "7L ids_crc32")
+    rows = packing.pack(pieces.unionByName(pieces.selectExpr("doc_id + 300 doc_id", "piece", "start", "30L - doc_id % 7 length", "ids_crc32")), capacity=1000, block=20).collect()
+    bins: dict[int, list] = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == 600 and len(bins) <= -(-sum(r["length"] for r in rows) // 1000) + 12
+    for found in bins.values():
+        assert [o for o, _ in sorted(found)] == [sum(n for _, n in sorted(found)[:i]) for i in range(len(found))] and sum(n for _, n in found) <= 1000
