@@ -3,7 +3,11 @@
 A text is normalised: letters A-Z in lower case, lines that are copyright notices dropped, everything but letters,
 digits and characters outside ASCII made one space (typographic quotes and dashes too), and equivalent spellings
 replaced word by word. The SHA-256 of the whole normalised text is joined by hash with the digests of known
-licences and notices, which come from the fixed texts below; that table is of fixed size, so it is broadcast.
+licences and notices, which come from the fixed texts below or a table that is given; it is small and broadcast.
+
+That finds texts that are a licence and nothing else. ``notices`` also finds licences and notices within longer
+texts: a run of whole lines, or of whole paragraphs however their lines are broken, that reads like a known text
+after the same normalisation. It compares the normalised texts themselves, not digests.
 
 Defined cases: null and empty texts, and texts of which nothing is left, have the digest of the empty text and no
 licence; repeated rows are repeated; a null id stays; an empty table gives no rows; further columns are ignored.
@@ -12,6 +16,8 @@ licence; repeated rows are repeated; a null id stays; an empty table gives no ro
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,23 +71,71 @@ Unless required by applicable law or agreed to in writing, software distributed
 )
 
 
-def normalised(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    words = F.regexp_replace(F.regexp_replace(low, NOTICE, "\n"), NOT_WORD, " ")
-    words = F.concat(F.lit(" "), words, F.lit(" "))
+#: Full texts, a file each, named by its SPDX id.
+TEXTS = Path(__file__).with_name("license_texts")
+#: Ends of a line and of a paragraph in normalised texts; a text's own ones count as spaces.
+LINE, PARAGRAPH = "\ue000", "\ue001"
+
+
+def full_texts(path: Path = TEXTS) -> list[tuple[str, str]]:
+    """(SPDX id, text) of the full texts, without what follows the end of their terms."""
+    return [(f.stem, f.read_text().split("END OF TERMS AND CONDITIONS")[0]) for f in sorted(path.glob("*.txt"))]
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), NOT_WORD, " ")
+
+
+def _spelled(words: Column) -> Column:
     for old, new in SPELLINGS:
         words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(words)
+    return words
 
 
-def known(like: DataFrame) -> DataFrame:
-    """license_digest, license: the fixed table."""
-    rows = like.sparkSession.createDataFrame(list(KNOWN), "license string, body string")
+def normalised(text: Column) -> Column:
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.trim(_spelled(_words(F.regexp_replace(low, NOTICE, "\n"))))
+
+
+def marked(text: Column) -> Column:
+    """Words of a text with LINE at each end of a line."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase + LINE + PARAGRAPH, string.ascii_lowercase + "  ")
+    return _words(F.regexp_replace(F.regexp_replace(low, NOTICE, "\n"), r"\r\n|\r|\n", f" {LINE} "))
+
+
+def by_line(words: Column) -> Column:
+    """LINE, then each line that holds a word and LINE behind it."""
+    return F.trim(_spelled(F.regexp_replace(F.concat(F.lit(f" {LINE}"), words, F.lit(f"{LINE} ")), f"{LINE}( {LINE})+", LINE)))
+
+
+def by_paragraph(words: Column) -> Column:
+    """PARAGRAPH, then each paragraph as one line and PARAGRAPH behind it; lines without a word part paragraphs."""
+    ends = F.regexp_replace(F.concat(F.lit(f" {LINE} {LINE}"), words, F.lit(f"{LINE} {LINE} ")), f"{LINE}( {LINE})+", PARAGRAPH)
+    return F.trim(_spelled(F.replace(ends, F.lit(f" {LINE} "), F.lit(" "))))
+
+
+def known(like: DataFrame, table: Iterable[tuple[str, str]] = KNOWN) -> DataFrame:
+    """license_digest, license: the table by digest."""
+    rows = like.sparkSession.createDataFrame(list(table), "license string, body string")
     return rows.select(F.sha2(normalised(F.col("body")).cast("binary"), 256).alias("license_digest"), "license").dropDuplicates(["license_digest"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: Iterable[tuple[str, str]] = KNOWN) -> DataFrame:
     """Per document: doc_id, digest of its normalised text, license (null if none is known by it)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("digest"))
-    found = F.broadcast(known(docs))
+    found = F.broadcast(known(docs, table))
     return rows.join(found, rows["digest"] == found["license_digest"], "left").select("doc_id", "digest", "license", F.col("license").isNotNull().alias("licensed"))
+
+
+def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: Iterable[tuple[str, str]] | None = None) -> DataFrame:
+    """Per document: doc_id, licenses (sorted ids of all known texts that it holds), licensed. table: (id, text); the
+    fixed and the full texts if none is given."""
+    bodies = docs.sparkSession.createDataFrame([*KNOWN, *full_texts()] if table is None else list(table), "license string, body string")
+    bodies = bodies.filter(normalised(F.col("body")) != "").select("license", marked(F.col("body")).alias("words"))
+    one = bodies.agg(F.collect_list(F.struct("license", by_line(F.col("words")).alias("lines"), by_paragraph(F.col("words")).alias("paragraphs"))).alias("bodies"))
+    words = docs.select(F.col(id_col).alias("doc_id"), marked(F.col(text_col)).alias("words"))
+    # Joined before the search, so that a text is normalised once and not for each body; the table is one row.
+    rows = words.select("doc_id", by_line(F.col("words")).alias("lines"), by_paragraph(F.col("words")).alias("paragraphs")).crossJoin(F.broadcast(one))
+    held = F.filter("bodies", lambda b: F.contains(F.col("lines"), b["lines"]) | F.contains(F.col("paragraphs"), b["paragraphs"]))
+    rows = rows.select("doc_id", F.array_sort(F.array_distinct(F.transform(held, lambda b: b["license"]))).alias("licenses"))
+    return rows.select("doc_id", "licenses", (F.size("licenses") > 0).alias("licensed"))

@@ -121,3 +121,12 @@ QUERIES |= {
     "op9_quality_classifier": op9_quality_classifier,
 }
 SQL["op8_license_scan"] = _license_sql()
+
+
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences within longer texts too; op8_license_scan is held to texts that are one licence as a whole by its SQL."""
+    return licenses.notices(table(spark, sf_dir, "documents")).withColumn("licenses", F.array_join("licenses", ","))
+
+
+#: Queries beside the numbered ones.
+MORE = {"license_notices": license_notices}

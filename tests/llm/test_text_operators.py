@@ -145,6 +145,34 @@ def test_licences(spark, edges, nothing):
     assert licenses.scan(edges).count() == edges.count() and licenses.scan(nothing).count() == 0
 
 
+def test_notices_within_texts(spark, edges, nothing):
+    mit, zlib = licenses.KNOWN[0][1], licenses.KNOWN[5][1]
+    gpl = dict(licenses.full_texts())["GPL-3.0-only"]
+    line = "This work is licensed under the GNU General Public License, version 3."
+    texts = [
+        f"some words\n{line}\nmore words", f"some words {line}\nmore", line[:-1] + " or later\nx", f"first\r\n\r\n# {line.upper()}\r\n# Released under the MIT Licence.\r\nlast",
+        "A file.\n\n" + mit.replace(" and ", "\nand ") + "\n\nAnd more.", "A file.\n" + zlib + "\nend", mit.replace("free of charge", "for a fee"), None, "", "\ue000 " + line, f"x\n\n{gpl}\n\ny", line,
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, line])], "doc_id long, text string, licenses string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.notices(docs).collect()}
+    gnu = ["GPL-3.0-only"]
+    assert got == {0: gnu, 1: [], 2: [], 3: ["GPL-3.0-only", "MIT"], 4: ["MIT"], 5: ["Zlib"], 6: [], 7: [], 8: [], 9: gnu, 10: gnu, 11: gnu, 12: gnu}
+    own = {r["doc_id"]: r["licenses"] for r in licenses.notices(docs, table=[("own", "More words"), ("none", " ... ")]).collect()}
+    assert own.pop(0) == ["own"] and not any(own.values())
+    assert {r["license"] for r in licenses.scan(docs, table=[("own", line)]).collect()} == {"own", None}
+    assert licenses.notices(edges).count() == edges.count() and licenses.notices(nothing).count() == 0
+
+
+def test_notices_of_the_table(spark, data):
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    lines = {t: k for k, t in licenses.KNOWN if "\n" not in t}
+    want = {r["doc_id"]: ",".join(sorted({lines[x] for x in r["text"].split("\n") if x in lines})) for r in rows}
+    found = Q.MORE["license_notices"](spark, data)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["licenses"] for r in found.collect()} == want and sum(map(bool, want.values())) > 2
+    assert not any(x in plan for x in ("Python", "Pandas", "InArrow", "CartesianProduct")), plan
+
+
 # Quality
 
 
