@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as c
 from ..operators import readmodels as r
-from ..sources import lift
+from ..sources import lift, scans
 from ..sources.lift import table, with_
 from .registry import query
 
@@ -238,11 +238,13 @@ def catalog_supplier(spark: SparkSession, sf: str) -> DataFrame:
 _REBUILD = "w AS (SELECT o_custkey AS key, 'f-' || o_orderkey AS value, o_orderkey * 4 + 2 AS place, 0 AS ordinal FROM orders WHERE o_orderstatus = 'F' AND o_orderkey * 4 + 2 <= 40000 UNION ALL SELECT o_custkey, 'u-' || o_orderkey, o_orderkey * 4 + 2, 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey * 4 + 2 <= 40000), m AS (SELECT key, max_by(value, place * 10 + ordinal) AS value FROM w GROUP BY 1)"
 
 
-def _rebuilt(spark: SparkSession, sf: str, policy: str) -> DataFrame:
+def _rebuilt(spark: SparkSession, sf: str, policy: str, head: int | None = 40000) -> DataFrame:
+    """head: None captures the log's."""
     o = table(spark, sf, "orders").withColumn("global_position", F.col("o_orderkey") * 4 + 2)
     rows = lambda prefix, condition: lambda e: e.filter(condition).select(F.col("o_custkey").alias("key"), F.concat(F.lit(prefix), F.col("o_orderkey").cast("string")).alias("value"), "global_position")
     targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.lit("old").alias("value"))
-    return r.rebuild(targets, o, 40000, [rows("f-", "o_orderstatus = 'F'"), rows("u-", "o_orderpriority = '1-URGENT'")], policy)
+    head = scans.captured(o) if head is None else head
+    return r.rebuild(targets, o, head, [rows("f-", "o_orderstatus = 'F'"), rows("u-", "o_orderpriority = '1-URGENT'")], policy)
 
 
 @query(f"WITH {_REBUILD} SELECT key, value FROM m")
@@ -255,6 +257,21 @@ def rebuild_preserved(spark: SparkSession, sf: str) -> DataFrame:
     return _rebuilt(spark, sf, "preserve")
 
 
+_REBUILD_WHOLE = "w AS (SELECT o_custkey AS key, 'f-' || o_orderkey AS value, o_orderkey * 4 + 2 AS place, 0 AS ordinal FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 'u-' || o_orderkey, o_orderkey * 4 + 2, 1 FROM orders WHERE o_orderpriority = '1-URGENT'), m AS (SELECT key, max_by(value, place * 10 + ordinal) AS value FROM w GROUP BY 1)"
+
+
+@query(f"WITH {_REBUILD_WHOLE} SELECT key, value FROM m")
+def rebuild_cleared_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """rebuild_cleared up to the log's own head."""
+    return _rebuilt(spark, sf, "clear", None)
+
+
+@query(f"WITH {_REBUILD_WHOLE} SELECT key, value FROM m UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT key FROM m)")
+def rebuild_preserved_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """rebuild_preserved up to the log's own head."""
+    return _rebuilt(spark, sf, "preserve", None)
+
+
 @query(with_("all_log") + "SELECT unnest(['orders', 'even']) AS adapter, count(*) AS events, unnest([count(*) FILTER (category = 'order'), count(*) FILTER (source_id % 2 = 0)]) AS applied FROM all_log WHERE global_position <= 30000")
 def replay_progress(spark: SparkSession, sf: str) -> DataFrame:
     return r.progress(lift.all_log(spark, sf), 30000, {"orders": F.col("category") == "order", "even": F.col("source_id") % 2 == 0})

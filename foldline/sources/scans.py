@@ -68,6 +68,11 @@ def head(log: DataFrame, *by: str) -> DataFrame:
     return log.groupBy(*by).agg(F.coalesce(F.max("global_position"), F.lit(0)).alias("head"))
 
 
+def captured(log: DataFrame) -> int:
+    """The head of the log as a number, read once, for work that is bounded by it."""
+    return head(log).first()["head"]
+
+
 def watermarks(log: DataFrame, cursor: int, size: int) -> DataFrame:
     """The first streams, by name, with events after a cursor, and their last positions."""
     found = log.groupBy("stream_name").agg(F.max("global_position").alias("watermark")).filter(F.col("watermark") > cursor)
