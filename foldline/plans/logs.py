@@ -86,6 +86,14 @@ def kway_merge(spark: SparkSession, sf: str) -> DataFrame:
     return scans.merge(*parts).select("global_position", "stream_name", "category", F.lag("global_position", 1, 0).over(Window.partitionBy("category").orderBy("global_position")).alias("before"))
 
 
+@query(with_("all_log") + "SELECT global_position, stream_name, category, lag(global_position, 1, 0) OVER (PARTITION BY category ORDER BY global_position) AS before FROM all_log")
+def kway_merge_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """kway_merge of the whole log."""
+    log = lift.all_log(spark, sf)
+    parts = [log.filter(F.col("category") == c) for c in ("event", "order", "customer")]
+    return scans.before(scans.merge(*parts), "category").select("global_position", "stream_name", "category", "before")
+
+
 @query(with_("all_log") + "SELECT global_position, count(*) AS n FROM (SELECT global_position FROM all_log UNION ALL SELECT global_position FROM all_log WHERE category = 'customer' AND source_id % 50 = 0) GROUP BY ALL HAVING count(*) > 1")
 def merge_clashes(spark: SparkSession, sf: str) -> DataFrame:
     log = lift.all_log(spark, sf)

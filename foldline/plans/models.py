@@ -275,3 +275,10 @@ def rebuild_preserved_whole(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_("all_log") + "SELECT unnest(['orders', 'even']) AS adapter, count(*) AS events, unnest([count(*) FILTER (category = 'order'), count(*) FILTER (source_id % 2 = 0)]) AS applied FROM all_log WHERE global_position <= 30000")
 def replay_progress(spark: SparkSession, sf: str) -> DataFrame:
     return r.progress(lift.all_log(spark, sf), 30000, {"orders": F.col("category") == "order", "even": F.col("source_id") % 2 == 0})
+
+
+@query(with_("all_log") + "SELECT unnest(['orders', 'even']) AS adapter, count(*) AS events, unnest([count(*) FILTER (category = 'order'), count(*) FILTER (source_id % 2 = 0)]) AS applied FROM all_log")
+def replay_progress_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """replay_progress up to the log's own head."""
+    log = lift.all_log(spark, sf)
+    return r.progress(log, scans.captured(log), {"orders": F.col("category") == "order", "even": F.col("source_id") % 2 == 0})

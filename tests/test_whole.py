@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from foldline.plans import QUERIES
+from foldline.sources import lift, scans
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -17,3 +19,20 @@ def test_rebuilds_reach_the_head(spark):
     for name in ("rebuild_cleared_whole", "rebuild_preserved_whole"):
         got = {r["key"]: r["value"] for r in QUERIES[name](spark, LARGER).collect()}
         assert {k: int(v[2:]) for k, v in got.items() if v != "old"} == want
+
+
+def test_merge_and_progress_reach_the_head(spark):
+    log = lift.all_log(spark, LARGER)
+    n, head = log.count(), scans.captured(log)
+    assert head > 40000 and QUERIES["kway_merge_whole"](spark, LARGER).agg(F.count(F.lit(1)), F.max("global_position")).first() == (n, head)
+    assert {r["events"] for r in QUERIES["replay_progress_whole"](spark, LARGER).collect()} == {n}
+
+
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_positions_before(spark, run):
+    rows = [(p, "ab"[p % 5 > 1]) for p in (1, 2, 3, 5, 8, 13, 21, 22, 23, 40, 41, 90)]
+    want, last = {}, {}
+    for p, k in rows:
+        want[p], last[k] = last.get(k, 0), p
+    got = scans.before(spark.createDataFrame(rows, "global_position long, k string"), "k", run=run).collect()
+    assert {r["global_position"]: r["before"] for r in got} == want
