@@ -181,6 +181,27 @@ def catalog_order(spark: SparkSession, sf: str) -> DataFrame:
     return c.out_of_order(s.select((F.col("s_suppkey") % 3).cast("int").alias("grp"), F.col("s_suppkey").alias("name"), F.col("s_suppkey").alias("position")), edges)
 
 
+def _whole_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier depends on one whose place among all of them is given by its key."""
+    s = table(spark, sf, "supplier")
+    k, n = F.col("s_suppkey"), s.agg(F.count(F.lit(1)).alias("n"))
+    return s.crossJoin(F.broadcast(n)).select(k.alias("name"), ((k * k + 3) % F.col("n")).alias("depends_on"))
+
+
+@query()
+def catalog_cycle_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """catalog_cycle over the edges of all suppliers; a cycle may be as long as there are names."""
+    edges = _whole_edges(spark, sf)
+    return c.cycles(edges, edges.count())
+
+
+@query("WITH e AS (SELECT s_suppkey AS name, (s_suppkey * s_suppkey + 3) % (SELECT count(*) FROM supplier) AS depends_on FROM supplier) SELECT (a.s_suppkey % 3)::INT AS grp, e.name, e.depends_on FROM e JOIN supplier a ON a.s_suppkey = e.name JOIN supplier b ON b.s_suppkey = e.depends_on AND b.s_suppkey % 3 = a.s_suppkey % 3 WHERE b.s_suppkey >= a.s_suppkey")
+def catalog_order_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """catalog_order over the edges of all suppliers."""
+    order = table(spark, sf, "supplier").select((F.col("s_suppkey") % 3).cast("int").alias("grp"), F.col("s_suppkey").alias("name"), F.col("s_suppkey").alias("position"))
+    return c.out_of_order(order, _whole_edges(spark, sf))
+
+
 @query("SELECT 'removed' AS finding, c_custkey AS name FROM customer WHERE c_custkey % 12 = 0 UNION ALL SELECT 'moved', c_custkey FROM customer WHERE c_custkey % 12 <> 0 AND c_custkey % 10 = 1")
 def catalog_evolution(spark: SparkSession, sf: str) -> DataFrame:
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("name"), F.col("c_nationkey").alias("owner"))

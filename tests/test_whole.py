@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from foldline.operators import catalog
 from foldline.plans import QUERIES
 from foldline.sources import lift, scans
 
@@ -36,3 +37,20 @@ def test_positions_before(spark, run):
         want[p], last[k] = last.get(k, 0), p
     got = scans.before(spark.createDataFrame(rows, "global_position long, k string"), "k", run=run).collect()
     assert {r["global_position"]: r["before"] for r in got} == want
+
+
+def test_long_cycles_and_every_supplier(spark):
+    edges = [(i, (i + 1) % 150) for i in range(150)] + [(200, 0), (201, 201)]
+    found = catalog.cycles(spark.createDataFrame(edges, "name long, depends_on long"), len(edges))
+    assert {r["name"] for r in found.collect()} == {*range(150), 201}
+    n = spark.read.parquet(f"{LARGER}/supplier.parquet").count()
+    dep, want = {k: (k * k + 3) % n for k in range(n)}, set()
+    for k in dep:
+        at = dep[k]
+        for _ in range(n):
+            if at == k:
+                want.add(k)
+            at = dep[at]
+    assert {r["name"] for r in QUERIES["catalog_cycle_whole"](spark, LARGER).collect()} == want and 0 < len(want) < n
+    got = {(r["grp"], r["name"], r["depends_on"]) for r in QUERIES["catalog_order_whole"](spark, LARGER).collect()}
+    assert got == {(k % 3, k, d) for k, d in dep.items() if d >= k and d % 3 == k % 3}
