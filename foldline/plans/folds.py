@@ -76,6 +76,17 @@ def decide_commands(spark: SparkSession, sf: str) -> DataFrame:
     return fold.decide(states, commands, fold.USERS)
 
 
+@query(with_("event_log") + ", " + state_sql("event_log") + """, c AS (SELECT event_id AS command_id, stream_name, event_type AS command FROM event_log),
+n AS (SELECT c.*, coalesce(vertex, 'New') AS vertex, coalesce(version, 0) AS version FROM c LEFT JOIN state USING (stream_name)),
+o AS (SELECT *, CASE WHEN command = 'error' THEN vertex WHEN vertex = 'New' AND command = 'signup' THEN 'Active' WHEN vertex = 'Active' AND command IN ('view', 'click') THEN 'Active' WHEN vertex <> 'New' AND command = 'purchase' THEN 'Customer' WHEN vertex = 'Customer' AND command IN ('view', 'click') THEN 'Customer' END AS next_vertex FROM n)
+SELECT command_id, stream_name, command, vertex, version, (next_vertex IS NOT NULL)::BIGINT AS matches, CASE WHEN next_vertex IS NULL THEN 'rejected' WHEN next_vertex = vertex AND command IN ('view', 'click') THEN 'no-op' ELSE 'accepted' END AS outcome, next_vertex FROM o""")
+def decide_commands_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a command against its stream's state after the whole log."""
+    log = lift.event_log(spark, sf)
+    commands = log.select(F.col("event_id").alias("command_id"), "stream_name", F.col("event_type").alias("command"))
+    return fold.decide(fold.replay(log, fold.USERS), commands, fold.USERS)
+
+
 @query(with_("event_log") + ", h AS (SELECT stream_name, max(stream_version) AS head FROM event_log WHERE event_id < 5000 GROUP BY 1) SELECT e.event_id, e.stream_name, coalesce(h.head, 0) + row_number() OVER (PARTITION BY e.stream_name ORDER BY e.event_id) AS stream_version FROM event_log e LEFT JOIN h USING (stream_name) WHERE e.event_id >= 5000")
 def append_positions(spark: SparkSession, sf: str) -> DataFrame:
     log = lift.event_log(spark, sf)

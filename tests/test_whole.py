@@ -54,3 +54,9 @@ def test_long_cycles_and_every_supplier(spark):
     assert {r["name"] for r in QUERIES["catalog_cycle_whole"](spark, LARGER).collect()} == want and 0 < len(want) < n
     got = {(r["grp"], r["name"], r["depends_on"]) for r in QUERIES["catalog_order_whole"](spark, LARGER).collect()}
     assert got == {(k % 3, k, d) for k, d in dep.items() if d >= k and d % 3 == k % 3}
+
+
+def test_every_event_is_decided(spark):
+    n = spark.read.parquet(f"{LARGER}/events.parquet").count()
+    got = QUERIES["decide_commands_whole"](spark, LARGER)
+    assert got.count() == got.select("command_id").distinct().count() == n
