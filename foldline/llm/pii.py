@@ -60,7 +60,8 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _CHAIN = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
+_IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}") for n in set(IBAN_LENGTH.values())}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -136,17 +137,15 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    for found in _IBAN.finditer(text):
-        want = IBAN_LENGTH.get(found[0][:2])
-        if not want:
-            continue
-        end, have = found.start(), 0
-        while end < found.end() and have < want:
-            have += text[end] != " "
-            end += 1
-        code = text[found.start() : end].replace(" ", "")
-        if len(code) == want and not (text[end : end + 1].isalnum()) and mod97(code):
-            yield found.start(), end
+    """By the country's own length from each start; on behind an accepted code, else a character further."""
+    found = _IBAN.search(text)
+    while found:
+        start, at, want = found.start(), found.start() + 1, IBAN_LENGTH.get(found[1])
+        rest = _IBAN_REST[want].match(text, found.end()) if want else None
+        if rest and not text[rest.end() : rest.end() + 1].isalnum() and mod97(text[start : rest.end()].replace(" ", "")):
+            at = rest.end()
+            yield start, at
+        found = _IBAN.search(text, at)
 
 
 def _score(kind: str, text: str, start: int) -> float:

@@ -133,6 +133,13 @@ def test_presence_is_of_the_whole_text():
     assert a.sum() > b.sum() and langid.presence("12 34") is None
 
 
+def test_ibans_in_a_row():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    for text in (f"{de} {gb}", f"AB12 3456 7890 1234 {de}", f"DE00 3704 0044 0532 0130 00 {gb} {de}", f"{de}X {gb}", f"{de},{gb.replace(' ', '')}"):
+        got = [text[a:b] for a, b in pii.ibans(text)]
+        assert got == sorted((x for x in (de, gb, gb.replace(" ", "")) if x in text and x + "X" not in text), key=text.index), text
+
+
 # Licences
 
 
