@@ -11,20 +11,23 @@ Steps, none of which holds an unbounded group or a broadcast:
 1. *Shared shingles.* Sets are hashed in Python, by blocks; a first pass counts each shingle over all documents
    and returns, for each document, how many of its shingles occur elsewhere too. Every shingle that two linked
    documents have in common occurs twice, so a document with fewer than t of its shingles shared has no link.
-2. *Classes.* Of the rest, documents of one set are one class, named by its smallest id; from here on only the
-   classes' representatives count.
+2. *Classes.* Of the rest, rows of one set are one class with a number of its own; from here on only the classes'
+   representatives count.
 3. *Prefixes* over the exact counts among representatives.
 4. *Links.* In a group of near copies all pairs of a posting list would grow with its square. In each round every
-   list has one pivot; only the pairs of a pivot and a member of another component are verified, and what is
-   linked is joined into one component. Lists within one component are done: their pairs can join nothing new.
-   After the rounds all pairs of different components that are left in a list are verified, with no cap.
-5. *Components* by label propagation with shortcuts over written tables.
+   list has one pivot; only a pivot and a member of another component are paired, and what is linked is joined
+   into one component. Lists within one component are done: their pairs can join nothing new. After the rounds
+   all pairs of different components that are left in a list are decided, with no cap. Every pair must share the
+   prefix shingles that its extensions call for (``matched``) before its sets are fetched and compared.
+5. *Components* by label propagation with shortcuts over written tables; then labels of rows that have one id are
+   joined, and each component gets its smallest id.
 
 The similarity test is exact in integers (100 * shared >= 80 * union) on sets of 64-bit shingle hashes.
 
 Defined cases: a null, empty or word-less text has no shingles and stays alone; fewer words than a shingle make
-one shingle; repeated texts are one class; a null doc_id has a null component; repeated ids are one document
-each row of which is compared; empty tables give no rows; further columns are ignored.
+one shingle; repeated texts are one class; rows with one id are one document that has the links of all of them, and
+each row gives its own n_shingles; rows with a null id are documents of their own, through which links run, but
+their class_id and component_id are null; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +52,8 @@ EXTEND = 8
 VERIFY = 0.25
 ROUNDS = 2
 #: Shingles that a bucket of the first pass should hold, and that a block of rows is closed at.
-BUCKET = 1 << 19
-BLOCK = 1 << 19
+BUCKET = 1 << 18
+BLOCK = 1 << 18
 #: Shingles of a message at least, and buckets at most; beyond that the buckets grow (2**18 hold 10**13 shingles).
 MESSAGE = 64
 MOST_BUCKETS = 1 << 18
@@ -116,23 +119,24 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, both[rows].astype(np.int64)
 
 
-def _dealt(sets: list[np.ndarray], buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes, bytes]]]:
+def _dealt(sets: list[np.ndarray], buckets: int, head: int) -> tuple[np.ndarray, list[tuple[int, bytes, bytes]]]:
     """Of a block of rows: how many of each row's shingles another row of it has, and the messages (bucket, bits,
-    packed counts); bucket 0 always gets one."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    packed counts); the bucket ``head`` always gets one."""
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
+    del order
     same = np.concatenate([[False], every[1:] == every[:-1]])
     many = same | np.concatenate([same[1:], [False]])
     # A shingle of several rows here is shared already: it is sent once, after the others, and for no row.
     local = np.bincount(owner[many], minlength=len(sets))
     send = np.concatenate([np.flatnonzero(~many), np.flatnonzero(many & ~same)])
-    bits, row = every[send], np.concatenate([owner[~many], np.full(len(send) - np.count_nonzero(~many), len(sets))])
-    bucket = (mix64(bits) >> np.uint64(32)).astype(np.int64) % buckets
+    bits, row = every[send], np.concatenate([owner[~many], np.full(np.count_nonzero(many & ~same), len(sets), np.int32)])
+    del every, owner, send
+    bucket = ((mix64(bits) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
     by = np.lexsort((row, bucket))
     bits, row, bucket = bits[by].astype("<u4"), row[by], bucket[by]
-    used = np.union1d(bucket, [0])
+    used = np.union1d(bucket, [head])
     cut = np.searchsorted(bucket, np.append(used, buckets))
     out = []
     for k, b in enumerate(used.tolist()):
@@ -150,7 +154,7 @@ def count_shared(docs: DataFrame, buckets: int, words: int = WORDS, block: int =
     how many are each row's. A bucket answers each block with the counts of what it found twice. Shingles that
     agree in bucket and bits count as one; that only lets a row stay that has no link, and such accidents stay
     rare because the buckets follow the input. A shingle of many rows is sent once a block, so a common one makes
-    no bucket large.
+    no bucket large. The ids and sizes of a block travel with its message to a bucket that follows from its number.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -158,8 +162,9 @@ def count_shared(docs: DataFrame, buckets: int, words: int = WORDS, block: int =
         part, number, keys, sets, held, schema = (TaskContext.get().partitionId() << 32), 0, [], [], 0, None
 
         def out() -> pa.RecordBatch:
-            local, messages = _dealt(sets, buckets)
-            head = [(keys, [len(x) for x in sets], local.astype("<u4").tobytes())] + [(None, None, None)] * (len(messages) - 1)
+            at = int(mix64(np.array([part + number], np.uint64))[0] % np.uint64(buckets))
+            local, messages = _dealt(sets, buckets, at)
+            head = [(keys, [len(x) for x in sets], local.astype("<u4").tobytes()) if m[0] == at else (None, None, None) for m in messages]
             columns = [[m[0] for m in messages], [part + number] * len(messages), [m[1] for m in messages], [m[2] for m in messages], *zip(*head, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
@@ -277,12 +282,24 @@ def possible(a: str, b: str, percent: int) -> Column:
     return most * (100 + percent) >= (at(a, "n") + at(b, "n")) * percent
 
 
-def verified(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) of nodes those that are alike enough."""
+def matched(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose prefixes share as many shingles as the shorter extension calls for.
+
+    Beyond the prefix that ends first in the order, at most the rest of its set is shared.
+    """
+    one, two = (whole.toDF(side, *[f"{c}_{side}" for c in whole.columns[1:]]) for side in "ab")
+    common = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    enough = (common >= F.least("l_a", "l_b")) & ((common + F.greatest("rest_a", "rest_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    return pairs.join(one, "a").join(two, "b").filter(enough).select("a", "b")
+
+
+def verified(pairs: DataFrame, whole: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b) of nodes those that are alike enough; only pairs that match have their sets fetched."""
+    pairs = written(matched(pairs, whole, percent), "matched")
     left = reps.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = reps.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -290,9 +307,10 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "edges")
     now = written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "labels")
     while True:
-        near = edges.join(now.toDF("b", "next"), "b").groupBy("a").agg(F.min("next").alias("next"))
+        # By broadcast where the labels are few, so that a node of many links doesn't make one task large.
+        near = edges.join(broadcast_if_small(now, 16).toDF("b", "next"), "b").groupBy("a").agg(F.min("next").alias("next"))
         step = now.join(near, "a").select("a", F.least("to", "next").alias("next"))
-        jump = now.toDF("next", "far")
+        jump = broadcast_if_small(now, 16).toDF("next", "far")
         step = written(step.join(jump, "next").join(now, "a").select("a", F.least("next", "far").alias("to"), (F.least("next", "far") < F.col("to")).alias("moved")), "labels")
         moved = step.filter("moved").limit(1).count()
         now = step.select("a", "to")
@@ -305,55 +323,71 @@ def linked(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, label for the representatives that can have a link."""
     posts = written(prefixes(reps, percent), "posts")
     labels = written(posts.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    rest = (F.col("n") - F.col("alone") - F.col("size")).alias("rest")
+    whole = written(posts.groupBy("node", "n", "l", rest).agg(F.collect_list("token").alias("prefix")), "prefixes")
     # The pivot of a list has the fewest shingles of its own, so it is nearest to the rest; in the second round the
     # pivot is the nearest of those that the first one didn't join.
     nearest = F.min(F.struct("alone", F.xxhash64("node").alias("order"), "node", "n", "at", "label")).alias("pivot")
     for turn in range(ROUNDS):
-        here = posts.join(labels, "node")
+        here = posts.join(broadcast_if_small(labels, 16), "node")
         lists = here.groupBy("token").agg(nearest, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         if turn:
             lists = here.join(lists.select("token", F.col("pivot.label").alias("done")), "token").filter("label <> done").groupBy("token").agg(nearest)
         pairs = here.join(lists.select("token", "pivot"), "token").filter((F.col("label") != F.col("pivot.label")) & possible("{}", "pivot.{}", percent))
         pairs = written(pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
-        labels = merged(labels, verified(pairs, reps, percent))
+        labels = merged(labels, verified(pairs, whole, reps, percent))
     # What is left: all pairs of different components in a list. They meet at a shingle within the shorter prefixes that
     # their sizes call for; there the longer prefixes of both must share enough, before anything is put out.
-    here = posts.join(labels, "node").withColumn("rest", F.col("n") - F.col("alone") - F.col("size"))
+    here = posts.join(broadcast_if_small(labels, 16), "node").withColumn("rest", F.col("n") - F.col("alone") - F.col("size"))
     lists = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     here = written(here.filter(f"(n - at) * 100 >= n * {percent}").join(lists, "token", "left_semi"), "open")
-    whole = posts.join(here.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("token").alias("prefix"))
-    here = here.join(whole, "node")
+    here = here.join(whole.select("node", "prefix"), "node")
     one, two = (here.toDF(*[c if c == "token" else f"{c}_{side}" for c in here.columns]) for side in "ab")
     need = (F.col("n_a") + F.col("n_b")) * percent
     short = (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent) >= need) & possible("{}_a", "{}_b", percent)
     common = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    # Beyond the prefix that ends first in the order, at most the rest of its set is shared.
     enough = (common >= F.least("l_a", "l_b")) & ((common + F.greatest("rest_a", "rest_b")) * (100 + percent) >= need)
     pairs = one.join(two, (one["token"] == two["token"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & short & enough)
     pairs = written(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
-    return merged(labels, verified(pairs, reps, percent))
+    return merged(labels, verified(pairs, whole, reps, percent))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after links between nodes."""
-    links = written(links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+    few = broadcast_if_small(labels, 16)
+    links = written(links.join(few.toDF("a", "la"), "a").join(few.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
     return components(labels, links) if links.limit(1).count() else labels
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """doc_id, class_id, component_id of the ids in rows (doc_id, class_id, label): labels that an id has in common are
+    joined, and each component is named by its smallest id."""
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("b"), F.max("label").alias("high")).filter("b < high").select("doc_id", "b")
+    links = written(rows.join(several, "doc_id").select(F.col("label").alias("a"), "b").filter("a <> b").distinct(), "same-id")
+    if links.limit(1).count():
+        labels = components(rows.select(F.col("label").alias("node"), "label").distinct(), links)
+        rows = rows.join(broadcast_if_small(labels, 16).toDF("label", "to"), "label").select("doc_id", "class_id", F.col("to").alias("label"))
+    names = written(rows.groupBy("label").agg(F.min("class_id").alias("component_id")), "names")
+    rows = rows.filter("doc_id is not null").join(broadcast_if_small(names, 16), "label")
+    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
+
+
 def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, class_id (smallest id of its set), component_id."""
+    """Per row: doc_id, n_shingles, class_id (smallest id of its set), component_id."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, block = dealing(size // 6)
     every = written(count_shared(docs, buckets, words, block), "sizes")
-    stay = written(every.filter(f"n > 0 and doc_id is not null and shared * 100 >= {percent} * n").select("doc_id").distinct(), "stay")
-    sets = written(sets_of(docs.join(broadcast_if_small(stay, 16), "doc_id", "left_semi"), words), "sets")
-    classes = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    classes = written(classes, "classes")
+    stay = written(every.filter(f"n > 0 and shared * 100 >= {percent} * n").select(F.col("doc_id").alias("stay_id")).distinct(), "stay")
+    here = docs.join(broadcast_if_small(stay, 16), F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    sets = written(sets_of(here, words), "sets").filter("n > 0")
+    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    # Numbered as it is written: a row's number is settled with the file that holds it.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     labels = linked(classes.select("node", "n", "tokens"), percent)
-    mine = sets.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").join(labels, "node", "left")
-    mine = mine.groupBy("doc_id").agg(F.min("node").alias("node"), F.min(F.coalesce("label", "node")).alias("label"))
-    return every.join(mine, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("label", "doc_id").alias("component_id")
+    mine = sets.select("doc_id", "digest").join(broadcast_if_small(classes.select("digest", "node", "class_id"), 40), "digest").join(broadcast_if_small(labels, 16), "node", "left")
+    mine = written(mine.select("doc_id", "class_id", F.coalesce("label", "node").alias("label")), "labelled")
+    return every.join(named(mine), "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -104,6 +104,21 @@ def test_components_match_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+def test_links_through_null_and_repeated_ids(spark):
+    rnd = random.Random(9)
+    base, other = words(rnd, 100), words(rnd, 90)
+    near = lambda w, *at: " ".join("changed" if i in at else x for i, x in enumerate(w))
+    # 1 and 9 are each alike enough to the row without an id, but not to each other.
+    rows = [(1, near(base, 5, 30)), (None, near(base, 5, 60)), (9, near(base, 60, 90)), (None, "of its own"), (None, "")]
+    apart = {r["doc_id"]: r["component_id"] for r in jaccard.similar(spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")).collect()}
+    assert apart == {1: 1, 9: 9}
+    # One id with two texts joins what either is linked with.
+    rows += [(13, " ".join(other)), (15, " ".join(other)), (15, "x " + " ".join(base[::-1])), (17, "y " + " ".join(base[::-1])), (20, "alone here")]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 9: 1, None: None, 13: 13, 15: 13, 17: 13, 20: 20}
+
+
 def test_awkward_rows(spark, edges, nothing):
     got = jaccard.similar(edges).collect()
     assert len(got) == edges.count()
