@@ -231,10 +231,11 @@ def vectors(page: list[Block], start: int = 0, stop: int | None = None) -> Vecto
         first.append(len(slot))
         slot += block.path or (0,)
         weight += [1.0] * max(1, len(block.path))
-        words = block.text.split()
-        count = Counter(PATH_DIM + _slot(x.lower(), WORD_DIM) for x in words)
-        slot += count
-        weight += [x / (2 * len(words)) for x in count.values()]
+        words = block.text.lower().split()
+        # Words of one slot, and the weights they add up to, may stand apart.
+        count, share = Counter(words), 0.5 / len(words)
+        slot += [PATH_DIM + _slot(x, WORD_DIM) for x in count]
+        weight += [x * share for x in count.values()]
         n = len(block.text)
         sizes.append((np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, block.linked / n), block.text[-1] in ".!?…\"'", i / total, min(1.0, block.depth / 16)))
     return Vectors(np.array(slot, np.int64), np.array(weight, np.float32), np.array(first, np.int64), np.array(sizes, np.float32).reshape(-1, SIZES))
