@@ -1,12 +1,14 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust their score.
 
 Base kinds are email, ip, card and phone, leftmost and not overlapping within a kind; a match that fails its test
-is dropped and not tried again. The method adds IBANs (mod 97) and, where a context word stands just before them,
-US social security numbers. Every pattern is scanned in time linear in the text, on runs of characters that can't
-overlap, so a very long run of digits or letters costs no more than prose.
+is dropped and not tried again. The method adds IBANs (mod 97), US social security numbers, and secrets: keys and
+tokens of known forms, private keys, and values that are named as a password, key or token. Every pattern is scanned
+in time linear in the text, on runs of characters that can't overlap, so a very long run of digits or letters costs
+no more than prose.
 
 A span has a score: its kind's prior, plus ``NEAR`` if one of the kind's context words is among the ``CONTEXT``
-characters before it, less ``NEAR`` if a word that speaks against it is. Base spans stay whatever they score.
+characters on either side of it, less ``NEAR`` if a word that speaks against it is. Added kinds must score at least
+``LEAST``; base spans stay whatever they score.
 
 Defined cases: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows are
 repeated; a null id stays; an empty table gives no rows; further columns are ignored.
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = 4
 CONTEXT = 48
 NEAR = 0.2
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
+#: Score that a span of an added kind must reach.
+LEAST = 0.5
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "secret": 0.8}
 FOR = {
     "email": ("mail", "contact", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "login"),
@@ -37,6 +41,7 @@ FOR = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "ssn": ("ssn", "social security", "soc sec"),
+    "secret": ("key", "token", "secret", "password", "passwd", "credential", "credentials", "auth", "api"),
 }
 AGAINST = {
     "email": ("example",),
@@ -45,6 +50,7 @@ AGAINST = {
     "phone": ("order", "serial"),
     "iban": (),
     "ssn": ("order", "part"),
+    "secret": ("example", "placeholder"),
 }
 #: Length of an IBAN by country, from the public registry; fixed values.
 IBAN_LENGTH = {
@@ -63,6 +69,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
 _IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}") for n in set(IBAN_LENGTH.values())}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: Forms of secrets that can be told by how they begin; fixed values. Lengths are those that their makers give.
+_SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,255}"
+    r"|xox[abprs]-[A-Za-z0-9-]{10,255}|(?:sk|rk|pk)[-_](?:live|test|proj|ant)[-_][A-Za-z0-9_-]{16,255}|sk-[A-Za-z0-9]{20,255}|AIza[A-Za-z0-9_-]{35}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"
+    r"|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,255}|ya29\.[A-Za-z0-9_-]{20,255}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+)
+_PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY(?: BLOCK)?-----")
+#: A name for a secret, then = or :, then a value of at least eight characters.
+_NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth[_-]?token|access[_-]?token|secret[_-]?key|private[_-]?key|token)[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?([A-Za-z0-9+/_.!@#$%^&*~-]{8,}+)=*")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -100,6 +115,12 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def small(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def ips(text: str, runs: list[re.Match]) -> Iterator[tuple[int, int]]:
     """Four numbers joined by single dots; from a longer chain the first four, then the next."""
     for run in runs:
@@ -109,7 +130,7 @@ def ips(text: str, runs: list[re.Match]) -> Iterator[tuple[int, int]]:
                 chain = []
             chain.append(part)
             if len(chain) == 4:
-                if all(p.end() - p.start() < 4096 and int(p[0]) <= 255 for p in chain):
+                if all(small(p[0]) for p in chain):
                     yield chain[0].start(), chain[3].end()
                 chain = []
 
@@ -148,10 +169,33 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
         found = _IBAN.search(text, at)
 
 
-def _score(kind: str, text: str, start: int) -> float:
-    before = text[max(0, start - CONTEXT) : start].lower()
-    found = set(re.findall(r"\w+", before))
-    hit = lambda words: any(w in before if " " in w else w in found for w in words)
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Keys and tokens by their form; values by the name before them, unless they look like a word."""
+    found = [x.span() for x in _SECRET.finditer(text)]
+    at = text.find("-----BEGIN ")
+    while at >= 0:
+        begin = _PRIVATE.match(text, at)
+        end = at + 1
+        if begin:
+            last = text.find("-----END ", begin.end())
+            close = text.find("-----", last + 9) if last >= 0 else -1
+            end = close + 5 if close >= 0 else begin.end()
+            found.append((at, end))
+        at = text.find("-----BEGIN ", end)
+    for x in _NAMED.finditer(text):
+        if not x[1].isalpha() and not x[1].replace(".", "").isdigit():
+            found.append((x.start(1), x.end()))
+    done = -1
+    for a, b in sorted(found):
+        if a >= done:
+            yield a, b
+            done = b
+
+
+def _score(kind: str, text: str, start: int, end: int) -> float:
+    around = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
+    found = {x for side in around for x in re.findall(r"[^\W_]+", side)}
+    hit = lambda words: any(any(w in side for side in around) if " " in w else w in found for w in words)
     return round(min(1.0, max(0.0, PRIOR[kind] + NEAR * hit(FOR[kind]) - NEAR * hit(AGAINST[kind]))), 4)
 
 
@@ -170,8 +214,9 @@ def find(text: str | None) -> list[Span]:
         found += [("card", *x) for x in cards(text, runs[0].start())]
         found += [("iban", *x) for x in ibans(text)]
         found += [("ssn", *x.span()) for x in _SSN.finditer(text)]
-    spans = [Span(kind, a, b, _score(kind, text, a)) for kind, a, b in found]
-    spans = [x for x in spans if x.kind != "ssn" or x.score > PRIOR["ssn"]]
+    found += [("secret", *x) for x in secrets(text)]
+    spans = [Span(kind, a, b, _score(kind, text, a, b)) for kind, a, b in found]
+    spans = [x for x in spans if x.kind in KINDS[:BASE] or x.score >= LEAST]
     return sorted(spans, key=lambda x: (x.start, KINDS.index(x.kind), x.end))
 
 
@@ -190,12 +235,13 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def report(spans: DataFrame) -> DataFrame:
-    """Counts by base kind, the digest of the base spans, and all spans as text."""
+    """Counts by kind, the digest of the base spans, all spans as text, and their scores in the same order."""
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:BASE]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return spans.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:BASE]],
         F.sha2(F.array_join(F.transform(base, text), ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.transform("spans", text), ",").alias("spans"), count("iban").alias("n_iban"), count("ssn").alias("n_ssn"),
+        F.array_join(F.transform("spans", text), ",").alias("spans"), *[count(k).alias(f"n_{k}") for k in KINDS[BASE:]],
+        F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"), F.array_max(F.transform("spans", lambda s: s["score"])).alias("max_score"),
     )

@@ -98,6 +98,31 @@ def test_added_kinds_and_scores():
     assert time.time() - start < 20
 
 
+def test_leading_zeros_and_context_behind():
+    long = "0" * 5000 + "1"
+    assert [(x.kind, x.end) for x in pii.find(f"{long}.1.1.255")] == [("ip", 5009)]
+    assert not [x for x in pii.find(f"{'0' * 5000}256.1.1.1") if x.kind == "ip"]
+    assert [x.kind for x in pii.find("123-45-6789 is my ssn")] == ["ssn"]
+    assert pii.find("card of mine: 4111 1111 1111 1111")[0].score == pii.find("4111 1111 1111 1111 is the card")[0].score == 1.0
+    assert pii.find("4111 1111 1111 1111 by order")[0].score == 0.6
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "the key AKIA" + "ABCDEFGH" * 2, "token: ghp_" + "a1" * 18, "xoxb-" + "123456789012", "sk_live_" + "a1B2" * 6, "AIza" + "a1B2c" * 7, "password = hunter2!x", 'api_key: "abc123def456"',
+        "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----", "Bearer eyJ" + "a1" * 8 + ".eyJ" + "b2" * 8 + "." + "c3" * 8,
+    ],
+)
+def test_secrets(text):
+    assert [x.kind for x in pii.find(text) if x.kind == "secret"] == ["secret"]
+    assert not any(x.kind == "secret" for x in pii.find("The secret of the password: remember it; token: something, key = 1.5 or sk-ill"))
+    start = time.time()
+    for long in ("eyJ" * 100_000, "-----BEGIN " * 30_000, "password=" * 30_000, "sk-" * 100_000):
+        pii.find(long)
+    assert time.time() - start < 20
+
+
 def test_pii_query(spark, data, docs, edges, nothing):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in Q.op2_pii(spark, data).collect():
