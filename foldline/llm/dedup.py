@@ -4,7 +4,11 @@ A feed of (digest, id, locator) rows, one a document, is written to the shared f
 folds it into keyed state: for each digest the largest id, where that row's content lies, and the number of
 rows. The state is kept on disk by RocksDB and never expires, so a later feed into the same ``Dedup`` folder is
 held against everything seen before. A digest seen once is done. On a hit, that is a digest with more rows, the
-full bytes decide: hit rows are grouped by digest and whole text, pre-aggregated before they are shuffled.
+full bytes decide: the contents of all its rows, those of earlier feeds too, are fetched by their locators and
+grouped by digest and whole text, pre-aggregated before they are shuffled.
+
+A locator is a Parquet file and the row's place in it. Documents that aren't read straight from Parquet files have
+none; they are written into the folder first.
 
 Defined cases: null and empty texts are equal; a null id counts as a row and is never preferred to another id;
 of repeated rows with one id one is as good as the other, and all of them are kept if that id is the one that
@@ -14,7 +18,9 @@ stays; an empty table gives no rows; further columns don't matter.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,18 +41,42 @@ def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-class Dedup:
-    """State in a folder: ``feed`` takes a batch of documents in and returns what is now known of their digests (a row for
-    each micro-batch that a digest came in, as a rule one), ``state`` reads what is known of all."""
+def _as_read(docs: DataFrame, column: str) -> bool:
+    """Whether a column is one of the only table that the rows come from, as it is there."""
+    plan = docs.select(column)._jdf.queryExecution().analyzed()
+    leaves, wanted = plan.collectLeaves(), plan.output().apply(0)
+    if leaves.size() != 1:
+        return False
+    table = leaves.apply(0).output()
+    return any(table.apply(i).semanticEquals(wanted) and table.apply(i).name() == column for i in range(table.size()))
 
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
-        self.spark, self.folder = spark, folder or scratch(spark, "dedup")
 
-    def feed(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        spark = self.spark
-        rows = docs.select(
-            F.unhex(digest(F.col(text_col))).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), F.input_file_name().alias("locator")
-        )
+class Dedup:
+    """State in a folder: ``feed`` takes a batch of documents in and returns what is now known of their digests (a row for
+    each micro-batch that a digest came in, as a rule one), ``state`` reads what is known of all, and ``decided`` tells
+    the last feed's documents apart by their whole texts."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+        self.spark, self.folder, self.id_col, self.text_col = spark, folder or scratch(spark, "dedup"), id_col, text_col
+        self.last, self.seen = "", None
+
+    def located(self, docs: DataFrame) -> DataFrame:
+        """digest, doc_id, locator of each row."""
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        wanted = [F.unhex(digest(F.col(self.text_col))).alias("digest"), F.col(self.id_col).cast("long").alias("doc_id"), place.alias("locator")]
+        if _as_read(docs, self.text_col):
+            try:
+                return docs.select(*wanted)
+            except AnalysisException:  # not from Parquet files
+                pass
+        path = f"{self.folder}/texts-{uuid.uuid4().hex}"
+        docs = docs.select(self.id_col, self.text_col)
+        docs.write.parquet(path)
+        return self.spark.read.schema(docs.schema).parquet(path).select(*wanted)
+
+    def feed(self, docs: DataFrame) -> DataFrame:
+        spark, self.last = self.spark, uuid.uuid4().hex
+        rows = self.located(docs).withColumn("feed", F.lit(self.last))
         rows.write.mode("append").parquet(f"{self.folder}/feed")
         before = {k: spark.conf.get(k, None) for k in STATE}
         for k, v in STATE.items():
@@ -55,7 +85,7 @@ class Dedup:
             stream = spark.readStream.schema(rows.schema).parquet(f"{self.folder}/feed")
             known = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
             known = known.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.locator").alias("locator"), "n")
-            out = f"{self.folder}/seen-{uuid.uuid4().hex}"
+            out = f"{self.folder}/seen-{self.last}"
             spark.createDataFrame([], known.schema).write.parquet(f"{out}/batch=-1")
             # Written on the executors; a micro-batch that runs again replaces its own folder.
             write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
@@ -64,35 +94,48 @@ class Dedup:
         finally:
             for k, v in before.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-        return spark.read.schema(known.schema).parquet(f"{out}/batch=*")
+        self.rows = spark.read.schema(rows.schema).parquet(f"{self.folder}/feed")
+        self.seen = spark.read.schema(known.schema).parquet(f"{out}/batch=*")
+        return self.seen
 
     def state(self) -> DataFrame:
         """digest, keep_id, locator, n: one row a digest ever fed."""
         read = self.spark.read.format("statestore").load(f"{self.folder}/state")
         return read.select("key.digest", F.col("value.max.doc_id").alias("keep_id"), F.col("value.max.locator").alias("locator"), F.col("value.count").alias("n"))
 
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, keep_id (the largest id of its text), group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    known = Dedup(spark)
-    seen = known.feed(docs, id_col, text_col)
-    hits = written(seen.filter("n > 1").select("digest").distinct(), "hits")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.withColumn("digest", F.unhex(digest(F.col("text"))))
-    # Full bytes of the hits: one class a distinct text, whatever its digest.
-    compared = texts.join(broadcast_if_small(hits, 48), "digest", "left_semi")
-    classes = compared.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    narrow = written(classes.select("digest", F.xxhash64("text").alias("text_hash"), "keep_id", "n"), "classes")
-    split = written(narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("digest"), "split")
-    rows = spark.read.schema("digest binary, doc_id long, locator string").parquet(f"{known.folder}/feed").select("digest", "doc_id")
-    found = rows.join(narrow.select("digest", "keep_id", "n"), "digest", "left")
-    if split.count():  # two texts with one digest: these rows are told apart by their text
-        apart = texts.join(split, "digest", "left_semi").join(classes, ["digest", "text"]).select("digest", "doc_id", "keep_id", "n")
-        found = rows.join(split, "digest", "left_anti").join(narrow.select("digest", "keep_id", "n"), "digest", "left").unionByName(apart)
-    alone = F.col("n").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select(
+    def fetched(self, rows: DataFrame) -> DataFrame:
+        """Rows (digest, doc_id, locator, feed) with their texts, read by the locators."""
+        files = [x["file"] for x in rows.select("locator.file").distinct().collect()]  # names of files, not of documents
+        if not files:
+            return rows.select("digest", "doc_id", "feed", F.lit("").alias("text"))
+        texts = self.spark.read.schema(f"`{self.text_col}` string").parquet(*map(unquote, files))
+        texts = texts.select(F.coalesce(F.col(self.text_col), F.lit("")).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        wanted = rows.select("digest", "doc_id", "feed", "locator.file", "locator.row")
+        return texts.join(broadcast_if_small(wanted, 256), ["file", "row"]).select("digest", "doc_id", "feed", "text")
+
+    def decided(self) -> DataFrame:
+        """digest, doc_id, keep_id, n of each row of the last feed, over all feeds; n is null for a digest seen once."""
+        hits = written(self.seen.filter("n > 1").select("digest").distinct(), "hits")
+        texts = self.fetched(written(self.rows.join(broadcast_if_small(hits, 48), "digest"), "hit-rows"))
+        # Full bytes of the hits: one class a distinct text, whatever its digest.
+        classes = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        narrow = written(classes.select("digest", "keep_id", "n"), "classes")
+        split = written(narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("digest"), "split")
+        rows = self.rows.filter(F.col("feed") == self.last).select("digest", "doc_id")
+        if not split.count():
+            return rows.join(narrow, "digest", "left")
+        # Two texts with one digest: these rows are told apart by their text.
+        apart = texts.filter(F.col("feed") == self.last).join(split, "digest", "left_semi").join(classes, ["digest", "text"]).select("digest", "doc_id", "keep_id", "n")
+        return rows.join(split, "digest", "left_anti").join(narrow, "digest", "left").unionByName(apart)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Dedup | None = None) -> DataFrame:
+    """Per document: doc_id, keep_id (the largest id of its text), group_size, kept, text_sha256. known: what earlier
+    feeds are in already; a new one if none is given."""
+    known = known or Dedup(docs.sparkSession, None, id_col, text_col)
+    known.feed(docs)
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return known.decided().select(
         "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -48,6 +48,20 @@ def test_dedup_tells_texts_of_one_digest_apart(spark, monkeypatch):
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in dedup.dedup(docs).collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 1), (4, 4, 1)]
 
 
+def test_digests_clash_across_feeds(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(dedup, "digest", lambda text: F.sha2(F.substring(F.coalesce(text, F.lit("")), 1, 1).cast("binary"), 256))
+    known = dedup.Dedup(spark)
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda docs: sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in dedup.dedup(docs, known=known).collect())
+    assert told(make((1, "ax"), (2, "b"), (9, "c"))) == [(1, 1, 1), (2, 2, 1), (9, 9, 1)]
+    # From a Parquet file the locators are the file's own; a name that needs escaping is read again too.
+    make((3, "ay"), (4, "ax"), (5, "c"), (6, "d")).write.parquet(str(tmp_path / "a b%"))
+    assert told(spark.read.parquet(str(tmp_path / "a b%"))) == [(3, 3, 1), (4, 4, 2), (5, 9, 2), (6, 6, 1)]
+    assert {(r["keep_id"], r["locator"]["row"] is not None) for r in known.state().collect()} == {(4, True), (2, True), (9, True), (6, True)}
+
+
 def test_kept_rows(spark, edges):
     got = dedup.kept_rows(edges)
     assert got.columns == edges.columns
@@ -148,3 +162,17 @@ def test_longer_prefixes_are_chosen_by_cost():
     more, take = jaccard.extension(100, np.array([2] * 100))
     assert take == 100 - 80 + more and more > 1
     assert jaccard.extension(3, np.array([5, 5, 5]))[0] >= 1
+
+
+def test_dedup_of_changed_texts(spark, tmp_path):
+    """Texts that were changed after they were read aren't those that a file has."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "A"), (2, "a"), (3, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    told = lambda docs: sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in dedup.dedup(docs).collect())
+    assert told(docs.withColumn("text", F.lower("text"))) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]
+    assert told(docs.select("doc_id", F.lower("text").alias("text"))) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]
+    assert told(docs.filter("doc_id > 1").union(docs)) == [(1, 1, 1), (2, 2, 2), (2, 2, 2), (3, 3, 2), (3, 3, 2)]
+    assert told(docs.withColumnRenamed("text", "x").withColumn("text", F.col("x"))) == [(1, 1, 1), (2, 2, 1), (3, 3, 1)]
+    assert told(docs.toDF("doc_id", "text").filter("doc_id < 3")) == [(1, 1, 1), (2, 2, 1)]
