@@ -102,9 +102,35 @@ def test_token_files_round_trip(spark, edges, nothing, tmp_path):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], r["ids"]) == (row["doc_id"], at, len(ids), _crc(ids), ids)
         at += len(ids)
     assert spark.read.parquet(f"{tmp_path}/t").count() > 3
+    for token in {0, got[6]["ids"][0], got[6]["ids"][-2], 49_999}:
+        want = sorted((r["doc_id"] or -1, k) for r in got for k, x in enumerate(r["ids"]) if x == token)
+        assert sorted((r["doc_id"] or -1, r["at"]) for r in wavelet.occurrences(spark, f"{tmp_path}/t", token).collect()) == want
     assert wavelet.encode_documents(nothing, BYTE).count() == 0
 
 
+def test_a_file_answers_without_opening_all_of_it():
+    ids = np.random.default_rng(4).integers(0, 40_000, 60_000)
+    names = wavelet.pa.RecordBatch.from_pydict({"doc_id": ["a", None, "c"], "length": [10_000, 20_000, 30_000]})
+    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes(names))
+    assert all(isinstance(p, bytes) for p in m.planes) and m.documents().equals(names)
+    assert m.rank(40_001, 60_000) == 0 and all(isinstance(p, bytes) for p in m.planes)
+    level, one = 3, 1
+    plain = np.flatnonzero(np.unpackbits(m.plane(level), count=m.n) == one)
+    assert [m.select1(level, one, k) for k in range(0, len(plain), 997)] == plain[::997].tolist()
+    assert [m.rank1(level, at) for at in (0, 1, 511, 512, 513, 60_000)] == [(plain < at).sum() for at in (0, 1, 511, 512, 513, 60_000)]
+    assert isinstance(m.planes[0], bytes) and m.planes[0] != m.plane(0).tobytes()
+
+
+def test_rows_of_one_id_go_to_many_ranges(spark, tmp_path):
+    docs = spark.range(600).selectExpr("cast(if(id < 500, 7, null) as bigint) doc_id", "concat(hash(id), ' some words') text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    wavelet.write_tokens(docs, BYTE, f"{tmp_path}/t", shard_tokens=100)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{tmp_path}/t").select("part").distinct().count() == 3
+    got = wavelet.read_documents(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 100 + [7] * 500
+
+
 def test_rows_of_one_id_are_dealt_over_blocks(spark):
     pieces = spark.range(400).selectExpr("cast(null as bigint) doc_id", "0 piece", "0L start", "100L length", "7L ids_crc32")
     got = packing.pack(pieces, capacity=1000, block=50).collect()
