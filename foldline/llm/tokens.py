@@ -90,14 +90,15 @@ class Encoder:
         core = piece.removeprefix(" ")
         return 0 < len(core) and len(piece) <= LONG_PIECE and not core[0].isspace() and not core[-1].isspace()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Puts pieces into the memo. Letters before trailing punctuation are a split of their own."""
-        memo, words, other, later = self.memo, set(), set(), []
+    def learn(self, pieces: set[str]) -> set[str]:
+        """Puts pieces into the memo; returns those whose ids may depend on their neighbours, which aren't put there.
+        Letters before trailing punctuation are a split of their own."""
+        memo, words, other, later, odd = self.memo, set(), set(), [], set()
         punctuation, words_only = string.punctuation, self.words_only
         for piece in pieces:
             core = piece.rstrip(punctuation)
-            if not (core.lower().isalpha() if words_only else core[:1] == " " and core[1:].isalpha()):
-                other.add(piece)
+            if len(piece) > LONG_PIECE or not (core.lower().isalpha() if words_only else core[:1] == " " and core[1:].isalpha()):
+                (other if self.apart(piece) else odd).add(piece)
             elif len(core) == len(piece):
                 words.add(piece)
             else:
@@ -110,6 +111,7 @@ class Encoder:
         new = [x for x in other if x not in memo]
         memo.update(zip(new, self.whole(new), strict=True))
         memo.update([(piece, memo[core] + memo[end]) for piece, core, end in later])
+        return odd
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers; None is an empty text."""
@@ -120,10 +122,11 @@ class Encoder:
             if len(self.memo) > self.most:
                 self.memo.clear()
             found = list(map(self.memo.get, every))
-            missing = [i for i, x in enumerate(found) if x is None]
-            new = {every[i] for i in missing}
-            odd = {x for x in new if not self.apart(x)}
-            self.learn(list(new - odd))
+            missing, at = [], -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                missing.append(at)
+            odd = self.learn({every[i] for i in missing})
             for i in missing:
                 found[i] = self.memo.get(every[i], b"")
             at = 0

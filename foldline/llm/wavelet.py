@@ -37,6 +37,8 @@ SHARD_TOKENS = 250_000
 MEMO = 1_600_000
 #: Bits between two entries of the rank directory.
 RANK_BITS = 512
+#: Rows of one id that may go to one range together.
+ID_ROWS = 100
 #: Bytes of input, as the scan estimates them, that a range of ids should have at most.
 RANGE_BYTES = 64 << 20
 
@@ -60,9 +62,9 @@ class WaveletMatrix:
             ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), RANK_BITS // 8), dtype=np.int64)
             planes.append(plane)
             ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4"))
-            low = np.flatnonzero(~bits)
+            low = np.compress(~bits, now)
             zeros.append(len(low))
-            now = np.concatenate([now[low], now[np.flatnonzero(bits)]])
+            now = np.concatenate([low, np.compress(bits, now)])
         return cls(len(ids), alphabet.astype("<u4"), zeros, ranks, planes)
 
     def plane(self, level: int) -> np.ndarray:
@@ -180,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, to: str, end_id: int = 0, shard_tok
     """Writes the shards as a Parquet table at ``to``: one row a shard, in id ranges, with its file and an index (the
     part and place of the shard, its first token within the part, its tokens, first and last id).
 
-    Ranges are cut by the id and, within one id, by how its texts begin, so that an id of many rows is dealt too.
+    Ranges are cut by the id and, where one has many rows, by how its texts begin, so that those are dealt too.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -216,7 +218,9 @@ def write_tokens(docs: DataFrame, path: str, to: str, end_id: int = 0, shard_tok
         if ids:
             yield shut()
 
-    keys = ["doc_id", F.substring("text", 1, 32)]
+    # Texts are sampled for the ranges only where an id has many rows.
+    most = narrow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    keys = ["doc_id", *([F.substring("text", 1, 32)] if most > ID_ROWS else [])]
     # The session's count of partitions, unless the scan is too large for it; an estimate that is out of all reason is none.
     size = int(str(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = size // RANGE_BYTES if size < 1 << 50 else 0
