@@ -22,6 +22,9 @@ LONG_PIECE = 200
 #: Characters looked up together; small, so that what is at hand fits the processor's cache.
 RUN = 25_000
 _LOADED: dict[str, Encoder] = {}
+#: How byte vocabularies write bytes: printable ones of Latin-1 as they are, the others from U+0100 on in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = dict(zip(sorted({*range(256)} - {*_PRINTED}), range(256, 512)))  # noqa: B905
 
 
 def encoder(path: str, words_only: bool, memo: int = MEMO) -> Encoder:
@@ -40,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words_only = words_only
+        self.words_only, self.model = words_only, self.tokenizer.model
         self.most = memo
         self.memo: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
@@ -54,8 +57,23 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def alone(self, words: list[str]) -> list[bytes]:
+        """The same for pieces of letters alone (after a space, unless white space is dropped): each is one split, so it
+        goes straight to the merges. Where white space is dropped only ASCII does; other words may be changed before."""
+        if self.words_only and not all(map(str.isascii, words)):
+            plain = [w for w in words if w.isascii()]
+            others = [w for w in words if not w.isascii()]
+            found = dict(zip(plain, self.alone(plain), strict=True)) | dict(zip(others, self.joined(others), strict=True))
+            return [found[w] for w in words]
+        merge, ids, ends = self.model.tokenize, [], [0]
+        for word in map(str.lower, words) if self.words_only else [w.encode().decode("latin-1").translate(_SHOWN) for w in words]:
+            ids += [x.id for x in merge(word)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, dtype="<u4").tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def joined(self, words: list[str]) -> list[bytes]:
-        """The same for pieces of letters alone (after a space, unless white space is dropped), as one text."""
+        """The same as one text that the library splits itself."""
         if not words:
             return []
         text = " ".join(words) if self.words_only else "".join(words)
@@ -107,7 +125,7 @@ class Encoder:
                 words.add(core)
                 other.add(end)
         new = [x for x in words if x not in memo]
-        memo.update(zip(new, self.joined(new), strict=True))
+        memo.update(zip(new, self.alone(new), strict=True))
         new = [x for x in other if x not in memo]
         memo.update(zip(new, self.whole(new), strict=True))
         memo.update([(piece, memo[core] + memo[end]) for piece, core, end in later])
