@@ -73,12 +73,31 @@ def _mapped(f: Callable[[str], str], text: Column) -> Column:
     return F.pandas_udf(run, T.StringType())(text)
 
 
+def _fnv(units: Column) -> Column:
+    """FNV-1a over an array of units, in halves of 32 bits so that no product leaves a long."""
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+    def step(h: Column, unit: Column) -> Column:
+        # The prime is 2**40 + 435.
+        mixed = h["lo"].bitwiseXOR(unit)
+        product = mixed * 435
+        high = h["hi"] * 435 + F.shiftright(product, 32) + low(F.call_function("shiftleft", mixed, F.lit(8)))
+        return F.struct(low(high).alias("hi"), low(product).alias("lo"))
+
+    start = F.struct(F.lit(FNV_OFFSET >> 32).cast("long").alias("hi"), F.lit(FNV_OFFSET & 0xFFFFFFFF).cast("long").alias("lo"))
+    text = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.aggregate(units, start, step, lambda h: F.concat(text(h["hi"]), text(h["lo"])))
+
+
 def fnv(text: Column) -> Column:
-    return _mapped(lambda x: fnv1a64(x.encode()), text)
+    """Over the bytes of UTF-8."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("(..)"), F.lit(1))
+    return _fnv(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long")))
 
 
 def fnv_points(text: Column) -> Column:
-    return _mapped(fnv1a64_points, text)
+    """Over code points, as queue names take it."""
+    return _fnv(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), lambda x: F.ascii(x).cast("long")))
 
 
 def canonical_json(value: object) -> str:

@@ -28,20 +28,28 @@ def ownership(targets: DataFrame, projections: DataFrame) -> DataFrame:
     return targets.select("target").join(n, "target", "left").select("target", F.coalesce("owners", F.lit(0)).alias("owners")).filter("owners <> 1")
 
 
-def cycles(edges: DataFrame, most: int = 64) -> DataFrame:
-    """Names on a dependency cycle: edges (name, depends_on). Closure by doubling, written between rounds."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """Names on a dependency cycle of any length, and the least name that they reach and that reaches them:
+    edges (name, depends_on).
+
+    Names that nothing needs or that need nothing are on no cycle; they go first, as long as that thins the edges
+    out. Of the rest the closure is taken by doubling, written between rounds, until it is closed.
+    """
     from .tables import written
 
-    reach = written(edges.select(F.col("name").alias("a"), F.col("depends_on").alias("b")).distinct(), "reach")
-    size = reach.count()
-    for _ in range(most.bit_length()):
+    core = written(edges.select("name", "depends_on").distinct(), "edges")
+    size, now = -1, core.count()
+    while now and (size < 0 or now < 0.9 * size):
+        thin = core.join(core.select(F.col("depends_on").alias("name")).distinct(), "name", "left_semi").join(core.select(F.col("name").alias("depends_on")).distinct(), "depends_on", "left_semi")
+        core = written(thin.select("name", "depends_on"), "edges")
+        size, now = now, core.count()
+    reach, size = core.toDF("a", "b"), -1
+    while size != now:
         far = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
         reach = written(reach.union(far).distinct(), "reach")
-        now = reach.count()
-        if now == size:
-            break
-        size = now
-    return reach.filter("a = b").select(F.col("a").alias("name")).distinct()
+        size, now = now, reach.count()
+    both = reach.join(reach.toDF("b", "a"), ["a", "b"])
+    return both.groupBy(F.col("a").alias("name")).agg(F.min("b").alias("cycle"))
 
 
 def out_of_order(order: DataFrame, edges: DataFrame) -> DataFrame:

@@ -122,6 +122,61 @@ def gaps(log: DataFrame, run: int = RUN) -> DataFrame:
     return found.groupBy("stream_name").agg(F.min(F.struct("observed", "expected")).alias("x")).select("stream_name", "x.expected", "x.observed")
 
 
+def hydrate(log: DataFrame, machine: Machine, seed: DataFrame) -> DataFrame:
+    """State of every stream as a command meets it, and the way there: ``seeded`` where the tail behind its snapshot is
+    without a gap, else the ``whole`` stream from the start; ``failed``, with a null state, where that has a gap too.
+
+    seed as in ``replay``; a snapshot ahead of its stream is not used either.
+    """
+    from .tables import written
+
+    at = seed.select("stream_name", F.col("version").alias("_from"))
+    tail = log.join(at, "stream_name").filter("stream_version > _from")
+    broken = gaps(tail.withColumn("stream_version", F.col("stream_version") - F.col("_from"))).select("stream_name")
+    last = log.groupBy("stream_name").agg(F.max("stream_version").alias("_last"))
+    good = written(seed.join(broken, "stream_name", "left_anti").join(last, "stream_name").filter("version <= _last").drop("_last"), "seeds")
+    seeded = good.select("stream_name", F.lit("seeded").alias("_way"))
+    failed = gaps(log.join(seeded, "stream_name", "left_anti")).select("stream_name", F.lit("failed").alias("_bad"))
+    state = replay(log, machine, good).join(seeded, "stream_name", "left").join(failed, "stream_name", "left")
+    way = F.coalesce("_way", "_bad", F.lit("whole"))
+    kept = [F.when(way != "failed", F.col(c)).alias(c) for c in ("vertex", *machine.registers, "rejected")]
+    return state.select("stream_name", *kept, "version", way.alias("way"))
+
+
+def audit(log: DataFrame, machine: Machine, seed: DataFrame) -> DataFrame:
+    """Verdict on every stream: replay-failed where it has a gap, before all else; seed-divergence where the state by
+    its snapshot isn't that of the whole stream; else ok. An audit passes if all are ok."""
+    columns = ["vertex", *machine.registers, "rejected"]
+    whole = replay(log, machine).select("stream_name", "version", F.struct(*columns).alias("_whole"))
+    by_seed = replay(log.join(seed.select("stream_name"), "stream_name", "left_semi"), machine, seed).select("stream_name", F.struct(*columns).alias("_seeded"))
+    rows = whole.join(by_seed, "stream_name", "left").join(gaps(log).select("stream_name", "expected", "observed"), "stream_name", "left")
+    verdict = F.when(F.col("expected").isNotNull(), "replay-failed").when(F.col("_seeded").isNotNull() & (F.col("_seeded") != F.col("_whole")), "seed-divergence").otherwise("ok")
+    return rows.select("stream_name", "version", verdict.alias("verdict"), "expected", "observed")
+
+
+@dataclass(frozen=True)
+class Guarded:
+    """vertex --command--> to, where a SQL condition on registers and command holds; silent: it changes no register."""
+
+    vertex: str
+    command: str
+    to: str
+    guard: str = "true"
+    silent: bool = False
+
+
+def decide_guarded(rows: DataFrame, edges: tuple[Guarded, ...]) -> DataFrame:
+    """Adds matches, outcome and next_vertex to commands joined with their states (vertex, command, registers).
+
+    Guards of one vertex may overlap; a command that several edges take is ambiguous. A null guard doesn't hold.
+    """
+    taken = [F.when((F.col("vertex") == e.vertex) & (F.col("command") == e.command) & F.expr(e.guard), F.struct(F.lit(e.to).alias("to"), F.lit(e.silent).alias("silent"))) for e in edges]
+    rows = rows.withColumn("_taken", F.array_compact(F.array(*taken)))
+    n, first = F.size("_taken"), F.get("_taken", F.lit(0))
+    outcome = F.when(n == 0, "rejected").when(n > 1, "ambiguous").when((first["to"] == F.col("vertex")) & first["silent"], "no-op").otherwise("accepted")
+    return rows.withColumn("matches", n.cast("long")).withColumn("outcome", outcome).withColumn("next_vertex", F.when(n == 1, first["to"])).drop("_taken")
+
+
 def decide(states: DataFrame, commands: DataFrame, machine: Machine) -> DataFrame:
     """Commands (stream_name, command) against states: how many edges match, the outcome and the state after.
 

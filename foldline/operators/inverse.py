@@ -38,7 +38,7 @@ def replay(log: DataFrame, initial: str, chains: tuple[Chain, ...]) -> DataFrame
             to = F.when(hit, F.lit(c.to)).otherwise(to)
         inside = F.size(s["rest"]) > 0
         failure = F.when(inside & (F.get(s["rest"], F.lit(0)) != kind), "mismatch").when(~inside & (matches == 0), "none").when(~inside & (matches > 1), "ambiguous")
-        left = F.when(inside, F.slice(s["rest"], 2, 1000)).otherwise(rest)
+        left = F.when(inside, F.slice(s["rest"], F.lit(2), F.size(s["rest"]))).otherwise(rest)
         goal = F.when(inside, s["to"]).otherwise(to)
         done = F.size(left) == 0
         live = F.struct(F.when(done, goal).otherwise(s["vertex"]).alias("vertex"), left.alias("rest"), goal.alias("to"), failure.alias("failed"), F.when(failure.isNotNull(), e["stream_version"]).alias("at"))

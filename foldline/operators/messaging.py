@@ -78,27 +78,36 @@ def reclaim(outbox: DataFrame, stale_before: Column, most: int) -> DataFrame:
     return outbox.withColumn("status", F.when(stale & (F.col("attempts") >= most), "dead").when(stale, "failed").otherwise(F.col("status")))
 
 
-def plan_batch(deliveries: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def plan_batch(deliveries: DataFrame, existing: DataFrame | None = None, ceiling: int | None = None) -> DataFrame:
     """Of deliveries (source, dedupe_key, seq) the plan: key-error, duplicate within the batch (the first works),
-    duplicate of something stored, or work. Stored rows: source, dedupe_key, status, attempts."""
+    duplicate of something stored, or work. Stored rows: source, dedupe_key, status, attempts. ceiling: attempts up to
+    which a failed row is tried again; without one it never is."""
     first = deliveries.filter("dedupe_key is not null").groupBy("source", "dedupe_key").agg(F.min("seq").alias("first"))
     rows = deliveries.join(first, ["source", "dedupe_key"], "left")
     plan = F.when(F.col("dedupe_key").isNull(), "key-error").when(F.col("seq") != F.col("first"), "batch-duplicate")
     if existing is not None:
         rows = rows.join(existing.select("source", "dedupe_key", F.col("status").alias("have"), F.col("attempts").alias("tries")), ["source", "dedupe_key"], "left")
-        plan = plan.when(F.col("have") == "completed", "duplicate").when(F.col("have") == "processing", "in-progress").when((F.col("have") == "failed") & (F.col("tries") >= 3), "previously-failed")
+        plan = plan.when(F.col("have") == "completed", "duplicate").when(F.col("have") == "processing", "in-progress").when((F.col("have") == "failed") & (F.lit(True) if ceiling is None else F.col("tries") >= ceiling), "previously-failed")
     return rows.withColumn("plan", plan.otherwise("work")).drop("first", "have", "tries")
 
 
-def dedupe_key(policy: str, message_id: Column, source_event: Column, topic: Column, part: Column, offset: Column) -> Column:
-    """Key of a delivery under a policy; null if it can't be told."""
-    blank = lambda c: F.when(F.length(F.trim(c)) > 0, c)
+def dedupe_key(
+    policy: str, message_id: Column, source_event: Column, source_position: Column, topic: Column, part: Column, offset: Column, custom: Column | None = None
+) -> Column:
+    """Key of a delivery under a policy; null if it can't be told.
+
+    message-id: the id, unless it is empty; source-event: the source's event id, else its global position; position:
+    where it was delivered; custom: a key that the caller makes, unless it is empty. Nothing is trimmed.
+    """
+    given = lambda c: F.when(F.length(c) > 0, c)
     if policy == "message-id":
-        return blank(message_id)
+        return given(message_id)
     if policy == "source-event":
-        return F.coalesce(blank(source_event), F.concat_ws(":", topic, part.cast("string"), offset.cast("string")))
+        return F.coalesce(source_event, source_position.cast("string"))
     if policy == "position":
-        return F.concat_ws(":", topic, part.cast("string"), offset.cast("string"))
+        return F.concat(topic, F.lit(":"), part.cast("string"), F.lit(":"), offset.cast("string"))
+    if policy == "custom" and custom is not None:
+        return given(custom)
     raise ValueError(policy)
 
 
@@ -118,14 +127,24 @@ def claim_timers(timers: DataFrame, now: Column, ceiling: int, limit: int | None
 
 
 def requeue_stuck(timers: DataFrame, stuck_before: Column) -> DataFrame:
-    stuck = (F.col("status") == "firing") & (F.col("updated_at") < stuck_before)
+    stuck = (F.col("status") == "firing") & (F.col("updated_at") <= stuck_before)
     return timers.withColumn("status", F.when(stuck, "scheduled").otherwise(F.col("status")))
 
 
+def stuck(timers: DataFrame, since: Column | None = None, attempts: int | None = None) -> DataFrame:
+    """Timers that were claimed and not finished, the longest waiting first; each condition only where it is given."""
+    found = timers.filter(F.col("status") == "firing")
+    if since is not None:
+        found = found.filter(F.col("updated_at") <= since)
+    if attempts is not None:
+        found = found.filter(F.col("attempts") >= attempts)
+    return found.orderBy("updated_at", "timer_id")
+
+
 def timer_transition(timers: DataFrame, action: Column) -> DataFrame:
-    """cancel: scheduled or firing; fired: firing only; dead: firing; anything else changes nothing."""
+    """cancel and dead: scheduled or firing; fired: firing only; anything else changes nothing."""
     s = F.col("status")
-    new = F.when((action == "cancel") & s.isin("scheduled", "firing"), "cancelled").when((action == "fired") & (s == "firing"), "fired").when((action == "dead") & (s == "firing"), "dead").otherwise(s)
+    new = F.when((action == "cancel") & s.isin("scheduled", "firing"), "cancelled").when((action == "fired") & (s == "firing"), "fired").when((action == "dead") & s.isin("scheduled", "firing"), "dead").otherwise(s)
     return timers.withColumn("next_status", new)
 
 

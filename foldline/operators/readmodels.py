@@ -10,11 +10,8 @@ AVAILABILITY = {
     "live": (True, True), "serving-versioned": (True, True), "rebuilding-versioned": (True, True), "cutover": (True, False),
     "failed-versioned": (True, False), "rebuilding": (False, False), "failed": (False, False),
 }
-#: (status, action) -> next status of a registered model; fixed values.
-LIFECYCLE = {
-    ("absent", "register"): "live", ("live", "register"): "live", ("rebuilding", "register"): "rebuilding", ("abandoned", "register"): "abandoned",
-    ("live", "rebuild"): "rebuilding", ("abandoned", "rebuild"): "rebuilding", ("rebuilding", "finish"): "live", ("rebuilding", "abandon"): "abandoned",
-}
+#: Status that a transition puts a registered model in, whatever it was in before; fixed values.
+TRANSITIONS = {"rebuild": "rebuilding", "finish": "live", "abandon": "abandoned"}
 
 
 def lookup(pairs: dict, *columns: Column, default: Column | None = None) -> Column:
@@ -33,9 +30,23 @@ def availability(status: Column) -> tuple[Column, Column]:
     return lookup({k: v[0] for k, v in AVAILABILITY.items()}, status, default=F.lit(False)), lookup({k: v[1] for k, v in AVAILABILITY.items()}, status, default=F.lit(False))
 
 
-def lifecycle(status: Column, action: Column) -> Column:
-    """Next status, or null where the action is refused."""
-    return lookup(LIFECYCLE, status, action, default=F.lit(None).cast("string"))
+def registry(writes: DataFrame) -> DataFrame:
+    """Registry rows after writes in order (name, seq, at, action, version, shape).
+
+    A registration inserts a live row and leaves one that is there alone; a transition puts its status, version and
+    shape in, whatever they were before, and inserts the row where there is none. What counts is the last transition,
+    or else the first registration. A row is stamped as built when it is inserted and whenever it becomes live.
+    """
+    moves = writes.filter(F.col("action").isin(*TRANSITIONS))
+    last = moves.groupBy("name").agg(F.max_by(F.struct("action", "version", "shape"), "seq").alias("_last"))
+    first = writes.groupBy("name").agg(F.min_by(F.struct("action", "version", "shape", "at"), "seq").alias("_first"))
+    live = moves.filter(F.col("action") == "finish").groupBy("name").agg(F.max_by("at", "seq").alias("_live"))
+    rows = first.join(last, "name", "left").join(live, "name", "left")
+    status = F.coalesce(lookup(TRANSITIONS, F.col("_last.action"), default=F.lit(None).cast("string")), F.lit("live"))
+    return rows.select(
+        "name", status.alias("status"), F.coalesce("_last.version", "_first.version").alias("version"), F.coalesce("_last.shape", "_first.shape").alias("shape"),
+        F.coalesce("_live", "_first.at").alias("last_built_at"),
+    )
 
 
 def apply_async(events: DataFrame, applied: DataFrame, key: str, fenced: Column) -> DataFrame:
@@ -80,6 +91,28 @@ def group_floor(groups: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return per.select("grp", F.when((F.col("have") == F.col("n_names")) & (F.col("n_names") > 0), F.col("low")).alias("floor"))
 
 
+def group_status(groups: DataFrame, cursors: DataFrame, checkpoints: DataFrame, runs: DataFrame, sources: DataFrame, models: DataFrame) -> DataFrame:
+    """What a reader from outside may know of each group; a group is there whatever else is missing.
+
+    groups: grp, status, reads, active_run; cursors: grp, basis, names (array); checkpoints: name, member, position;
+    runs: run, captured_head; sources: run, source, position; models: name, grp. The served position is the floor of
+    the subscriptions named, where reads are allowed and the group has checkpoints; a run is as far as its last source.
+    """
+    floors = group_floor(cursors.select("grp", "names"), checkpoints)
+    progress = sources.groupBy("run").agg(F.min("position").alias("rebuild_position"))
+    per = models.groupBy("grp").agg(F.sort_array(F.collect_list("name")).alias("models"))
+    rows = groups.join(cursors.select("grp", "basis"), "grp", "left").join(floors, "grp", "left")
+    rows = rows.join(runs.withColumnRenamed("run", "active_run"), "active_run", "left").join(progress.withColumnRenamed("run", "active_run"), "active_run", "left")
+    rows = rows.join(per, "grp", "left")
+    served = F.when(F.col("reads") & (F.col("basis") == "checkpoint"), F.col("floor"))
+    # Progress belongs to a run that is known.
+    position = F.when(F.col("captured_head").isNotNull(), F.col("rebuild_position"))
+    return rows.select(
+        "grp", "status", "reads", F.coalesce("basis", F.lit("unmanaged")).alias("basis"), served.alias("applied_position"), "active_run",
+        position.alias("rebuild_position"), F.col("captured_head").alias("rebuild_head"), F.coalesce("models", F.array().cast("array<string>")).alias("models"),
+    )
+
+
 def completion(sources: DataFrame, adapters: DataFrame, verifications: DataFrame, expected: DataFrame) -> DataFrame:
     """Proof that a run may be promoted: as many rows as expected, and none unfinished."""
     s = sources.groupBy("run").agg(F.count(F.lit(1)).alias("sources"), F.bool_and("complete").alias("s_ok"))
@@ -128,6 +161,15 @@ def begin_rebuild(groups: DataFrame, want: DataFrame) -> DataFrame:
     return rows.select("grp", outcome.alias("outcome"), F.when(outcome == "begun", "rebuilding").otherwise(F.col("status")).alias("status"))
 
 
+def begun(outcomes: DataFrame, targets: DataFrame, dedup: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables after ``begin_rebuild``: of each group that has begun the targets are cleared, what its projections
+    have applied is forgotten, and their checkpoints go back to 0. All tables: grp; checkpoints: position too."""
+    go = outcomes.filter("outcome = 'begun'").select("grp")
+    reset = checkpoints.join(go.withColumn("_go", F.lit(True)), "grp", "left")
+    position = F.when(F.col("_go"), F.lit(0)).otherwise(F.col("position"))
+    return targets.join(go, "grp", "left_anti"), dedup.join(go, "grp", "left_anti"), reset.withColumn("position", position).drop("_go")
+
+
 def rebuild(targets: DataFrame, log: DataFrame, head: int, adapters: list, policy: str) -> DataFrame:
     """Targets (key, value) rebuilt from the events up to a captured head, which is never extended.
 

@@ -65,17 +65,54 @@ def undispatched(source: DataFrame, done: DataFrame, queued: DataFrame, key: str
     return source.join(done.select(key), key, "left_anti").join(queued.select(key), key, "left_anti")
 
 
-def causation(log: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """Descendants of events along causation_id, each with its distance: event_id, root, depth."""
+def causation(log: DataFrame, roots: DataFrame) -> DataFrame:
+    """Events that roots led to and that led to them along causation_id, at any distance: event_id, root, depth, which is
+    0 for the root itself and negative for what is before it.
+
+    An event has one cause, so jumps along causes double from round to round: the rounds are as many as the longest
+    chain has binary digits. A chain that runs into itself ends where it does.
+    """
     from .tables import written
 
-    edges = log.filter("causation_id is not null").select("event_id", "causation_id")
-    level = written(roots.select("event_id", F.col("event_id").alias("root"), F.lit(0).alias("depth")), "level")
-    found = level
-    for _ in range(most):
-        level = edges.join(level.select(F.col("event_id").alias("causation_id"), "root", "depth"), "causation_id").select("event_id", "root", (F.col("depth") + 1).alias("depth"))
-        level = written(level.join(found.select("event_id", "root"), ["event_id", "root"], "left_anti"), "level")
-        if not level.limit(1).count():
-            break
-        found = found.unionByName(level)
-    return found
+    jump, step = written(log.filter("causation_id is not null").select("event_id", F.col("causation_id").alias("to")), "causes"), 1
+    found = written(roots.select("event_id", F.col("event_id").alias("root"), F.lit(0).cast("long").alias("depth")).distinct(), "caused")
+    while True:
+        after = jump.join(found.filter("depth >= 0").withColumnRenamed("event_id", "to"), "to").select("event_id", "root", (F.col("depth") + step).alias("depth"))
+        before = found.filter("depth <= 0").join(jump, "event_id").select(F.col("to").alias("event_id"), "root", (F.col("depth") - step).alias("depth"))
+        side = lambda d: d.withColumn("ahead", F.col("depth") >= 0)
+        new = side(after.unionByName(before)).groupBy("event_id", "root", "ahead").agg(F.min_by("depth", F.abs("depth")).alias("depth"))
+        new = new.join(side(found).select("event_id", "root", "ahead"), ["event_id", "root", "ahead"], "left_anti").filter("event_id <> root").drop("ahead")
+        new = written(new.select("event_id", "root", "depth"), "caused")
+        if not new.limit(1).count():
+            return found.join(log.select("event_id"), "event_id", "left_semi")
+        found = found.unionByName(new)
+        jump = written(jump.join(jump.toDF("to", "far"), "to").select("event_id", F.col("far").alias("to")), "causes")
+        step *= 2
+
+
+#: How failures of a command are told apart; fixed values. Those of the store decide for errors that carry one.
+TRANSIENT_STORE = ("connection-lost", "pool-timeout", "connection-error", "wrong-expected-version", "stream-already-exists", "history-retention", "transaction-failure")
+CARRY_STORE = ("store-failed", "retry-exhausted", "conflict-fixpoint")
+REJECTIONS = ("rejected", "ambiguous")
+
+
+def failure_kind(error: Column, store: Column) -> Column:
+    """systemic, transient or rejection; null without an error."""
+    transient = error.isin(*CARRY_STORE) & store.isin(*TRANSIENT_STORE)
+    return F.when(error.isNotNull(), F.when(error.isin(*REJECTIONS), "rejection").when(F.coalesce(transient, F.lit(False)), "transient").otherwise("systemic"))
+
+
+def manage(events: DataFrame, prefix: str, manager: str, commands: Column, timers: Column, done: DataFrame) -> DataFrame:
+    """A process manager's reaction to each event: its own append (idx -1), its commands, its timers.
+
+    An append or command whose id the log has is a duplicate. An event that comes again is dispatched again all the
+    same, command by command; its timers go with the append that it makes, so they aren't set again.
+    events: source_event, correlation and what the arrays are made of; done: command_id.
+    """
+    base = events.withColumn("_timers", timers)
+    rows = fan_out(base, prefix, manager, commands).join(done.select("command_id").distinct().withColumn("_seen", F.lit(True)), "command_id", "left")
+    kind = F.when(F.col("idx") < 0, "state").otherwise("command")
+    rows = rows.select("source_event", "correlation", kind.alias("kind"), "idx", "command", "command_id", F.when(F.col("_seen"), "duplicate").otherwise("appended").alias("outcome"))
+    fresh = rows.filter("kind = 'state' and outcome = 'appended'").select("source_event")
+    own = base.join(fresh, "source_event", "left_semi").select("source_event", "correlation", F.lit("timer").alias("kind"), F.posexplode("_timers").alias("idx", "command"))
+    return rows.unionByName(own.withColumn("command_id", F.lit(None).cast("string")).withColumn("outcome", F.lit("scheduled")))

@@ -31,13 +31,14 @@ def status(markers: DataFrame) -> DataFrame:
 
 
 def append(writes: DataFrame) -> DataFrame:
-    """Outcome of journal writes in order (workflow_id, seq, step_name, marker): the first marker wins, the same one
-    again is present already, another is refused; a step again is present if it was taken, and after a cancellation
-    or failure no new step is."""
+    """Outcome of journal writes in order (workflow_id, generation, seq, step_name, marker). Each generation has a journal
+    of its own; without that column there is one. In it the first marker wins, the same one again is present already, another is refused; a step again is
+    present if it was taken, and after a cancellation or failure no new step is."""
     marker = F.min(F.when(F.col("marker").isNotNull(), F.struct("seq", "marker")))
-    ends = writes.groupBy("workflow_id").agg(marker.alias("_end"))
-    firsts = writes.groupBy("workflow_id", "step_name").agg(F.min("seq").alias("_first"))
-    rows = writes.join(ends, "workflow_id").join(firsts, ["workflow_id", "step_name"])
+    journal = ["workflow_id", *(["generation"] if "generation" in writes.columns else [])]
+    ends = writes.groupBy(*journal).agg(marker.alias("_end"))
+    firsts = writes.groupBy(*journal, "step_name").agg(F.min("seq").alias("_first"))
+    rows = writes.join(ends, journal).join(firsts, [*journal, "step_name"])
     closed = F.coalesce(F.col("_end.marker").isin("cancelled", "failed") & (F.col("_end.seq") < F.col("_first")), F.lit(False))
     lifecycle = F.when(F.col("seq") == F.col("_end.seq"), "appended").when(F.col("marker") == F.col("_end.marker"), "already-present").otherwise("refused")
     step = F.when(closed, "refused").when(F.col("seq") == F.col("_first"), "appended").otherwise("already-present")
@@ -96,6 +97,18 @@ def signal(awakeables: DataFrame, signals: DataFrame) -> DataFrame:
     return rows.select("awakeable_id", "seq", won.alias("accepted"), journaled.alias("journaled"))
 
 
+def cancel_awakeables(awakeables: DataFrame, wanted: DataFrame, instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cancellations (awakeable_id) against awakeables (awakeable_id, owner, status): only a pending one is cancelled, once;
+    ``accepted`` tells. Its owner runs again to see it, at the generation it is in, unless it has ended."""
+    asked = wanted.select("awakeable_id").distinct().withColumn("_asked", F.lit(True))
+    accepted = F.coalesce(F.col("_asked") & (F.col("status") == "pending"), F.lit(False))
+    rows = awakeables.join(asked, "awakeable_id", "left").withColumn("accepted", accepted).drop("_asked")
+    rows = rows.withColumn("status", F.when(F.col("accepted"), "cancelled").otherwise(F.col("status")))
+    woken = rows.filter("accepted").select(F.col("owner").alias("workflow_id")).distinct().withColumn("_woken", F.lit(True))
+    status = F.when(F.col("_woken") & ~F.col("status").isin(*TERMINAL), "running").otherwise(F.col("status"))
+    return rows, instances.join(woken, "workflow_id", "left").withColumn("status", status).drop("_woken")
+
+
 def patched(requests: DataFrame, decisions: DataFrame) -> DataFrame:
     """Patch decisions: a recorded one is frozen, else whether the id is in the recorded set."""
     rows = requests.join(decisions.select("workflow_id", "patch", F.col("decision").alias("_old")), ["workflow_id", "patch"], "left")

@@ -80,6 +80,32 @@ def pm_fanout(spark: SparkSession, sf: str) -> DataFrame:
     return routing.fan_out(e, PREFIX, "billing", commands).select("source_event", "idx", F.coalesce("command", F.lit("")).alias("command"), "command_id")
 
 
+@query(f"""WITH e AS (SELECT event_id, 'e' || event_id AS source_event, 'u' || user_id AS correlation, event_type FROM events WHERE event_type IN ('purchase', 'error')),
+f AS (SELECT event_id, source_event, correlation, 'state' AS kind, -1 AS idx, '' AS command FROM e UNION ALL SELECT event_id, source_event, correlation, 'command', 0, 'notify' FROM e UNION ALL SELECT event_id, source_event, correlation, 'command', 1, 'invoice' FROM e WHERE event_type = 'purchase'),
+i AS (SELECT *, {_MANAGER} AS seed FROM f)
+SELECT source_event, kind, idx, command, {uuid_sql("seed")} AS command_id, CASE WHEN event_id % 3 = 0 AND idx < 1 THEN 'duplicate' ELSE 'appended' END AS outcome FROM i
+UNION ALL SELECT source_event, 'timer', 0, 'remind', '', 'scheduled' FROM e WHERE event_type = 'purchase' AND event_id % 3 <> 0""")
+def pm_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A manager over events of which every third is a redelivery that had got as far as its first command."""
+    e = table(spark, sf, "events").filter("event_type in ('purchase', 'error')")
+    e = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("source_event"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("correlation"), "event_type", "event_id")
+    paid = F.col("event_type") == "purchase"
+    commands = F.when(paid, F.array(F.lit("notify"), F.lit("invoice"))).otherwise(F.array(F.lit("notify")))
+    timers = F.when(paid, F.array(F.lit("remind"))).otherwise(F.array().cast("array<string>"))
+    done = routing.fan_out(e.filter("event_id % 3 = 0"), PREFIX, "billing", commands).filter("idx < 1").select("command_id")
+    out = routing.manage(e, PREFIX, "billing", commands, timers, done)
+    return out.select("source_event", "kind", "idx", F.coalesce("command", F.lit("")).alias("command"), F.coalesce("command_id", F.lit("")).alias("command_id"), "outcome")
+
+
+@query("SELECT e.error, coalesce(s.store, '') AS store, CASE WHEN e.error IN ('rejected', 'ambiguous') THEN 'rejection' WHEN e.carries AND s.transient THEN 'transient' ELSE 'systemic' END AS kind FROM (VALUES ('store-failed', true), ('retry-exhausted', true), ('conflict-fixpoint', true), ('decode-failed', false), ('replay-failed', false), ('gap', false), ('encode-failed', false), ('rejected', false), ('ambiguous', false)) e(error, carries) JOIN (VALUES (NULL, false), ('connection-lost', true), ('pool-timeout', true), ('connection-error', true), ('wrong-expected-version', true), ('stream-already-exists', true), ('history-retention', true), ('transaction-failure', true), ('empty-batch', false), ('stream-not-found', false), ('reserved-name', false), ('duplicate-event', false), ('server-error', false)) s(store, transient) ON true")
+def failure_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every error with every error of the store under it."""
+    errors = spark.createDataFrame([(x,) for x in ("store-failed", "retry-exhausted", "conflict-fixpoint", "decode-failed", "replay-failed", "gap", "encode-failed", "rejected", "ambiguous")], "error string")
+    stores = spark.createDataFrame([(x,) for x in (None, *routing.TRANSIENT_STORE, "empty-batch", "stream-not-found", "reserved-name", "duplicate-event", "server-error")], "store string")
+    both = errors.crossJoin(F.broadcast(stores))  # nine by thirteen names
+    return both.select("error", F.coalesce("store", F.lit("")).alias("store"), routing.failure_kind(F.col("error"), F.col("store")).alias("kind"))
+
+
 @query("WITH f AS (SELECT l_orderkey AS e, CASE WHEN l_quantity > 49 THEN 'systemic' WHEN l_quantity > 45 THEN 'transient' WHEN l_quantity > 20 THEN 'rejection' END AS k FROM lineitem) SELECT e AS source_event, CASE WHEN bool_or(k = 'systemic') THEN 'halt' WHEN bool_or(k = 'transient') THEN 'retry' WHEN bool_or(k = 'rejection') THEN 'ok-dead-lettered' ELSE 'ok' END AS decision FROM f GROUP BY 1")
 def ack_decision(spark: SparkSession, sf: str) -> DataFrame:
     q = F.col("l_quantity")
@@ -105,10 +131,11 @@ def dispatch_dedup(spark: SparkSession, sf: str) -> DataFrame:
 _CAUSE = "SELECT event_id, CASE WHEN event_id >= 40 THEN event_id // 3 END AS causation_id FROM events"
 
 
-@query(f"WITH RECURSIVE l AS ({_CAUSE}), r AS (SELECT event_id, event_id AS root, 0 AS depth FROM l WHERE event_id IN (15, 20, 33) UNION ALL SELECT l.event_id, r.root, r.depth + 1 FROM l JOIN r ON l.causation_id = r.event_id) SELECT event_id, root, depth FROM r")
+@query(f"WITH RECURSIVE l AS ({_CAUSE}), s AS (SELECT event_id FROM l WHERE event_id IN (15, 20, 33, 500, 999)), r AS (SELECT event_id, event_id AS root, 0 AS depth FROM s UNION ALL SELECT l.event_id, r.root, r.depth + 1 FROM l JOIN r ON l.causation_id = r.event_id), u AS (SELECT l.causation_id AS event_id, event_id AS root, -1 AS depth FROM l JOIN s USING (event_id) WHERE causation_id IS NOT NULL UNION ALL SELECT l.causation_id, u.root, u.depth - 1 FROM u JOIN l ON l.event_id = u.event_id WHERE l.causation_id IS NOT NULL) SELECT event_id, root, depth::BIGINT AS depth FROM r UNION ALL SELECT event_id, root, depth FROM u")
 def causation_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """What five events led to, and what led to them."""
     log = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") >= 40, F.floor(F.col("event_id") / 3)).alias("causation_id"))
-    return routing.causation(log, log.filter(F.col("event_id").isin(15, 20, 33)))
+    return routing.causation(log, log.filter(F.col("event_id").isin(15, 20, 33, 500, 999)))
 
 
 # Workflows.
@@ -131,14 +158,14 @@ def wf_status(spark: SparkSession, sf: str) -> DataFrame:
     return workflows.status(marks)
 
 
-@query("""WITH w AS (SELECT user_id AS workflow_id, event_id AS seq, 's' || (event_id * 31) % 20 || CASE WHEN event_id % 9 = 0 THEN ':m' ELSE '' END AS step_name, CASE WHEN event_id % 9 = 0 THEN CASE WHEN event_type IN ('view', 'click') THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'cancelled' END END AS marker FROM events),
-e AS (SELECT workflow_id, min(seq) AS end_seq, min_by(marker, seq) AS end_marker FROM w WHERE marker IS NOT NULL GROUP BY 1), f AS (SELECT workflow_id, step_name, min(seq) AS first FROM w GROUP BY ALL)
-SELECT seq, CASE WHEN marker IS NOT NULL THEN CASE WHEN seq = end_seq THEN 'appended' WHEN marker = end_marker THEN 'already-present' ELSE 'refused' END WHEN coalesce(end_marker IN ('cancelled', 'failed') AND end_seq < first, false) THEN 'refused' WHEN seq = first THEN 'appended' ELSE 'already-present' END AS outcome FROM w LEFT JOIN e USING (workflow_id) JOIN f USING (workflow_id, step_name)""")
+@query("""WITH w AS (SELECT user_id AS workflow_id, (event_id // 3) % 2 AS generation, event_id AS seq, 's' || (event_id * 31) % 20 || CASE WHEN event_id % 9 = 0 THEN ':m' ELSE '' END AS step_name, CASE WHEN event_id % 9 = 0 THEN CASE WHEN event_type IN ('view', 'click') THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'cancelled' END END AS marker FROM events),
+e AS (SELECT workflow_id, generation, min(seq) AS end_seq, min_by(marker, seq) AS end_marker FROM w WHERE marker IS NOT NULL GROUP BY ALL), f AS (SELECT workflow_id, generation, step_name, min(seq) AS first FROM w GROUP BY ALL)
+SELECT seq, CASE WHEN marker IS NOT NULL THEN CASE WHEN seq = end_seq THEN 'appended' WHEN marker = end_marker THEN 'already-present' ELSE 'refused' END WHEN coalesce(end_marker IN ('cancelled', 'failed') AND end_seq < first, false) THEN 'refused' WHEN seq = first THEN 'appended' ELSE 'already-present' END AS outcome FROM w LEFT JOIN e USING (workflow_id, generation) JOIN f USING (workflow_id, generation, step_name)""")
 def wf_append(spark: SparkSession, sf: str) -> DataFrame:
     k, marked = F.col("event_id"), F.col("event_id") % 9 == 0
     kind = F.when(F.col("event_type").isin("view", "click"), "completed").when(F.col("event_type") == "error", "failed").otherwise("cancelled")
     step = F.concat(F.lit("s"), ((k * 31) % 20).cast("string"), F.when(marked, ":m").otherwise(""))
-    return workflows.append(table(spark, sf, "events").select(F.col("user_id").alias("workflow_id"), k.alias("seq"), step.alias("step_name"), F.when(marked, kind).alias("marker"))).select("seq", "outcome")
+    return workflows.append(table(spark, sf, "events").select(F.col("user_id").alias("workflow_id"), (F.floor(k / 3) % 2).alias("generation"), k.alias("seq"), step.alias("step_name"), F.when(marked, kind).alias("marker"))).select("seq", "outcome")
 
 
 _INST = "SELECT o_orderkey AS workflow_id, CASE o_orderstatus WHEN 'F' THEN CASE o_orderkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'cancelled' END WHEN 'O' THEN 'running' ELSE 'suspended' END AS status, o_orderkey % 8 AS attempts, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS wake_after, o_orderdate + to_days((o_orderkey % 5)::INT * 90) AS lease_expires_at, o_orderdate + to_days((o_orderkey % 7)::INT * 60) AS next_attempt_at, o_orderdate AS completed_at FROM orders"
@@ -200,6 +227,21 @@ def awakeable_signal(spark: SparkSession, sf: str) -> DataFrame:
     return workflows.signal(a, s).withColumn("journaled", F.coalesce("journaled", F.lit("")))
 
 
+@query("""WITH a AS (SELECT o_orderkey AS awakeable_id, o_custkey AS owner, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'cancelled' END AS status FROM orders), i AS (SELECT c_custkey AS workflow_id, (['running', 'suspended', 'completed', 'failed'])[1 + c_custkey % 4] AS status, c_custkey % 3 AS generation FROM customer),
+w AS (SELECT DISTINCT owner FROM a WHERE status = 'pending' AND awakeable_id % 2 = 0)
+SELECT workflow_id, CASE WHEN owner IS NOT NULL AND i.status IN ('running', 'suspended') THEN 'running' ELSE i.status END AS status, generation, (SELECT count(*) FROM a WHERE a.owner = i.workflow_id AND a.status = 'pending' AND awakeable_id % 2 = 0) AS cancelled FROM i LEFT JOIN w ON w.owner = i.workflow_id""")
+def awakeable_cancel(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second pending awakeable is cancelled, and its owner woken to see it."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    a = table(spark, sf, "orders").select(k.alias("awakeable_id"), F.col("o_custkey").alias("owner"), F.when(s == "O", "pending").when(s == "F", "completed").otherwise("cancelled").alias("status"))
+    c = F.col("c_custkey")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("running", "suspended", "completed", "failed")]), (c % 4 + 1).cast("int"))
+    i = table(spark, sf, "customer").select(c.alias("workflow_id"), status.alias("status"), (c % 3).alias("generation"))
+    changed, owners = workflows.cancel_awakeables(a, a.filter("awakeable_id % 2 = 0").select("awakeable_id"), i)
+    n = changed.filter("accepted").groupBy(F.col("owner").alias("workflow_id")).agg(F.count(F.lit(1)).alias("cancelled"))
+    return owners.join(n, "workflow_id", "left").fillna(0, ["cancelled"])
+
+
 @query("SELECT b AS buckets, w AS workers, CAST(ceil(b / greatest(w, 1)) AS INT) AS share FROM range(1, 33) x(b), range(0, 9) y(w)")
 def shard_fair_share(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spark.range(32 * 9).select((F.floor(F.col("id") / 9) + 1).alias("buckets"), (F.col("id") % 9).alias("workers"))
@@ -219,14 +261,20 @@ def queue_base_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", ids.sanitised(F.concat("p_brand", F.lit("--"), "p_name", F.lit("!"))).alias("base"))
 
 
-@query()
+def _fnv_sql(units: str) -> str:
+    return f"lpad(lower(to_hex(list_reduce(list_prepend({ids.FNV_OFFSET}::HUGEINT, {units}), lambda h, b: (xor(h, b) * {ids.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_brand || ' / ' || p_type || ' / ' || p_name || ' / ' || CASE WHEN p_partkey % 3 = 0 THEN 'é' ELSE 'work items waiting' END AS name FROM part),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS base, {_fnv_sql("list_transform(string_split(name, ''), lambda c: unicode(c)::HUGEINT)")} AS points, hex(encode(name)) AS raw FROM t)
+SELECT p_partkey, CASE WHEN length(base) <= {ids.NAME_MOST} AND NOT ends_with(base, '_dlq') THEN base ELSE regexp_replace(substr(base, 1, {ids.NAME_PREFIX}), '_+$', '') || '_' || points END AS queue, {_fnv_sql("list_transform(range(length(raw) // 2), lambda i: ('0x' || substr(raw, 2 * i + 1, 2))::HUGEINT)")} AS shape FROM b""")
 def queue_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Physical names with the hash of long ones; tests hold it against a plain version."""
-    name = F.concat_ws(" / ", "p_brand", "p_type", "p_name", F.lit("work items waiting"))
+    """Physical names, long ones with a hash of the whole name's code points, and the hash of its bytes."""
+    name = F.concat_ws(" / ", "p_brand", "p_type", "p_name", F.when(F.col("p_partkey") % 3 == 0, "é").otherwise("work items waiting"))
     return table(spark, sf, "part").select("p_partkey", ids.queue_name(name).alias("queue"), ids.fnv(name).alias("shape"))
 
 
-@query()
+@query("SELECT event_id, sha256('{\"k\":' || (props ->> '$.k') || '}') AS digest FROM events")
 def replay_digests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", ids.replay_digest(F.col("props")).alias("digest"))
 

@@ -65,22 +65,11 @@ def version_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return fold.gaps(lift.event_log(spark, sf).filter("event_id % 97 <> 0"))
 
 
-@query(with_("event_log") + ", cut AS (SELECT * FROM event_log WHERE event_id % 3 = 0), " + state_sql("cut") + """, c AS (SELECT event_id AS command_id, stream_name, event_type AS command FROM event_log WHERE event_id % 11 = 0),
-n AS (SELECT c.*, coalesce(vertex, 'New') AS vertex, coalesce(version, 0) AS version FROM c LEFT JOIN state USING (stream_name)),
-o AS (SELECT *, CASE WHEN command = 'error' THEN vertex WHEN vertex = 'New' AND command = 'signup' THEN 'Active' WHEN vertex = 'Active' AND command IN ('view', 'click') THEN 'Active' WHEN vertex <> 'New' AND command = 'purchase' THEN 'Customer' WHEN vertex = 'Customer' AND command IN ('view', 'click') THEN 'Customer' END AS next_vertex FROM n)
-SELECT command_id, stream_name, command, vertex, version, (next_vertex IS NOT NULL)::BIGINT AS matches, CASE WHEN next_vertex IS NULL THEN 'rejected' WHEN next_vertex = vertex AND command IN ('view', 'click') THEN 'no-op' ELSE 'accepted' END AS outcome, next_vertex FROM o""")
-def decide_commands(spark: SparkSession, sf: str) -> DataFrame:
-    log = lift.event_log(spark, sf)
-    states = fold.replay(log.filter("event_id % 3 = 0").withColumn("stream_version", F.col("stream_version")), fold.USERS)
-    commands = log.filter("event_id % 11 = 0").select(F.col("event_id").alias("command_id"), "stream_name", F.col("event_type").alias("command"))
-    return fold.decide(states, commands, fold.USERS)
-
-
 @query(with_("event_log") + ", " + state_sql("event_log") + """, c AS (SELECT event_id AS command_id, stream_name, event_type AS command FROM event_log),
 n AS (SELECT c.*, coalesce(vertex, 'New') AS vertex, coalesce(version, 0) AS version FROM c LEFT JOIN state USING (stream_name)),
 o AS (SELECT *, CASE WHEN command = 'error' THEN vertex WHEN vertex = 'New' AND command = 'signup' THEN 'Active' WHEN vertex = 'Active' AND command IN ('view', 'click') THEN 'Active' WHEN vertex <> 'New' AND command = 'purchase' THEN 'Customer' WHEN vertex = 'Customer' AND command IN ('view', 'click') THEN 'Customer' END AS next_vertex FROM n)
 SELECT command_id, stream_name, command, vertex, version, (next_vertex IS NOT NULL)::BIGINT AS matches, CASE WHEN next_vertex IS NULL THEN 'rejected' WHEN next_vertex = vertex AND command IN ('view', 'click') THEN 'no-op' ELSE 'accepted' END AS outcome, next_vertex FROM o""")
-def decide_commands_whole(spark: SparkSession, sf: str) -> DataFrame:
+def decide_commands(spark: SparkSession, sf: str) -> DataFrame:
     """Every event as a command against its stream's state after the whole log."""
     log = lift.event_log(spark, sf)
     commands = log.select(F.col("event_id").alias("command_id"), "stream_name", F.col("event_type").alias("command"))
@@ -139,6 +128,47 @@ def replay_audit(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("streams"), F.sum("n").alias("events"))
 
 
+@query(
+    with_("event_log") + ", cut AS (SELECT * FROM event_log WHERE event_id % 397 <> 0), seedlog AS (SELECT * FROM event_log WHERE stream_id % 2 = 0 AND stream_version <= 20), " + state_sql("event_log", "whole") + ", " + state_sql("seedlog", "seed") + """,
+n AS (SELECT stream_name, max(stream_version) AS version, count(*) AS n FROM cut GROUP BY 1)
+SELECT n.stream_name, n.version, CASE WHEN n.n <> n.version THEN 'replay-failed' WHEN seed.stream_name IS NOT NULL AND n.version % 5 = 0 THEN 'seed-divergence' ELSE 'ok' END AS verdict FROM n LEFT JOIN seed USING (stream_name)"""
+)
+def replay_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stream of a log with holes, against seeds of which some were spoilt."""
+    log = lift.event_log(spark, sf)
+    versions = log.groupBy("stream_name").agg(F.max("stream_version").alias("last"))
+    seed = fold.replay(log.filter("stream_id % 2 = 0 and stream_version <= 20"), fold.USERS).drop("last_position")
+    spoilt = seed.join(versions, "stream_name").withColumn("errors", F.col("errors") + (F.col("last") % 5 == 0).cast("int")).drop("last")
+    return fold.audit(log.filter("event_id % 397 <> 0"), fold.USERS, spoilt).select("stream_name", "version", "verdict")
+
+
+@query(
+    with_("event_log") + ", cut AS (SELECT * FROM event_log WHERE event_id % 397 <> 0), " + state_sql("cut") + """,
+n AS (SELECT stream_name, max(stream_version) AS version, count(*) AS n, count(*) FILTER (stream_version > 20) AS tail FROM cut GROUP BY 1), s AS (SELECT stream_name, stream_version % 2 = 0 AS even FROM event_log WHERE stream_version = 20 AND event_id % 2 = 0)
+SELECT n.stream_name, CASE WHEN s.stream_name IS NOT NULL AND n.version >= 20 AND n.tail = n.version - 20 THEN 'seeded' WHEN n.n = n.version THEN 'whole' ELSE 'failed' END AS way FROM n LEFT JOIN s USING (stream_name)"""
+)
+def hydration(spark: SparkSession, sf: str) -> DataFrame:
+    """How each stream of a log with holes comes to its state: by its snapshot, by the whole stream, or not at all."""
+    log = lift.event_log(spark, sf)
+    held = log.filter("stream_version = 20 and event_id % 2 = 0").select("stream_name")
+    seed = fold.replay(log.filter("stream_version <= 20"), fold.USERS).drop("last_position").join(held, "stream_name", "left_semi")
+    return fold.hydrate(log.filter("event_id % 397 <> 0"), fold.USERS, seed).select("stream_name", "way")
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, (['New', 'Active', 'Customer'])[1 + c_custkey % 3] AS vertex, c_acctbal AS balance, c_nationkey AS amount FROM customer),
+e AS (SELECT id, vertex, CASE WHEN vertex = 'New' THEN [CASE WHEN amount > 5 THEN 'Active' END] WHEN vertex = 'Active' THEN [CASE WHEN balance >= amount * 100 THEN 'Customer' END, CASE WHEN balance < 2000 THEN 'New' END] ELSE [CASE WHEN balance > 0 THEN 'Customer' END] END AS tos FROM s)
+SELECT id, vertex, len(list_filter(tos, lambda x: x IS NOT NULL))::BIGINT AS matches, CASE len(list_filter(tos, lambda x: x IS NOT NULL)) WHEN 0 THEN 'rejected' WHEN 1 THEN CASE WHEN list_filter(tos, lambda x: x IS NOT NULL)[1] = vertex THEN 'no-op' ELSE 'accepted' END ELSE 'ambiguous' END AS outcome, CASE WHEN len(list_filter(tos, lambda x: x IS NOT NULL)) = 1 THEN list_filter(tos, lambda x: x IS NOT NULL)[1] END AS next_vertex FROM e""")
+def decide_guarded(spark: SparkSession, sf: str) -> DataFrame:
+    """Transitions with guards over registers and the command; where several hold, the command is ambiguous."""
+    vertex = F.element_at(F.array(*[F.lit(v) for v in ("New", "Active", "Customer")]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), vertex.alias("vertex"), F.lit("pay").alias("command"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("amount"))
+    edges = (
+        fold.Guarded("New", "pay", "Active", "amount > 5"), fold.Guarded("Active", "pay", "Customer", "balance >= amount * 100"), fold.Guarded("Active", "pay", "New", "balance < 2000"),
+        fold.Guarded("Customer", "pay", "Customer", "balance > 0", silent=True),
+    )
+    return fold.decide_guarded(rows, edges).select("id", "vertex", "matches", "outcome", "next_vertex")
+
+
 @query("SELECT o_custkey AS stream, count(*) AS orders, bool_or(o_orderstatus = 'F') AS finished, max_by(o_orderstatus, o_orderkey) AS status, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY 1")
 def order_summary(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("stream")).agg(

@@ -77,21 +77,20 @@ def stream_watermarks(spark: SparkSession, sf: str) -> DataFrame:
     return scans.watermarks(lift.event_log(spark, sf), 9500, 50)
 
 
-@query(with_("all_log") + "SELECT global_position, stream_name, category, lag(global_position, 1, 0) OVER (PARTITION BY category ORDER BY global_position) AS before FROM all_log WHERE global_position <= 40000")
+@query(with_("all_log") + "SELECT global_position, stream_name, category, lag(global_position, 1, 0) OVER (PARTITION BY category ORDER BY global_position) AS before FROM all_log")
 def kway_merge(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    log = scans.bounded(lift.all_log(spark, sf), 40000)
+    log = lift.all_log(spark, sf)
     parts = [log.filter(F.col("category") == c) for c in ("event", "order", "customer")]
-    return scans.merge(*parts).select("global_position", "stream_name", "category", F.lag("global_position", 1, 0).over(Window.partitionBy("category").orderBy("global_position")).alias("before"))
+    return scans.before(scans.merge(*parts), "category").select("global_position", "stream_name", "category", "before")
 
 
-@query(with_("all_log") + "SELECT global_position, stream_name, category, lag(global_position, 1, 0) OVER (PARTITION BY category ORDER BY global_position) AS before FROM all_log")
-def kway_merge_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """kway_merge of the whole log."""
+@query(with_("all_log") + """, c AS (SELECT category, max(global_position) // 3 AS cursor FROM all_log GROUP BY 1), p AS (SELECT a.*, row_number() OVER (PARTITION BY category ORDER BY global_position) AS k, count(*) OVER (PARTITION BY category) AS n FROM all_log a JOIN c USING (category) WHERE global_position > cursor),
+h AS (SELECT min(global_position) AS horizon FROM p WHERE k = 400 AND n > 400) SELECT global_position, stream_name, category FROM p, h WHERE k <= 400 AND (horizon IS NULL OR global_position <= horizon) ORDER BY global_position LIMIT 400""")
+def merge_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    """The next chunk of a merge of three categories, each behind its own cursor."""
     log = lift.all_log(spark, sf)
-    parts = [log.filter(F.col("category") == c) for c in ("event", "order", "customer")]
-    return scans.before(scans.merge(*parts), "category").select("global_position", "stream_name", "category", "before")
+    cursors = log.groupBy("category").agg(F.floor(F.max("global_position") / 3).alias("cursor"))
+    return scans.merge_chunk(log, "category", cursors, 400).select("global_position", "stream_name", "category")
 
 
 @query(with_("all_log") + "SELECT global_position, count(*) AS n FROM (SELECT global_position FROM all_log UNION ALL SELECT global_position FROM all_log WHERE category = 'customer' AND source_id % 50 = 0) GROUP BY ALL HAVING count(*) > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import messaging as m
@@ -36,11 +36,17 @@ def outbox_claim_key(spark: SparkSession, sf: str) -> DataFrame:
     return _claimed(m.claim(lift.outbox(spark, sf), now(), "per-key"))
 
 
-@query(with_("outbox") + f"{_SELECT} WHERE {DUE} AND (a.created_at, a.outbox_id) < (SELECT min((created_at, outbox_id)) FROM outbox b WHERE {OPEN} AND {NOT_DUE})")
+@query(with_("outbox") + f", w AS (SELECT source, min((created_at, outbox_id)) AS first FROM outbox b WHERE {OPEN} AND {NOT_DUE} GROUP BY 1) {_SELECT} LEFT JOIN w USING (source) WHERE {DUE} AND (w.first IS NULL OR (a.created_at, a.outbox_id) < w.first)")
 def outbox_claim_source(spark: SparkSession, sf: str) -> DataFrame:
     return _claimed(m.claim(lift.outbox(spark, sf), now(), "per-source"))
 
 
+@query(with_("outbox") + f", w AS (SELECT source, message_key, min((created_at, outbox_id)) AS first FROM outbox b WHERE {OPEN} AND {NOT_DUE} AND message_key IS NOT NULL GROUP BY ALL) {_SELECT} LEFT JOIN w USING (source, message_key) WHERE {DUE} AND (w.first IS NULL OR (a.created_at, a.outbox_id) < w.first)")
+def outbox_claim_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """Stop-the-line claims wait behind the same rows as those by key; they differ in what a failure stops."""
+    return _claimed(m.claim(lift.outbox(spark, sf), now(), "stop-the-line"))
+
+
 @query(with_("outbox") + f"{_SELECT} WHERE {DUE} ORDER BY a.created_at, a.outbox_id LIMIT 200")
 def outbox_claim_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _claimed(m.claim(lift.outbox(spark, sf), now(), "best-effort", 200))
@@ -84,12 +90,13 @@ def backoff_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1, 16).select(k.alias("attempt"), m.delay(k, 1.5, 2, 300).alias("exponential"), m.delay(k, 5, 1, 300).alias("constant"))
 
 
-@query(with_("inbox") + ", f AS (SELECT *, row_number() OVER (PARTITION BY source, dedupe_key ORDER BY seq) AS k FROM inbox) SELECT source, dedupe_key, quantity, CASE WHEN k > 1 THEN 'batch-duplicate' WHEN source % 10 = 0 THEN 'duplicate' WHEN source % 10 = 1 THEN 'in-progress' WHEN source % 10 = 2 AND dedupe_key >= 3 THEN 'previously-failed' ELSE 'work' END AS plan FROM f")
+@query(with_("inbox") + ", f AS (SELECT *, row_number() OVER (PARTITION BY source, dedupe_key ORDER BY seq) AS k FROM inbox) SELECT source, dedupe_key, quantity, CASE WHEN k > 1 THEN 'batch-duplicate' WHEN source % 10 = 0 THEN 'duplicate' WHEN source % 10 = 1 THEN 'in-progress' WHEN source % 10 = 2 AND dedupe_key >= 3 THEN 'previously-failed' ELSE 'work' END AS plan, CASE WHEN k > 1 THEN 'batch-duplicate' WHEN source % 10 = 0 THEN 'duplicate' WHEN source % 10 = 1 THEN 'in-progress' WHEN source % 10 = 2 THEN 'previously-failed' ELSE 'work' END AS plan_once FROM f")
 def inbox_plan(spark: SparkSession, sf: str) -> DataFrame:
     rows = lift.inbox(spark, sf)
     k = F.col("source") % 10
     stored = rows.filter(k <= 2).select("source", "dedupe_key").distinct().select("source", "dedupe_key", F.when(k == 0, "completed").when(k == 1, "processing").otherwise("failed").alias("status"), F.col("dedupe_key").alias("attempts"))
-    return m.plan_batch(rows, stored).select("source", "dedupe_key", "quantity", "plan")
+    once = m.plan_batch(rows, stored).withColumnRenamed("plan", "plan_once")
+    return m.plan_batch(once, stored, 3).select("source", "dedupe_key", "quantity", "plan", "plan_once")
 
 
 @query(with_("inbox") + "SELECT source, dedupe_key, count(*) FILTER (flag <> 'A') AS attempt_count, CASE WHEN bool_or(flag = 'A') THEN 'completed' WHEN count(*) FILTER (flag <> 'A') >= 2 THEN 'poison' ELSE 'failed' END AS status FROM inbox GROUP BY ALL")
@@ -97,13 +104,16 @@ def inbox_failures(spark: SparkSession, sf: str) -> DataFrame:
     return m.failed_attempts(lift.inbox(spark, sf).withColumn("ok", F.col("flag") == "A"), 2)
 
 
-@query("SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN 'm' || event_id END, '') AS message_id, CASE WHEN event_id % 3 <> 0 THEN 'm' || event_id END AS by_message, CASE WHEN event_id % 4 <> 0 THEN 's' || user_id ELSE 'events:' || user_id % 8 || ':' || event_id END AS by_event, 'events:' || user_id % 8 || ':' || event_id AS by_position FROM events")
+@query("""WITH d AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE 'm' || event_id END AS mid, CASE WHEN event_id % 4 <> 0 THEN 's' || user_id END AS sid, CASE WHEN event_id % 8 <> 0 THEN event_id + 1 END AS pos, user_id % 8 AS part, CASE WHEN event_id % 5 <> 0 THEN event_id END AS place, repeat('k', (event_id % 4)::INT) AS own FROM events)
+SELECT event_id, mid AS message_id, nullif(mid, '') AS by_message, ifnull(sid, pos::VARCHAR) AS by_event, 'events:' || part || ':' || place AS by_position, nullif(own, '') AS by_custom FROM d""")
 def inbox_keys(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    message = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("m"), F.col("event_id").cast("string"))).otherwise("")
-    event = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("s"), F.col("user_id").cast("string"))).otherwise(" ")
-    at = (message, event, F.lit("events"), F.col("user_id") % 8, F.col("event_id"))
-    return e.select("event_id", message.alias("message_id"), m.dedupe_key("message-id", *at).alias("by_message"), m.dedupe_key("source-event", *at).alias("by_event"), m.dedupe_key("position", *at).alias("by_position"))
+    """Null where the policy can't be satisfied."""
+    k, user = F.col("event_id"), F.col("user_id")
+    message = F.when(k % 3 == 0, "").when(k % 3 == 1, " ").otherwise(F.concat(F.lit("m"), k.cast("string")))
+    event = F.when(k % 4 != 0, F.concat(F.lit("s"), user.cast("string")))
+    at = (message, event, F.when(k % 8 != 0, k + 1), F.lit("events"), user % 8, F.when(k % 5 != 0, k), F.repeat(F.lit("k"), (k % 4).cast("int")))
+    policies = {"message-id": "by_message", "source-event": "by_event", "position": "by_position", "custom": "by_custom"}
+    return table(spark, sf, "events").select("event_id", message.alias("message_id"), *[m.dedupe_key(p, *at).alias(name) for p, name in policies.items()])
 
 
 @query(with_("timers") + f"SELECT timer_id, correlation_id, CASE WHEN attempts + 1 > 6 THEN 'dead' ELSE 'firing' END AS status, attempts + 1 AS attempts, date_diff('second', fire_at, {NOW_SQL})::BIGINT * 1000 AS lag_ms FROM timers WHERE status = 'scheduled' AND fire_at <= {NOW_SQL}")
@@ -117,7 +127,7 @@ def timer_drain(spark: SparkSession, sf: str) -> DataFrame:
     return m.claim_timers(lift.timers(spark, sf), now(), 100, 100).select("timer_id", "fire_at", "attempts")
 
 
-@query(with_("timers") + ", s AS (SELECT timer_id, attempts, CASE WHEN status = 'firing' AND updated_at < TIMESTAMP '1997-01-01' THEN 'scheduled' ELSE status END AS status FROM timers) SELECT timer_id, status, CASE WHEN attempts % 3 = 0 AND status IN ('scheduled', 'firing') THEN 'cancelled' WHEN attempts % 3 = 1 AND status = 'firing' THEN 'fired' WHEN attempts % 3 = 2 AND status = 'firing' THEN 'dead' ELSE status END AS next_status FROM s")
+@query(with_("timers") + ", s AS (SELECT timer_id, attempts, CASE WHEN status = 'firing' AND updated_at <= TIMESTAMP '1997-01-01' THEN 'scheduled' ELSE status END AS status FROM timers) SELECT timer_id, status, CASE WHEN status NOT IN ('scheduled', 'firing') THEN status WHEN attempts % 3 = 0 THEN 'cancelled' WHEN attempts % 3 = 2 THEN 'dead' WHEN status = 'firing' THEN 'fired' ELSE status END AS next_status FROM s")
 def timer_transitions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("attempts") % 3
     rows = m.requeue_stuck(lift.timers(spark, sf), now("1997-01-01 00:00:00"))
@@ -137,6 +147,14 @@ def timer_rearm(spark: SparkSession, sf: str) -> DataFrame:
     return m.schedule(writes.select(F.col("user_id").alias("timer_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "schedule").otherwise("fire").alias("action"), F.col("ts").alias("fire_at")))
 
 
+@query(with_("timers") + "SELECT timer_id, updated_at, attempts, row_number() OVER (ORDER BY updated_at, timer_id)::INT AS place FROM timers WHERE status = 'firing' AND updated_at <= TIMESTAMP '1997-06-01' AND attempts >= 5 ORDER BY place LIMIT 100")
+def timers_stuck(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred longest waiting."""
+    page = m.stuck(lift.timers(spark, sf), now("1997-06-01 00:00:00"), 5).limit(100)
+    place = F.row_number().over(Window.orderBy("updated_at", "timer_id"))  # a page of a hundred
+    return page.select("timer_id", "updated_at", "attempts", place.alias("place"))
+
+
 Q_NOW = "2024-01-10 00:00:00"
 
 

@@ -32,12 +32,17 @@ def group_availability(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("reads", reads).withColumn("writes", writes)
 
 
-@query("SELECT event_id, status, action, CASE WHEN status = 'absent' AND action = 'register' THEN 'live' WHEN action = 'register' THEN status WHEN action = 'rebuild' AND status IN ('live', 'abandoned') THEN 'rebuilding' WHEN action = 'finish' AND status = 'rebuilding' THEN 'live' WHEN action = 'abandon' AND status = 'rebuilding' THEN 'abandoned' ELSE 'refused' END AS next FROM (SELECT event_id, (['absent', 'live', 'rebuilding', 'abandoned'])[1 + event_id % 4] AS status, (['register', 'rebuild', 'finish', 'abandon'])[1 + (event_id // 4) % 4] AS action FROM events)")
+@query("""WITH w AS (SELECT user_id AS name, event_id AS seq, ts AS at, (['register', 'rebuild', 'finish', 'abandon'])[1 + (event_id * 7) % 4] AS action, event_id % 3 AS version, 'shape-' || event_id % 2 AS shape FROM events WHERE event_id % 4 <> 1 OR user_id % 3 <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS place FROM w), f AS (SELECT * FROM o WHERE place = 1),
+t AS (SELECT name, action, version, shape FROM w WHERE action <> 'register' QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1), b AS (SELECT name, max(seq) AS seq FROM w WHERE action = 'finish' GROUP BY 1)
+SELECT f.name, CASE t.action WHEN 'rebuild' THEN 'rebuilding' WHEN 'abandon' THEN 'abandoned' ELSE 'live' END AS status, CASE WHEN t.name IS NULL THEN f.version ELSE t.version END AS version, CASE WHEN t.name IS NULL THEN f.shape ELSE t.shape END AS shape, coalesce((SELECT w.at FROM w WHERE w.name = b.name AND w.seq = b.seq), f.at) AS last_built_at
+FROM f LEFT JOIN t ON t.name = f.name LEFT JOIN b ON b.name = f.name""")
 def registry_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % 4 + 1).cast("int"))
+    """Registrations and transitions of models in the order of events."""
     k = F.col("event_id")
-    rows = table(spark, sf, "events").select("event_id", pick(["absent", "live", "rebuilding", "abandoned"], k).alias("status"), pick(["register", "rebuild", "finish", "abandon"], F.floor(k / 4)).alias("action"))
-    return rows.withColumn("next", F.coalesce(r.lifecycle(F.col("status"), F.col("action")), F.lit("refused")))
+    action = F.element_at(F.array(*[F.lit(x) for x in ("register", "rebuild", "finish", "abandon")]), (k * 7 % 4 + 1).cast("int"))
+    rows = table(spark, sf, "events").filter("event_id % 4 <> 1 or user_id % 3 <> 0")
+    return r.registry(rows.select(F.col("user_id").alias("name"), k.alias("seq"), F.col("ts").alias("at"), action.alias("action"), (k % 3).alias("version"), F.concat(F.lit("shape-"), (k % 2).cast("string")).alias("shape")))
 
 
 @query(with_("inbox") + ", k AS (SELECT source * 8 + dedupe_key AS key, seq, flag FROM inbox), f AS (SELECT key, min(seq) AS first FROM k GROUP BY 1) SELECT CASE WHEN flag = 'R' THEN 'fenced' WHEN key % 9 = 0 OR seq > first THEN 'duplicate' ELSE 'applied' END AS outcome, count(*) AS n, min(key) AS low, max(key) AS high FROM k JOIN f USING (key) GROUP BY 1")
@@ -84,17 +89,31 @@ def read_guard(spark: SparkSession, sf: str) -> DataFrame:
     return r.read_guard(g.join(n, "id", "left").fillna(0, ["n_rows"]), 10).select("id", F.coalesce("code", F.lit("ok")).alias("code"))
 
 
-@query("""WITH g AS (SELECT n_nationkey AS grp, [n_regionkey, n_nationkey % 7] AS names FROM nation), ck AS (SELECT s_nationkey % 6 AS name, min(s_suppkey) AS low FROM supplier GROUP BY 1),
-e AS (SELECT grp, unnest(list_distinct(names)) AS name, len(list_distinct(names)) AS want FROM g), p AS (SELECT grp, max(want) AS want, count(low) AS have, min(low) AS low FROM e LEFT JOIN ck USING (name) GROUP BY 1),
-m AS (SELECT s_nationkey AS grp, count(*) AS models FROM supplier GROUP BY 1)
-SELECT grp, n_name AS label, r_name AS region, coalesce(CASE WHEN have = want THEN low END, -1) AS floor, coalesce(models, 0) AS models FROM p JOIN nation ON n_nationkey = grp LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN m USING (grp)""")
+_GROUPS = """g AS (SELECT c_custkey AS grp, (['""" + "','".join(_STATUSES) + """'])[1 + c_custkey % 7] AS status, c_custkey % 7 < 5 AS reads, run AS active_run FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS run FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey),
+cu AS (SELECT c_custkey AS grp, CASE WHEN c_custkey % 3 = 0 THEN 'inline' ELSE 'checkpoint' END AS basis, [c_nationkey, c_nationkey + c_custkey % 4] AS names FROM customer WHERE c_custkey % 5 <> 0),
+ck AS (SELECT s_nationkey AS name, s_suppkey AS member, s_suppkey * 10 AS position FROM supplier), ru AS (SELECT o_orderkey AS run, o_orderkey * 4 AS captured_head FROM orders WHERE o_orderkey % 11 <> 0), so AS (SELECT l_orderkey AS run, l_partkey AS position FROM lineitem), mo AS (SELECT 'm' || o_orderkey AS name, o_custkey AS grp FROM orders)"""
+
+
+@query(f"""WITH {_GROUPS}, need AS (SELECT DISTINCT grp, unnest(names) AS name FROM cu), low AS (SELECT need.grp, need.name, min(position) AS low FROM need LEFT JOIN ck USING (name) GROUP BY ALL),
+floor AS (SELECT grp, CASE WHEN bool_and(low IS NOT NULL) THEN min(low) END AS floor FROM low GROUP BY 1)
+SELECT g.grp, g.status, g.reads, coalesce(cu.basis, 'unmanaged') AS basis, coalesce(CASE WHEN g.reads AND cu.basis = 'checkpoint' THEN floor.floor END, -1) AS applied_position, coalesce(g.active_run, -1) AS active_run,
+coalesce((SELECT min(so.position) FROM so WHERE so.run = ru.run), -1) AS rebuild_position, coalesce(ru.captured_head, -1) AS rebuild_head, coalesce((SELECT string_agg(mo.name, ',' ORDER BY mo.name) FROM mo WHERE mo.grp = g.grp), '') AS models
+FROM g LEFT JOIN cu ON cu.grp = g.grp LEFT JOIN floor ON floor.grp = g.grp LEFT JOIN ru ON ru.run = g.active_run""")
 def group_status(spark: SparkSession, sf: str) -> DataFrame:
-    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
-    groups = n.select(F.col("n_nationkey").alias("grp"), F.array_distinct(F.array(F.col("n_regionkey"), F.col("n_nationkey") % 7)).alias("names"))
-    ck = s.select((F.col("s_nationkey") % 6).alias("name"), F.col("s_suppkey").alias("member"), F.col("s_suppkey").alias("position"))
-    models = s.groupBy(F.col("s_nationkey").alias("grp")).agg(F.count(F.lit(1)).alias("models"))
-    out = r.group_floor(groups, ck).join(n, F.col("grp") == n["n_nationkey"]).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(models, "grp", "left")
-    return out.select("grp", F.col("n_name").alias("label"), F.col("r_name").alias("region"), F.coalesce("floor", F.lit(-1)).alias("floor"), F.coalesce("models", F.lit(0)).alias("models"))
+    """A group a customer: its cursor names subscriptions that suppliers hold, its run is its last open order, whose
+    lines are the sources, and its models are its orders."""
+    c, o, k = table(spark, sf, "customer"), table(spark, sf, "orders"), F.col("c_custkey")
+    runs = o.filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("active_run"))
+    reads, _ = r.availability(_status("c_custkey"))
+    groups = c.join(runs, "c_custkey", "left").select(k.alias("grp"), _status("c_custkey").alias("status"), reads.alias("reads"), "active_run")
+    names = F.array_distinct(F.array(F.col("c_nationkey"), F.col("c_nationkey") + k % 4))
+    cursors = c.filter("c_custkey % 5 <> 0").select(k.alias("grp"), F.when(k % 3 == 0, "inline").otherwise("checkpoint").alias("basis"), names.alias("names"))
+    checkpoints = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_suppkey").alias("member"), (F.col("s_suppkey") * 10).alias("position"))
+    known = o.filter("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("run"), (F.col("o_orderkey") * 4).alias("captured_head"))
+    sources = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("source"), F.col("l_partkey").alias("position"))
+    models = o.select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_custkey").alias("grp"))
+    out = r.group_status(groups, cursors, checkpoints, known, sources, models)
+    return out.fillna(-1, ["applied_position", "active_run", "rebuild_position", "rebuild_head"]).withColumn("models", F.array_join("models", ","))
 
 
 @query("""WITH x AS (SELECT o_custkey % 50 AS run, o_orderkey % 3 AS kind, o_totalprice > 1200 AS ok FROM orders),
@@ -107,11 +126,11 @@ def completion_proof(spark: SparkSession, sf: str) -> DataFrame:
     return r.completion(part(0, "complete"), part(1, "complete"), part(2, "passed"), want)
 
 
-@query(with_("all_log") + ", f AS (SELECT 'sub-' || category AS subscription, category, max(global_position) // 2 AS floor FROM all_log GROUP BY ALL) SELECT subscription, count(*) AS n, min(global_position) AS first, max(global_position) AS last FROM all_log JOIN f USING (category) WHERE global_position > floor AND global_position <= 30000 GROUP BY 1")
+@query(with_("all_log") + ", f AS (SELECT 'sub-' || category AS subscription, category, max(global_position) // 2 AS floor FROM all_log GROUP BY ALL) SELECT subscription, count(*) AS n, min(global_position) AS first, max(global_position) AS last FROM all_log JOIN f USING (category) WHERE global_position > floor GROUP BY 1")
 def dedup_backfill(spark: SparkSession, sf: str) -> DataFrame:
     log = lift.all_log(spark, sf)
     floors = log.groupBy("category").agg(F.floor(F.max("global_position") / 2).alias("floor")).select(F.concat(F.lit("sub-"), "category").alias("subscription"), "category", "floor")
-    return r.dedup_backfill(log, floors, 30000).groupBy("subscription").agg(F.count(F.lit(1)).alias("n"), F.min("global_position").alias("first"), F.max("global_position").alias("last"))
+    return r.dedup_backfill(log, floors, scans.captured(log)).groupBy("subscription").agg(F.count(F.lit(1)).alias("n"), F.min("global_position").alias("first"), F.max("global_position").alias("last"))
 
 
 @query("SELECT o_custkey AS stream, count(*) FILTER (o_custkey % 10 <> 0 OR o_orderkey % 2 = 0) AS n, max(o_orderkey) FILTER (o_custkey % 10 <> 0 OR o_orderkey % 2 = 0) AS last FROM orders GROUP BY 1 HAVING count(*) FILTER (o_custkey % 10 <> 0 OR o_orderkey % 2 = 0) > 0")
@@ -139,13 +158,26 @@ def begin_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     return r.begin_rebuild(groups, s.select(k.alias("grp"), F.lit(0).alias("want_slice")))
 
 
-@query(with_("all_log") + ", s AS (SELECT * FROM (VALUES ('mail', 'order'), ('stats', 'order'), ('stats2', 'event')) v(projection, category)) SELECT projection, count(*) AS staged, min(global_position) AS first, max(global_position) AS last FROM all_log JOIN s USING (category) WHERE global_position > 500 GROUP BY 1")
+@query(with_("all_log") + ", s AS (SELECT * FROM (VALUES ('mail', 'order'), ('stats', 'order'), ('stats2', 'event')) v(projection, category)) SELECT projection, count(*) AS staged, min(global_position) AS first, max(global_position) AS last FROM all_log JOIN s USING (category) GROUP BY 1")
 def dedup_stage(spark: SparkSession, sf: str) -> DataFrame:
     specs = spark.createDataFrame([("mail", "order"), ("stats", "order"), ("stats2", "event")], "projection string, category string")
-    staged = lift.all_log(spark, sf).filter("global_position > 500").join(F.broadcast(specs), "category")
+    staged = lift.all_log(spark, sf).join(F.broadcast(specs), "category")
     return staged.groupBy("projection").agg(F.count(F.lit(1)).alias("staged"), F.min("global_position").alias("first"), F.max("global_position").alias("last"))
 
 
+@query("""WITH g AS (SELECT s_suppkey AS grp, (s_suppkey % 4 = 0 OR (s_suppkey % 4 = 1 AND s_nationkey % 2 = 0)) AND s_acctbal >= 0 AS go FROM supplier),
+t AS (SELECT 'targets' AS part, l_suppkey AS grp, 0 AS position FROM lineitem UNION ALL SELECT 'dedup', l_suppkey, 0 FROM lineitem WHERE l_returnflag = 'R')
+SELECT part, count(*) AS n, 0::BIGINT AS positions FROM t JOIN g USING (grp) WHERE NOT go GROUP BY 1 UNION ALL SELECT 'checkpoints', count(*), sum(CASE WHEN go THEN 0 ELSE grp * 10 END)::BIGINT FROM g""")
+def begin_rebuild_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """What beginning leaves in the targets, in what was applied, and in the checkpoints."""
+    l, s = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
+    grp = l.select(F.col("l_suppkey").alias("grp"), "l_returnflag")
+    checkpoints = s.select(F.col("s_suppkey").alias("grp"), (F.col("s_suppkey") * 10).alias("position"))
+    targets, dedup, reset = r.begun(begin_rebuild(spark, sf), grp, grp.filter("l_returnflag = 'R'"), checkpoints)
+    count = lambda df, name, total: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), total.cast("long").alias("positions"))
+    return count(targets, "targets", F.lit(0)).unionByName(count(dedup, "dedup", F.lit(0))).unionByName(count(reset, "checkpoints", F.sum("position")))
+
+
 # Catalog rules over declarations made of the dimension tables.
 
 
@@ -165,41 +197,25 @@ def catalog_ownership(spark: SparkSession, sf: str) -> DataFrame:
     return c.ownership(table(spark, sf, "nation").select(F.col("n_nationkey").alias("target")), owners)
 
 
-_EDGES = "SELECT s_suppkey % 60 AS name, (s_suppkey * 7 + 3) % 60 AS depends_on FROM supplier WHERE s_suppkey < 100 AND s_suppkey % 4 <> 0"
-
-
-@query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT name AS a, depends_on AS b FROM e UNION SELECT r.a, e.depends_on FROM r JOIN e ON r.b = e.name) SELECT DISTINCT a AS name FROM r WHERE a = b")
-def catalog_cycle(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").filter("s_suppkey < 100 and s_suppkey % 4 <> 0")
-    return c.cycles(s.select((F.col("s_suppkey") % 60).alias("name"), ((F.col("s_suppkey") * 7 + 3) % 60).alias("depends_on")))
-
-
-@query(f"WITH e AS (SELECT DISTINCT * FROM ({_EDGES})) SELECT (a.s_suppkey % 3)::INT AS grp, e.name, e.depends_on FROM e JOIN supplier a ON a.s_suppkey = e.name JOIN supplier b ON b.s_suppkey = e.depends_on AND b.s_suppkey % 3 = a.s_suppkey % 3 WHERE b.s_suppkey >= a.s_suppkey")
-def catalog_order(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier")
-    edges = s.filter("s_suppkey < 100 and s_suppkey % 4 <> 0").select((F.col("s_suppkey") % 60).alias("name"), ((F.col("s_suppkey") * 7 + 3) % 60).alias("depends_on")).distinct()
-    return c.out_of_order(s.select((F.col("s_suppkey") % 3).cast("int").alias("grp"), F.col("s_suppkey").alias("name"), F.col("s_suppkey").alias("position")), edges)
-
-
-def _whole_edges(spark: SparkSession, sf: str) -> DataFrame:
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
     """Each supplier depends on one whose place among all of them is given by its key."""
     s = table(spark, sf, "supplier")
     k, n = F.col("s_suppkey"), s.agg(F.count(F.lit(1)).alias("n"))
     return s.crossJoin(F.broadcast(n)).select(k.alias("name"), ((k * k + 3) % F.col("n")).alias("depends_on"))
 
 
-@query()
-def catalog_cycle_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """catalog_cycle over the edges of all suppliers; a cycle may be as long as there are names."""
-    edges = _whole_edges(spark, sf)
-    return c.cycles(edges, edges.count())
+_EDGES = "e AS (SELECT s_suppkey AS name, (s_suppkey * s_suppkey + 3) % (SELECT count(*) FROM supplier) AS depends_on FROM supplier)"
 
 
-@query("WITH e AS (SELECT s_suppkey AS name, (s_suppkey * s_suppkey + 3) % (SELECT count(*) FROM supplier) AS depends_on FROM supplier) SELECT (a.s_suppkey % 3)::INT AS grp, e.name, e.depends_on FROM e JOIN supplier a ON a.s_suppkey = e.name JOIN supplier b ON b.s_suppkey = e.depends_on AND b.s_suppkey % 3 = a.s_suppkey % 3 WHERE b.s_suppkey >= a.s_suppkey")
-def catalog_order_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """catalog_order over the edges of all suppliers."""
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT name AS a, depends_on AS b FROM e UNION SELECT r.a, e.depends_on FROM r JOIN e ON r.b = e.name) SELECT x.a AS name, min(x.b) AS cycle FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1")
+def catalog_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    return c.cycles(_edges(spark, sf))
+
+
+@query(f"WITH {_EDGES} SELECT (a.s_suppkey % 3)::INT AS grp, e.name, e.depends_on FROM e JOIN supplier a ON a.s_suppkey = e.name JOIN supplier b ON b.s_suppkey = e.depends_on AND b.s_suppkey % 3 = a.s_suppkey % 3 WHERE b.s_suppkey >= a.s_suppkey")
+def catalog_order(spark: SparkSession, sf: str) -> DataFrame:
     order = table(spark, sf, "supplier").select((F.col("s_suppkey") % 3).cast("int").alias("grp"), F.col("s_suppkey").alias("name"), F.col("s_suppkey").alias("position"))
-    return c.out_of_order(order, _whole_edges(spark, sf))
+    return c.out_of_order(order, _edges(spark, sf))
 
 
 @query("SELECT 'removed' AS finding, c_custkey AS name FROM customer WHERE c_custkey % 12 = 0 UNION ALL SELECT 'moved', c_custkey FROM customer WHERE c_custkey % 12 <> 0 AND c_custkey % 10 = 1")
@@ -256,16 +272,15 @@ def catalog_supplier(spark: SparkSession, sf: str) -> DataFrame:
     return c.suppliers(models, s.select(F.col("s_suppkey").alias("target"), (F.col("s_suppkey") % 2).alias("projection")))
 
 
-_REBUILD = "w AS (SELECT o_custkey AS key, 'f-' || o_orderkey AS value, o_orderkey * 4 + 2 AS place, 0 AS ordinal FROM orders WHERE o_orderstatus = 'F' AND o_orderkey * 4 + 2 <= 40000 UNION ALL SELECT o_custkey, 'u-' || o_orderkey, o_orderkey * 4 + 2, 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey * 4 + 2 <= 40000), m AS (SELECT key, max_by(value, place * 10 + ordinal) AS value FROM w GROUP BY 1)"
+_REBUILD = "w AS (SELECT o_custkey AS key, 'f-' || o_orderkey AS value, o_orderkey * 4 + 2 AS place, 0 AS ordinal FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 'u-' || o_orderkey, o_orderkey * 4 + 2, 1 FROM orders WHERE o_orderpriority = '1-URGENT'), m AS (SELECT key, max_by(value, place * 10 + ordinal) AS value FROM w GROUP BY 1)"
 
 
-def _rebuilt(spark: SparkSession, sf: str, policy: str, head: int | None = 40000) -> DataFrame:
-    """head: None captures the log's."""
+def _rebuilt(spark: SparkSession, sf: str, policy: str) -> DataFrame:
+    """Up to the head that the log has when the rebuild begins."""
     o = table(spark, sf, "orders").withColumn("global_position", F.col("o_orderkey") * 4 + 2)
     rows = lambda prefix, condition: lambda e: e.filter(condition).select(F.col("o_custkey").alias("key"), F.concat(F.lit(prefix), F.col("o_orderkey").cast("string")).alias("value"), "global_position")
     targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.lit("old").alias("value"))
-    head = scans.captured(o) if head is None else head
-    return r.rebuild(targets, o, head, [rows("f-", "o_orderstatus = 'F'"), rows("u-", "o_orderpriority = '1-URGENT'")], policy)
+    return r.rebuild(targets, o, scans.captured(o), [rows("f-", "o_orderstatus = 'F'"), rows("u-", "o_orderpriority = '1-URGENT'")], policy)
 
 
 @query(f"WITH {_REBUILD} SELECT key, value FROM m")
@@ -278,28 +293,7 @@ def rebuild_preserved(spark: SparkSession, sf: str) -> DataFrame:
     return _rebuilt(spark, sf, "preserve")
 
 
-_REBUILD_WHOLE = "w AS (SELECT o_custkey AS key, 'f-' || o_orderkey AS value, o_orderkey * 4 + 2 AS place, 0 AS ordinal FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 'u-' || o_orderkey, o_orderkey * 4 + 2, 1 FROM orders WHERE o_orderpriority = '1-URGENT'), m AS (SELECT key, max_by(value, place * 10 + ordinal) AS value FROM w GROUP BY 1)"
-
-
-@query(f"WITH {_REBUILD_WHOLE} SELECT key, value FROM m")
-def rebuild_cleared_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """rebuild_cleared up to the log's own head."""
-    return _rebuilt(spark, sf, "clear", None)
-
-
-@query(f"WITH {_REBUILD_WHOLE} SELECT key, value FROM m UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT key FROM m)")
-def rebuild_preserved_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """rebuild_preserved up to the log's own head."""
-    return _rebuilt(spark, sf, "preserve", None)
-
-
-@query(with_("all_log") + "SELECT unnest(['orders', 'even']) AS adapter, count(*) AS events, unnest([count(*) FILTER (category = 'order'), count(*) FILTER (source_id % 2 = 0)]) AS applied FROM all_log WHERE global_position <= 30000")
-def replay_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return r.progress(lift.all_log(spark, sf), 30000, {"orders": F.col("category") == "order", "even": F.col("source_id") % 2 == 0})
-
-
 @query(with_("all_log") + "SELECT unnest(['orders', 'even']) AS adapter, count(*) AS events, unnest([count(*) FILTER (category = 'order'), count(*) FILTER (source_id % 2 = 0)]) AS applied FROM all_log")
-def replay_progress_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """replay_progress up to the log's own head."""
+def replay_progress(spark: SparkSession, sf: str) -> DataFrame:
     log = lift.all_log(spark, sf)
     return r.progress(log, scans.captured(log), {"orders": F.col("category") == "order", "even": F.col("source_id") % 2 == 0})

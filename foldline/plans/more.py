@@ -16,10 +16,11 @@ from .registry import query
 ALL_ROWS = 100
 
 
-@query(f"SELECT s_nationkey AS grp, count(*) AS n, count(*) > 4 AS over FROM supplier GROUP BY 1 HAVING count(*) <= {ALL_ROWS}")
+@query(f"SELECT l_suppkey AS grp, count(*) AS n, CASE WHEN count(*) > {ALL_ROWS} THEN 'KR004' ELSE 'ok' END AS code FROM lineitem GROUP BY 1")
 def all_rows_bound(spark: SparkSession, sf: str) -> DataFrame:
-    """Reads that return all rows are refused beyond a bound."""
-    return table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("grp")).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 4).alias("over")).filter(F.col("n") <= ALL_ROWS)
+    """A read that returns all rows of a contract fails beyond the bound; it isn't cut."""
+    n = F.count(F.lit(1))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("grp")).agg(n.alias("n"), F.when(n > ALL_ROWS, "KR004").otherwise("ok").alias("code"))
 
 
 @query("SELECT s_nationkey AS service, s_suppkey AS responder, (s_suppkey % 3)::INT AS tier, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 3, s_suppkey)::INT AS place FROM supplier")
@@ -256,7 +257,14 @@ def inverse_replay(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("stream_name", "vertex", "outcome", F.coalesce("at", F.lit(0)).alias("at_version"))
 
 
-@query()
+_S = lambda x: f"'s' || octet_length(encode({x})) || ':' || {x}"
+_FACT = lambda *xs: f"'l{len(xs)}:' || " + " || ".join(map(_S, xs))
+
+
+@query(f"""WITH f AS (SELECT n_regionkey AS k, 1 AS part, {_FACT("'target'", "n_name", "'clear'")} AS fact, n_name AS ranked FROM nation
+UNION ALL SELECT n_regionkey, 2, {_FACT("'projection'", "'p' || n_name", "'log'", "''", "''", "'True'", "'beginning'", "n_name")}, n_name FROM nation UNION ALL SELECT DISTINCT n_regionkey, 3, {_FACT("'source'", "'log'", "'all'")}, '' FROM nation),
+g AS (SELECT n_regionkey AS k, 'l' || (2 + count(*)) || ':' || {_S("'group'")} || {_S("'r' || n_regionkey")} || string_agg({_S("n_name")}, '' ORDER BY n_nationkey) AS own FROM nation GROUP BY 1)
+SELECT 'r' || g.k AS grp, 'slice:' || sha256('l2:' || {_S("'slice'")} || 'l' || (1 + count(*)) || ':' || own || string_agg(fact, '' ORDER BY part, ranked)) AS fingerprint, 0 AS findings FROM g JOIN f USING (k) GROUP BY g.k, own""")
 def catalog_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Slice fingerprints of a catalog declared from the nations, one group a region."""
     n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name").orderBy("n_nationkey").collect()

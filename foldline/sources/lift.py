@@ -33,11 +33,11 @@ def all_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as outgoing messages; every seventh has no key, some were claimed and not finished."""
+    """Orders as outgoing messages of forty sources; every seventh has no key, some were claimed and not finished."""
     k = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "sent").when((F.col("o_orderstatus") == "O") & (k % 11 == 0), "publishing").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
     return table(spark, sf_dir, "orders").select(
-        k.alias("outbox_id"), F.lit("orders").alias("source"), F.when(k % 7 != 0, F.col("o_custkey")).alias("message_key"), F.col("o_orderdate").alias("created_at"),
+        k.alias("outbox_id"), F.concat(F.lit("shop-"), (F.col("o_custkey") % 40).cast("string")).alias("source"), F.when(k % 7 != 0, F.col("o_custkey")).alias("message_key"), F.col("o_orderdate").alias("created_at"),
         status.alias("status"), (k % 12).alias("attempts"), (F.col("o_orderdate") + F.make_dt_interval((k % 7).cast("int"))).alias("next_attempt_at"), F.col("o_orderpriority").alias("payload"),
     )
 
@@ -79,7 +79,7 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 CTE = {
     "event_log": "SELECT event_id + 1 AS global_position, user_id + 1 AS stream_id, 'user-' || user_id AS stream_name, 'user' AS category, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS stream_version, event_id, event_type, value, props AS payload, ts AS created_at FROM events",
     "all_log": "SELECT event_id * 4 + 1 AS global_position, 'event-' || event_id AS stream_name, 'event' AS category, event_id AS source_id FROM events UNION ALL SELECT o_orderkey * 4 + 2, 'order-' || o_orderkey, 'order', o_orderkey FROM orders UNION ALL SELECT c_custkey * 4 + 3, 'customer-' || c_custkey, 'customer', c_custkey FROM customer",
-    "outbox": "SELECT o_orderkey AS outbox_id, 'orders' AS source, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS message_key, o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN 'sent' WHEN o_orderstatus = 'O' AND o_orderkey % 11 = 0 THEN 'publishing' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'failed' END AS status, o_orderkey % 12 AS attempts, o_orderdate + to_days((o_orderkey % 7)::INT) AS next_attempt_at, o_orderpriority AS payload FROM orders",
+    "outbox": "SELECT o_orderkey AS outbox_id, 'shop-' || o_custkey % 40 AS source, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS message_key, o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN 'sent' WHEN o_orderstatus = 'O' AND o_orderkey % 11 = 0 THEN 'publishing' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'failed' END AS status, o_orderkey % 12 AS attempts, o_orderdate + to_days((o_orderkey % 7)::INT) AS next_attempt_at, o_orderpriority AS payload FROM orders",
     "inbox": "SELECT l_orderkey AS source, l_linenumber AS dedupe_key, (l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq, l_returnflag AS flag, l_quantity AS quantity FROM lineitem",
     "timers": "SELECT o_orderkey AS timer_id, 'orders' AS owner, o_custkey::VARCHAR AS correlation_id, o_orderdate AS fire_at, CASE WHEN o_orderkey % 5 = 0 THEN 'firing' WHEN o_orderkey % 13 = 0 THEN 'fired' WHEN o_orderkey % 17 = 0 THEN 'cancelled' ELSE 'scheduled' END AS status, o_orderkey % 9 AS attempts, o_orderdate + to_days(1) AS updated_at FROM orders",
     "journal": "SELECT conv_id AS workflow_id, turn AS ordinal, role || ':' || turn AS step_name, length(text) AS result, (conv_id % 3)::INT AS generation FROM conversations",

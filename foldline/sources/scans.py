@@ -63,6 +63,29 @@ def clashes(log: DataFrame) -> DataFrame:
     return log.groupBy("global_position").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def merge_chunk(log: DataFrame, by: str, cursors: DataFrame, size: int) -> DataFrame:
+    """The next events of a merge of pages: a page of ``size`` from each source behind its cursor, and of these, in the one
+    order, at most ``size`` up to the horizon, behind which a source that isn't read to its end may still have any.
+
+    cursors: the source, cursor; each source is read as far as its page by an order and a limit of its own.
+    """
+    pages = None
+    for row in cursors.collect():  # one row a source of a rebuild's contract
+        one = log.filter((F.col(by) == row[by]) & (F.col("global_position") > row["cursor"])).orderBy("global_position").limit(size + 1)
+        pages = one if pages is None else pages.unionByName(one)
+    place = F.row_number().over(Window.partitionBy(by).orderBy("global_position"))
+    pages = pages.withColumn("_place", place).withColumn("_more", F.max("_place").over(Window.partitionBy(by)) > size).filter(F.col("_place") <= size)
+    ends = pages.groupBy(by, "_more").agg(F.max("global_position").alias("last")).filter("_more").agg(F.min("last").alias("_horizon"))
+    held = pages.crossJoin(F.broadcast(ends)).filter(F.col("_horizon").isNull() | (F.col("global_position") <= F.col("_horizon")))
+    return held.drop("_place", "_more", "_horizon").orderBy("global_position").limit(size)
+
+
+def chunk_error(chunk: DataFrame, floor: int) -> DataFrame:
+    """What is wrong with a merged chunk, as rows (finding, global_position): a position twice, or one that had been applied."""
+    twice = clashes(chunk).select(F.lit("duplicate").alias("finding"), "global_position")
+    return twice.unionByName(chunk.filter(F.col("global_position") <= floor).select(F.lit("regression").alias("finding"), "global_position"))
+
+
 def head(log: DataFrame, *by: str) -> DataFrame:
     """Largest position, 0 for an empty log, or by category."""
     return log.groupBy(*by).agg(F.coalesce(F.max("global_position"), F.lit(0)).alias("head"))
