@@ -5,7 +5,8 @@ digits and characters outside ASCII made one space (typographic quotes and dashe
 replaced word by word. The SHA-256 of the whole normalised text is joined by hash with the digests of known
 licences and notices, which come from the fixed texts below or a table that is given; it is small and broadcast.
 
-That finds texts that are a licence and nothing else. ``notices`` also finds licences and notices within longer
+That finds texts that are a licence and nothing else. Each line is normalised and looked up by its digest as well,
+which finds notices of one line in longer texts. ``notices`` also finds licences and notices within longer
 texts: a run of whole lines, or of whole paragraphs however their lines are broken, that reads like a known text
 after the same normalisation. It compares the normalised texts themselves, not digests.
 
@@ -15,6 +16,7 @@ licence; repeated rows are repeated; a null id stays; an empty table gives no ro
 
 from __future__ import annotations
 
+import json
 import string
 from collections.abc import Iterable
 from pathlib import Path
@@ -120,11 +122,26 @@ def known(like: DataFrame, table: Iterable[tuple[str, str]] = KNOWN) -> DataFram
     return rows.select(F.sha2(normalised(F.col("body")).cast("binary"), 256).alias("license_digest"), "license").dropDuplicates(["license_digest"])
 
 
+def _digest(words: Column) -> Column:
+    return F.sha2(words.cast("binary"), 256)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: Iterable[tuple[str, str]] = KNOWN) -> DataFrame:
-    """Per document: doc_id, digest of its normalised text, license (null if none is known by it)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("digest"))
+    """Per document: doc_id, digest of its normalised text, license (null if none is known by it), licensed, and lines:
+    the sorted ids of known texts that are whole lines of it.
+
+    Lines are looked up by their digests too, in a map of the table's, which has a few rows; a text is read once.
+    """
     found = F.broadcast(known(docs, table))
-    return rows.join(found, rows["digest"] == found["license_digest"], "left").select("doc_id", "digest", "license", F.col("license").isNotNull().alias("licensed"))
+    names = {r["license_digest"]: r["license"] for r in known(docs, table).collect()}  # a row a known text
+    by_digest = F.from_json(F.lit(json.dumps(names)), "map<string,string>")  # folded into one literal
+    words = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("whole"), words.alias("low"))
+    lines = F.transform(F.split(F.regexp_replace("low", NOTICE, "\n"), r"\r\n|\r|\n"), lambda x: _digest(F.trim(_spelled(_words(x)))))
+    named = F.array_sort(F.array_distinct(F.array_compact(F.transform(lines, lambda x: F.element_at(by_digest, x)))))
+    rows = rows.select("doc_id", _digest(F.col("whole")).alias("digest"), named.alias("lines"))
+    rows = rows.join(found, rows["digest"] == found["license_digest"], "left")
+    return rows.select("doc_id", "digest", "license", F.col("license").isNotNull().alias("licensed"), "lines")
 
 
 def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: Iterable[tuple[str, str]] | None = None) -> DataFrame:

@@ -92,7 +92,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("lines", F.array_join("lines", ","))
 
 
 def _normalised_sql(text: str) -> str:
@@ -109,8 +109,10 @@ def _license_sql() -> str:
     rows = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in licenses.KNOWN)
     return f"""
 WITH known AS (SELECT DISTINCT {_normalised_sql("body")} AS digest, license FROM (VALUES {rows}) k(license, body)),
-docs AS (SELECT doc_id, {_normalised_sql("text")} AS digest FROM documents)
-SELECT doc_id, digest, license, license IS NOT NULL AS licensed FROM docs LEFT JOIN known USING (digest)
+docs AS (SELECT doc_id, {_normalised_sql("text")} AS digest FROM documents),
+lines AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM documents),
+named AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS names FROM (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, {_normalised_sql("line")} AS digest FROM lines) JOIN known USING (digest)) GROUP BY 1)
+SELECT doc_id, digest, license, license IS NOT NULL AS licensed, coalesce(names, '') AS lines FROM docs LEFT JOIN known USING (digest) LEFT JOIN named USING (doc_id)
 """
 
 

@@ -175,6 +175,9 @@ def test_licences(spark, edges, nothing):
     got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 4: None, 5: None, 6: None, 7: "Apache-2.0"}
     assert licenses.scan(edges).count() == edges.count() and licenses.scan(nothing).count() == 0
+    lines = ["words\r\nReleased under the MIT Licence\rLicensed under CC BY 4.0.", "a Released under the MIT License.", "Copyright (c) 2020\n* Licensed under the Apache License, Version 2.0 *\n", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lines"] for r in licenses.scan(docs).collect()} == {0: ["CC-BY-4.0", "MIT"], 1: [], 2: ["Apache-2.0"], 3: []}
 
 
 def test_notices_within_texts(spark, edges, nothing):
