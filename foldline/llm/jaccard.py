@@ -51,6 +51,8 @@ PERCENT = 80
 EXTEND = 8
 VERIFY = 0.25
 ROUNDS = 2
+#: Pairs of one node that meet its set in one place.
+PAIRS = 256
 #: Shingles that a bucket of the first pass should hold, and that a block of rows is closed at.
 BUCKET = 1 << 18
 BLOCK = 1 << 18
@@ -282,24 +284,39 @@ def possible(a: str, b: str, percent: int) -> Column:
     return most * (100 + percent) >= (at(a, "n") + at(b, "n")) * percent
 
 
-def matched(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+def hot(pairs: DataFrame) -> DataFrame:
+    """b, k: nodes that many pairs have on their side b, and over how many parts those are dealt."""
+    n = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("k"))
+    return broadcast_if_small(written(n.filter("k > 1"), "hot"), 16)
+
+
+def both_sides(pairs: DataFrame, rows: DataFrame, many: DataFrame) -> DataFrame:
+    """Pairs with the columns of both nodes' rows (node, ...). The pairs of a hot node are dealt over parts, each of which
+    meets a copy of that node's row."""
+    one, two = (rows.toDF(side, *[f"{c}_{side}" for c in rows.columns[1:]]) for side in "ab")
+    k = F.coalesce("k", F.lit(1))
+    dealt = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), k).cast("int").alias("part"))
+    copies = two.join(many, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), k - 1))).drop("k")
+    return dealt.join(one, "a").join(copies, ["b", "part"])
+
+
+def matched(pairs: DataFrame, whole: DataFrame, many: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, b) of nodes those whose prefixes share as many shingles as the shorter extension calls for.
 
     Beyond the prefix that ends first in the order, at most the rest of its set is shared.
     """
-    one, two = (whole.toDF(side, *[f"{c}_{side}" for c in whole.columns[1:]]) for side in "ab")
     common = F.size(F.array_intersect("prefix_a", "prefix_b"))
     enough = (common >= F.least("l_a", "l_b")) & ((common + F.greatest("rest_a", "rest_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    return pairs.join(one, "a").join(two, "b").filter(enough).select("a", "b")
+    return both_sides(pairs, whole, many).filter(enough).select("a", "b")
 
 
 def verified(pairs: DataFrame, whole: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, b) of nodes those that are alike enough; only pairs that match have their sets fetched."""
-    pairs = written(matched(pairs, whole, percent), "matched")
-    left = reps.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = reps.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").filter(both * 100 >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    many = hot(pairs)
+    pairs = written(matched(pairs, whole, many, percent), "matched")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    alike = both * 100 >= percent * (F.size("tokens_a") + F.size("tokens_b") - both)
+    return both_sides(pairs, reps.select("node", "tokens"), many).filter(alike).select("a", "b")
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -332,7 +349,10 @@ def linked(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
         here = posts.join(broadcast_if_small(labels, 16), "node")
         lists = here.groupBy("token").agg(nearest, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         if turn:
-            lists = here.join(lists.select("token", F.col("pivot.label").alias("done")), "token").filter("label <> done").groupBy("token").agg(nearest)
+            # One row a component of a list: what the first round joined weighs no more, however long the list.
+            own = written(here.groupBy("token", "label").agg(nearest), "nearest")
+            best = own.groupBy("token").agg(F.min("pivot").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+            lists = own.join(best.select("token", F.col("pivot.label").alias("done")), "token").filter("label <> done").groupBy("token").agg(F.min("pivot").alias("pivot"))
         pairs = here.join(lists.select("token", "pivot"), "token").filter((F.col("label") != F.col("pivot.label")) & possible("{}", "pivot.{}", percent))
         pairs = written(pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
         labels = merged(labels, verified(pairs, whole, reps, percent))
