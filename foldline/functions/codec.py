@@ -53,15 +53,24 @@ class Codec:
 
     def decode(self, df: DataFrame, schema: str, event_type: str = "event_type", metadata: str = "metadata", payload: str = "payload", relevant_only: bool = False) -> DataFrame:
         """Adds ``decoded`` and ``error``. With relevant_only an unknown type is skipped (``outcome`` irrelevant)
-        instead of failing."""
-        version, bad_version = self.found_version(F.col(metadata))
-        moved, bad_move = self.migrate(version, F.col(payload))
-        value = F.from_json(moved, schema)
-        known = F.col(event_type).isin(*self.types)
-        bad_payload = F.when(value.isNull() | F.get_json_object(moved, "$").isNull(), "malformed-payload")
-        error = F.when(~known, F.lit("unknown-type")).otherwise(F.coalesce(bad_version, bad_move, bad_payload))
+        instead of failing.
+
+        Each step is a projection of its own, so that a version is read, a payload lifted and JSON parsed once a row.
+        """
+        raw = F.get_json_object(F.col(metadata), f"$.{VERSION_KEY}")
+        rows = df.select("*", raw.alias("_version_text"), F.col(payload).alias("_payload_now"))
+        rows = rows.withColumn("_version", F.coalesce(F.col("_version_text").try_cast("int"), F.when(F.col("_version_text").isNull(), 1)))
+        for k in sorted(self.upcasters):
+            rows = rows.withColumn("_payload_now", F.when(F.col("_version") <= k, self.upcasters[k](F.col("_payload_now"))).otherwise(F.col("_payload_now")))
+        options = {"columnNameOfCorruptRecord": "_corrupt"}
+        rows = rows.withColumn("_value", F.from_json(F.when(F.col("_version").between(1, self.version), F.col("_payload_now")), f"{schema}, _corrupt string", options))
+        version, known = F.col("_version"), F.col(event_type).isin(*self.types)
+        moved = F.when(version.isNull(), "malformed-version").when(version > self.version, "version-ahead").when(version < 1, "unknown-version")
+        bad_payload = F.when(F.col("_value").isNull() | F.col("_value._corrupt").isNotNull(), "malformed-payload")
+        error = F.when(~known, F.lit("unknown-type")).otherwise(F.coalesce(moved, bad_payload))
         outcome = F.when(~known, "irrelevant" if relevant_only else "failed").when(error.isNotNull(), "failed").otherwise("relevant" if relevant_only else "decoded")
-        return df.withColumn("decoded", F.when(error.isNull(), value)).withColumn("error", error).withColumn("outcome", outcome)
+        decoded = F.when(error.isNull(), F.col("_value").dropFields("_corrupt"))
+        return rows.select(*df.columns, decoded.alias("decoded"), error.alias("error"), outcome.alias("outcome"))
 
 
 #: Required headers of an inbound record, in the order of their checks, below the prefix of the sender.

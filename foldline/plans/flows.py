@@ -298,7 +298,7 @@ x AS (SELECT *, CASE WHEN event_type = 'error' THEN 'unknown-type' WHEN v = 'x'
 SELECT event_id, coalesce(error, '') AS error, CASE WHEN event_type = 'error' THEN 'irrelevant' WHEN error IS NULL THEN 'relevant' ELSE 'failed' END AS outcome, CASE WHEN error IS NULL THEN CASE WHEN v = '2' THEN k ELSE k + 1000 END ELSE -1 END AS k FROM x""")
 def codec_upcast(spark: SparkSession, sf: str) -> DataFrame:
     """Version 1 payloads are lifted to 2 by adding 1000 to a field."""
-    up = lambda p: F.when(F.get_json_object(p, "$.k").isNotNull(), F.concat(F.lit('{"k": '), (F.get_json_object(p, "$.k").try_cast("bigint") + 1000).cast("string"), F.lit("}")))
+    up = lambda p: F.concat(F.lit('{"k": '), (F.get_json_object(p, "$.k").try_cast("bigint") + 1000).cast("string"), F.lit("}"))
     made = codec.Codec(2, ("signup", "view", "click", "purchase"), {1: up})
     k = F.col("event_id") % 6
     version = F.when(k == 1, "1").when(k == 2, "2").when(k == 3, "3").when(k == 4, "0").when(k == 5, '"x"')
@@ -322,3 +322,52 @@ def kafka_decode(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", F.lit("t").alias("topic"), F.lit(0).alias("partition"), k.alias("offset"), k.cast("string").alias("key"), heads.alias("headers"), F.lit("2024-01-01").cast("timestamp_ntz").alias("received_at"),
     )
     return codec.kafka_decode(records).select(F.col("offset").alias("event_id"), F.coalesce("error", F.lit("")).alias("error"), "occurred_at")
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown-type' WHEN event_id % 5 = 1 THEN 'metadata-not-object' ELSE '' END AS error,
+CASE WHEN event_type <> 'error' AND event_id % 5 <> 1 THEN CASE event_id % 5 WHEN 0 THEN '{"schemaVersion":"2"}' WHEN 2 THEN '{"by":"u' || user_id || '","schemaVersion":"2"}' WHEN 3 THEN '{"schemaVersion":"2"}' ELSE '{"a":"1","b":"2","schemaVersion":"2"}' END ELSE '' END AS metadata FROM events""")
+def codec_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata of events as they are written: the version is put in, whatever was there under its name."""
+    made = codec.Codec(2, ("signup", "view", "click", "purchase"), {1: lambda p: p})
+    k = F.col("event_id") % 5
+    given = F.when(k == 1, "[1]").when(k == 2, F.concat(F.lit('{"by": "u'), F.col("user_id").cast("string"), F.lit('"}'))).when(k == 3, '{"schemaVersion": 1}').when(k == 4, '{"a": 1, "b": "2"}')
+    metadata, error = made.encode(F.col("event_type"), given)
+    return table(spark, sf, "events").select("event_id", F.coalesce(error, F.lit("")).alias("error"), F.coalesce(metadata, F.lit("")).alias("metadata"))
+
+
+@query("""SELECT event_id, 'mail' AS topic, 'u' || user_id AS key, octet_length(encode(props))::INT AS value_bytes, 'x-source=shop,x-destination=mail,x-event-type=' || event_type || ',x-schema-version=2,content-type=application/json,x-message-id=' || event_id || CASE WHEN event_id % 3 = 0 THEN ',traceparent=00-' || event_id ELSE '' END AS headers FROM events""")
+def kafka_encode(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    rows = table(spark, sf, "events").select(
+        "event_id", F.lit("shop").alias("source"), F.lit("mail").alias("destination"), F.col("event_type"), F.lit(2).alias("schema_version"), F.lit("application/json").alias("content_type"), k.alias("message_id"),
+        F.when(k % 3 == 0, F.concat(F.lit("00-"), k.cast("string"))).alias("traceparent"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("props").alias("payload"),
+    )
+    sent = codec.kafka_encode(rows.withColumn("key", F.struct("event_id", "key")))
+    headers = F.array_join(F.transform("headers", lambda h: F.concat_ws("=", h["name"], h["value"])), ",")
+    return sent.select("key.event_id", "topic", "key.key", F.octet_length("value").alias("value_bytes"), headers.alias("headers"))
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'part_' || '01h455vb4pex5vsknk084sn02q' WHEN 1 THEN 'part_' || '81h455vb4pex5vsknk084sn02q' WHEN 2 THEN 'item_' || '01h455vb4pex5vsknk084sn02q' WHEN 3 THEN 'part_' || '01h455vb4p4x5vsknk084sn02q' WHEN 4 THEN 'part_' || '01h455vb4pex5vsknk084sn02' ELSE 'part_' || '01h455vb4pex5fsknk084sn02q' END AS id FROM part)
+SELECT p_partkey, id, regexp_matches(id, '^part_[0-7][0-9abcdefghjkmnpqrstvwxyz]{25}$') AND (position(substr(id, 16, 1) IN '0123456789abcdefghjkmnpqrstvwxyz') - 1) >> 1 = 7 AND ((position(substr(id, 19, 1) IN '0123456789abcdefghjkmnpqrstvwxyz') - 1) >> 2) % 4 = 2 AS ok FROM t""")
+def type_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids with a type before them: the type, the alphabet, the length, the version and the variant are checked."""
+    good = "01h455vb4pex5vsknk084sn02q"
+    forms = ("part_" + good, "part_8" + good[1:], "item_" + good, "part_" + good[:10] + "4" + good[11:], "part_" + good[:-1], "part_" + good[:13] + "f" + good[14:])
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in forms]), (k % 6 + 1).cast("int")).alias("id"))
+    return rows.withColumn("ok", ids.type_id_ok(F.col("id"), "part"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, (['absent', 'candidate', 'active', 'pending-retirement', 'retired'])[1 + c_custkey % 5] AS state, (['declare', 'activate', 'retire', 'finish'])[1 + c_nationkey % 4] AS event, c_custkey % 3 AS generation, c_nationkey % 3 AS wanted FROM customer),
+r AS (SELECT * FROM (VALUES ('absent', 'declare', 'candidate'), ('candidate', 'activate', 'active'), ('active', 'activate', 'active'), ('active', 'retire', 'pending-retirement'), ('pending-retirement', 'activate', 'active'), ('pending-retirement', 'finish', 'retired'), ('candidate', 'retire', 'retired')) v(state, event, next))
+SELECT id, coalesce(CASE WHEN wanted >= generation THEN next END, 'refused') AS next, CASE WHEN wanted >= generation AND next IS NOT NULL THEN wanted ELSE generation END AS generation FROM s LEFT JOIN r USING (state, event)""")
+def contract_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """External read contracts: a step out of turn or to an earlier generation is refused."""
+    from ..operators.declarations import CONTRACT
+    from ..operators.readmodels import lookup
+
+    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    rows = table(spark, sf, "customer").select(k.alias("id"), pick(["absent", "candidate", "active", "pending-retirement", "retired"], k).alias("state"), pick(["declare", "activate", "retire", "finish"], n).alias("event"), (k % 3).alias("generation"), (n % 3).alias("wanted"))
+    after = F.when(F.col("wanted") >= F.col("generation"), lookup(CONTRACT, F.col("state"), F.col("event"), default=F.lit(None).cast("string")))
+    return rows.select("id", F.coalesce(after, F.lit("refused")).alias("next"), F.when(after.isNotNull(), F.col("wanted")).otherwise(F.col("generation")).alias("generation"))

@@ -199,3 +199,21 @@ def upsert_last_writer(spark: SparkSession, sf: str) -> DataFrame:
 def insert_first_writer(spark: SparkSession, sf: str) -> DataFrame:
     have = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return scans.insert_ignore(have, table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query(with_("event_log") + ", h AS (SELECT max(global_position) AS head FROM event_log), s AS (SELECT 'sub-' || stream_id % 50 AS subscription, max(global_position) FILTER (event_type = 'click') AS position FROM event_log GROUP BY 1) SELECT subscription, coalesce(position, 0) AS position, greatest(0, head - coalesce(position, 0)) AS lag FROM s, h")
+def subscription_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """How far each subscription, which has come to its last click, is behind the head."""
+    from ..streaming.subscriptions import lag
+
+    log = lift.event_log(spark, sf)
+    name = F.concat(F.lit("sub-"), (F.col("stream_id") % 50).cast("string"))
+    at = log.groupBy(name.alias("subscription")).agg(F.coalesce(F.max(F.when(F.col("event_type") == "click", F.col("global_position"))), F.lit(0)).alias("position"))
+    return at.join(lag(scans.head(log), at), "subscription")
+
+
+@query("SELECT user_id, count(*) AS events, 1::BIGINT AS buckets, true AS within FROM events GROUP BY 1")
+def bucket_exclusive(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of a stream go to one bucket out of sixteen."""
+    e = table(spark, sf, "events").withColumn("bucket", scans.bucket_of(F.col("user_id"), 16))
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("bucket").alias("buckets"), F.bool_and(F.col("bucket").between(0, 15)).alias("within"))
