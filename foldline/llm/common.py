@@ -30,9 +30,23 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def text_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's texts, alone and in arrays."""
+    out = F.lit(0).cast("long")
+    for f in df.schema:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<string>":
+            out = out + F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 24), F.lit(0))
+    return out
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Marks a written table for broadcast if its rows prove to take at most BROADCAST_BYTES; else it joins by shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """Marks a written table for broadcast if it proves to take at most BROADCAST_BYTES; else it joins by shuffle.
+    row_bytes: of a row without its texts, which are measured."""
+    n, texts = df.agg(F.count(F.lit(1)), F.sum(text_bytes(df))).first()
+    return F.broadcast(df) if n * row_bytes + (texts or 0) <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ so a prefix of one shingle suffices: the rarest, by its occurrences in all docum
    start before the text or an end behind it is dropped (length and positional bounds);
 3. compare the words of the whole window at each start that is left, in those documents only.
 
-In 1 and 2 each document's shingles pass a sieve of fixed size before they become rows, so few that match nothing do.
+In 1 and 2 each document's shingles pass a sieve before they become rows, so few that match nothing do.
 The words of the benchmark are broadcast only if a count proves them small; otherwise they are joined by
 shuffle. Candidates are grouped by document, never by window or shingle, so no common passage makes a hot group.
 
@@ -30,8 +30,8 @@ from .common import broadcast_if_small, spare, written
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits of the sieve that shingles pass before they are joined; a power of two.
-SIEVE = 1 << 17
+#: Bits of the sieve that shingles pass before they are joined, as a power of two: at least, at most, and a shingle.
+SIEVE_LEAST, SIEVE_MOST, SIEVE_BITS = 17, 23, 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -54,25 +54,27 @@ def windows_of(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -
     return cut.withColumn("size", F.least(F.size("words"), F.lit(shingle)))
 
 
-def sieve(tokens: DataFrame, size: int) -> Column:
-    """A test that every wanted shingle of a size passes, and few others: ``SIEVE`` bits by hash, as a literal.
+def sieve(tokens: DataFrame, size: int) -> tuple[Column, int]:
+    """A test that every wanted shingle of a size passes, and few others: bits by hash, as a literal, and how many.
 
-    Its size is fixed. The more shingles are wanted the more others pass, which costs time and changes nothing.
+    They follow the wanted shingles up to a bound; beyond it more others pass, which costs time and changes nothing.
     """
-    place = F.col("token").bitwiseAND(SIEVE - 1)
+    n = tokens.filter(F.col("size") == size).count()
+    wide = 1 << min(SIEVE_MOST, max(SIEVE_LEAST, (SIEVE_BITS * n).bit_length()))
+    place = F.col("token").bitwiseAND(wide - 1)
     words = tokens.filter(F.col("size") == size).groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
-    bits = [0] * (SIEVE // 64)
-    for row in words.collect():  # SIEVE / 64 rows at most
+    bits = [0] * (wide // 64)
+    for row in words.collect():  # at most a row for 64 bits
         bits[row["word"]] = row["bits"]
-    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>")  # folded into one literal
+    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>"), wide  # folded into one literal
 
 
 def scan(docs: DataFrame, wanted: DataFrame, sizes: list[int], keys: list[str]) -> DataFrame:
     """The shingles of documents that pass the sieve of the wanted ones: keys, size, at, token."""
     out = None
     for size in sizes:
-        bits = sieve(wanted, size)
-        passes = lambda t: F.getbit(F.get(bits, F.shiftright(t, 6).bitwiseAND(SIEVE // 64 - 1).cast("int")), t.bitwiseAND(63).cast("int")) == 1  # noqa: B023, E731
+        bits, wide = sieve(wanted, size)
+        passes = lambda t: F.getbit(F.get(bits, F.shiftright(t, 6).bitwiseAND(wide // 64 - 1).cast("int")), t.bitwiseAND(63).cast("int")) == 1  # noqa: B023, E731
         marked = F.transform(shingles(F.col("words"), size), lambda t, i: F.when(passes(t), F.struct(i.alias("at"), t.alias("token"))))  # noqa: B023
         one = docs.select(*keys, F.lit(size).alias("size"), F.inline(F.array_compact(marked)))
         out = one if out is None else out.unionByName(one)
@@ -100,7 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     ranked = tokens.join(rarity, ["size", "token"]).groupBy("words", "size").agg(F.min(F.struct("n", "token", "offset")).alias("first"))
     prefixes = written(ranked.filter("first.n > 0").select("words", "size", "first.token", "first.offset"), "prefixes")
     measured = keyed.withColumn("n_words", F.size("words"))
-    near = scan(measured, prefixes, sizes, ["k1", "k2", "n_words"]).join(broadcast_if_small(prefixes, 512), ["size", "token"])
+    near = scan(measured, prefixes, sizes, ["k1", "k2", "n_words"]).join(broadcast_if_small(prefixes, 64), ["size", "token"])
     start = F.col("at") - F.col("offset")
     near = near.filter((start >= 0) & (start + F.size("words") <= F.col("n_words")))
     near = near.groupBy("k1", "k2").agg(F.collect_set(F.struct(start.alias("start"), F.col("words").alias("window"))).alias("near"))

@@ -111,7 +111,7 @@ class Dedup:
         texts = self.spark.read.schema(f"`{self.text_col}` string").parquet(*map(unquote, files))
         texts = texts.select(F.coalesce(F.col(self.text_col), F.lit("")).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
         wanted = rows.select("digest", "doc_id", "feed", "locator.file", "locator.row")
-        return texts.join(broadcast_if_small(wanted, 256), ["file", "row"]).select("digest", "doc_id", "feed", "text")
+        return texts.join(broadcast_if_small(wanted, 64), ["file", "row"]).select("digest", "doc_id", "feed", "text")
 
     def decided(self) -> DataFrame:
         """digest, doc_id, keep_id, n of each row of the last feed, over all feeds; n is null for a digest seen once."""

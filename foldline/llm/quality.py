@@ -53,7 +53,7 @@ def statistics(text: str | None) -> list[float]:
     repeats = sum(map(str.__eq__, words, words[1:]))
     return [
         float(np.log1p(len(text))), float(np.log1p(len(words))), sum(map(len, words)) / k, len(seen) / k, repeats / k,
-        sum(len(w) <= 2 for w in seen) / max(1, len(seen)), len(lines) / k, len(set(lines)) / len(lines), min(len(text) / len(lines), 2000.0),
+        sum(len(w) <= 2 for w in seen) / max(1, len(seen)), len(lines) / k, len(set(lines)) / len(lines), len(text) / len(lines),
         count[_UPPER].sum() / max(1.0, letters), share[_DIGIT].sum(), share[_PUNCTUATION & ~_SENTENCE].sum(), share[_SENTENCE].sum(),
         share[ord("|")], share[ord("!")], share[ord("#")] + share[ord("%")] + share[ord("&")] + share[ord("$")] + share[ord("*")],
         share[_SPACE].sum(), share[128:].sum(), float(-(some * np.log(some)).sum()), sum(map(str.istitle, seen)) / max(1, len(seen)),

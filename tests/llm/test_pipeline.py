@@ -49,8 +49,28 @@ def test_pipeline(spark, data):
 
 
 def test_stages_take_awkward_tables(spark, data, edges, nothing):
-    for name, stage in corpus_pipeline.STAGES:
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
         assert stage(spark, nothing, data).count() == 0, name
         out = stage(spark, edges, data)
         assert out.count() > 0, name
         assert name == "best_fit_packing" or out.columns == edges.columns
+    rows = edges.collect()
+    kept = lambda name: sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, edges, data).collect()), key=repr)
+    pairs = sorted(((r["doc_id"], r["text"]) for r in rows), key=repr)
+    # Repeated rows go or stay together; what goes is scored below one half.
+    one = kept("quality_classifier")
+    assert set(one) <= set(pairs) and all(one.count(x) == pairs.count(x) for x in set(one))
+    # One row of each text, that of the largest id; null and empty are one text.
+    last = {}
+    for k, t in pairs:
+        last[t or ""] = max(-1 if k is None else k, last.get(t or "", -1))
+    assert sorted((t or "", -1 if k is None else k) for k, t in kept("exact_dedup")) == sorted(last.items())
+    # Of linked documents the smallest id: 7 is a copy of 6 and 8 is near it, a row without an id stays.
+    three = kept("ngram_jaccard_join")
+    assert {6, 9, 10, None} <= {k for k, _ in three} and not {7, 8, 11} & {k for k, _ in three}
+    assert [k for k, t in three if not (t or "").split()] == [0, 1, 2]
+    # No document here has a passage of the benchmark.
+    assert kept("benchmark_decontamination") == pairs
+    packed = stages["best_fit_packing"](spark, edges, data).groupBy("doc_id").max("length").collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in rows} and {r["doc_id"]: r[1] for r in packed}[0] == 1
