@@ -75,6 +75,9 @@ _SECRET = re.compile(
     r"|xox[abprs]-[A-Za-z0-9-]{10,255}|(?:sk|rk|pk)[-_](?:live|test|proj|ant)[-_][A-Za-z0-9_-]{16,255}|sk-[A-Za-z0-9]{20,255}|AIza[A-Za-z0-9_-]{35}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"
     r"|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,255}|ya29\.[A-Za-z0-9_-]{20,255}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
 )
+#: What a text with such a secret, or with a name for one, must hold.
+_BEGINS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_", "rk-", "rk_", "pk-", "pk_", "AIza", "SG.", "npm_", "hf_", "ya29.", "eyJ")
+_NAMES = ("passw", "pwd", "secret", "key", "token")
 _PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY(?: BLOCK)?-----")
 #: A name for a secret, then = or :, then a value of at least eight characters.
 _NAMED = re.compile(r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth[_-]?token|access[_-]?token|secret[_-]?key|private[_-]?key|token)[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?([A-Za-z0-9+/_.!@#$%^&*~-]{8,}+)=*")
@@ -171,7 +174,7 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
 
 def secrets(text: str) -> Iterator[tuple[int, int]]:
     """Keys and tokens by their form; values by the name before them, unless they look like a word."""
-    found = [x.span() for x in _SECRET.finditer(text)]
+    found = [x.span() for x in _SECRET.finditer(text)] if any(x in text for x in _BEGINS) else []
     at = text.find("-----BEGIN ")
     while at >= 0:
         begin = _PRIVATE.match(text, at)
@@ -182,7 +185,8 @@ def secrets(text: str) -> Iterator[tuple[int, int]]:
             end = close + 5 if close >= 0 else begin.end()
             found.append((at, end))
         at = text.find("-----BEGIN ", end)
-    for x in _NAMED.finditer(text):
+    low = text.lower() if "=" in text or ":" in text else ""
+    for x in _NAMED.finditer(text) if any(x in low for x in _NAMES) else ():
         if not x[1].isalpha() and not x[1].replace(".", "").isdigit():
             found.append((x.start(1), x.end()))
     done = -1
