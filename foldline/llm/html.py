@@ -41,6 +41,7 @@ TRAIN_PAGES = 1600
 EPOCHS = 8
 #: Blocks read at once: pages are batched up to so many steps times rows, and a longer page is read in such chunks.
 BATCH_CELLS = 20_000
+PRODUCT_ROWS = 256
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,6 +79,19 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
+class _Words(dict):
+    """Slots of the words seen; it starts anew when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = found = PATH_DIM + zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_DIM
+        return found
+
+
+_WORDS = _Words()
+
+
 def _names(tag: str, attributes: str) -> tuple[int, ...]:
     found = [_slot(tag, PATH_DIM)]
     if attributes and "=" in attributes:
@@ -209,8 +223,13 @@ class Vectors(NamedTuple):
 
     def product(self, weights: np.ndarray) -> np.ndarray:
         """Rows times a matrix of INPUT rows."""
-        wide = weights[self.slot] * self.weight[:, None]
-        return np.add.reduceat(wide, self.first, 0) + self.sizes @ weights[-SIZES:]
+        out = self.sizes @ weights[-SIZES:]
+        ends = np.append(self.first, len(self.slot))
+        for i in range(0, len(out), PRODUCT_ROWS):  # a few rows at a time, so that what is gathered stays small
+            first = self.first[i : i + PRODUCT_ROWS]
+            some = slice(first[0], ends[i + len(first)])
+            out[i : i + PRODUCT_ROWS] += np.add.reduceat(weights[self.slot[some]] * self.weight[some, None], first - first[0], 0)
+        return out
 
     def transposed(self, d: np.ndarray) -> np.ndarray:
         """The gradient of ``product`` by the matrix, given that of the result."""
@@ -234,7 +253,7 @@ def vectors(page: list[Block], start: int = 0, stop: int | None = None) -> Vecto
         words = block.text.lower().split()
         # Words of one slot, and the weights they add up to, may stand apart.
         count, share = Counter(words), 0.5 / len(words)
-        slot += [PATH_DIM + _slot(x, WORD_DIM) for x in count]
+        slot += map(_WORDS.__getitem__, count)
         weight += [x * share for x in count.values()]
         n = len(block.text)
         sizes.append((np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, block.linked / n), block.text[-1] in ".!?…\"'", i / total, min(1.0, block.depth / 16)))
