@@ -105,3 +105,54 @@ def kafka_encode(events: DataFrame, prefix: str = "x") -> DataFrame:
     name = lambda h: h if h in ("content-type", "traceparent", "tracestate") else f"{prefix}-{h}"
     heads = F.array(*[F.struct(F.lit(name(h)).alias("name"), F.col(h.replace("-", "_")).cast("string").alias("value")) for h in (*REQUIRED, "traceparent")])
     return events.select(F.col("destination").alias("topic"), "key", F.encode("payload", "utf-8").alias("value"), F.filter(heads, lambda x: x["value"].isNotNull()).alias("headers"))
+
+
+@dataclass(frozen=True)
+class Structural:
+    """A struct of the domain and its shape on the wire: field -> (name on the wire, type). Total both ways: what can fail
+    is only the parsing of the wire into the shape. A null field isn't written, and one that is missing is null."""
+
+    fields: Mapping[str, tuple[str, str]]
+
+    def __post_init__(self) -> None:
+        if len({wire for wire, _ in self.fields.values()}) < len(self.fields):
+            raise ValueError("two fields have one name on the wire")
+
+    def to_shape(self, domain: Column) -> Column:
+        return F.struct(*[domain[name].cast(kind).alias(wire) for name, (wire, kind) in self.fields.items()])
+
+    def from_shape(self, shape: Column) -> Column:
+        return F.struct(*[shape[wire].cast(kind).alias(name) for name, (wire, kind) in self.fields.items()])
+
+    def encode(self, domain: Column) -> Column:
+        return F.to_json(self.to_shape(domain))
+
+    def decode(self, wire: Column) -> Column:
+        """Null where the wire is no object of the shape."""
+        schema = ", ".join(f"`{name}` {kind}" for name, kind in self.fields.values())
+        shape = F.from_json(wire, f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+        return F.when(shape.isNotNull() & shape["_broken"].isNull(), self.from_shape(shape))
+
+    def law(self, domain: Column) -> Column:
+        """Whether a value survives the way to the wire and back."""
+        return self.decode(self.encode(domain)).eqNullSafe(self.from_shape(self.to_shape(domain)))
+
+
+@dataclass(frozen=True)
+class Nominal:
+    """Names of the domain and what stands for them on the wire, one for one; a name outside of them is null."""
+
+    names: Mapping[str, str]
+
+    def __post_init__(self) -> None:
+        if len(set(self.names.values())) < len(self.names):
+            raise ValueError("two names have one representation")
+
+    def encode(self, domain: Column) -> Column:
+        return F.create_map(*[F.lit(x) for pair in self.names.items() for x in pair])[domain]
+
+    def decode(self, wire: Column) -> Column:
+        return F.create_map(*[F.lit(x) for name, stands in self.names.items() for x in (stands, name)])[wire]
+
+    def law(self, domain: Column) -> Column:
+        return self.decode(self.encode(domain)).eqNullSafe(domain)

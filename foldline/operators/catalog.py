@@ -106,3 +106,8 @@ def wiring(projections: DataFrame, subscriptions: DataFrame) -> DataFrame:
     both = projections.join(subscriptions, "projection", "left")
     finding = F.when(F.col("live_name").isNull(), "no-subscription").when(F.col("live_name") != F.col("name"), "other-name").when(F.col("live_source") != F.col("source"), "other-source")
     return both.select("projection", finding.alias("finding")).filter("finding is not null")
+
+
+def outside(models: DataFrame, groups: DataFrame) -> DataFrame:
+    """Query models that observe a target their group doesn't cover: models (model, grp, target), groups (grp, target)."""
+    return models.join(groups, ["grp", "target"], "left_anti").select("model", "grp").distinct()

@@ -213,6 +213,20 @@ def snapshot_due(every: int, before: Column, after: Column) -> Column:
     return F.lit(False) if every <= 0 else F.floor(after / every) > F.floor(before / every)
 
 
+def should_snapshot(policy: str, before: Column, after: Column, terminal: Column, every: int = 0, custom: Column | None = None) -> Column:
+    """Whether an append of (before, after] is followed by a snapshot: never, every ``every`` versions, on-terminal, or
+    where a condition of the caller's over state, version and terminality holds (custom)."""
+    if policy == "never":
+        return F.lit(False)
+    if policy == "every":
+        return snapshot_due(every, before, after)
+    if policy == "on-terminal":
+        return terminal
+    if policy == "custom" and custom is not None:
+        return F.coalesce(custom, F.lit(False))
+    raise ValueError(policy)
+
+
 def latest_compatible(snapshots: DataFrame, codec: int, registers: str, shape: str) -> DataFrame:
     """Latest snapshot of each stream with all three discriminators."""
     fit = snapshots.filter((F.col("state_codec_version") == codec) & (F.col("regfile_shape_hash") == registers) & (F.col("state_shape_hash") == shape))

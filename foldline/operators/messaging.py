@@ -172,6 +172,23 @@ def read_batch(queue: DataFrame, now: Column, mode: str, size: int) -> DataFrame
     return seen.withColumn("turn", turn).join(heads, "group_key").orderBy("turn", "group_head").limit(size)
 
 
+def redrive(dead: DataFrame, readable: Column, most: int) -> tuple[DataFrame, DataFrame]:
+    """Up to ``most`` of the oldest dead letters whose envelope can be read, as messages that begin anew, and what stays.
+    One that can't be read stays, and is no reason to stop."""
+    moved = dead.filter(readable).orderBy("msg_id").limit(most)
+    return moved.withColumn("read_ct", F.lit(0)), dead.join(moved.select("msg_id"), "msg_id", "left_anti")
+
+
+def archive(dead: DataFrame, now: Column, most: int) -> tuple[DataFrame, DataFrame]:
+    """Up to ``most`` of the oldest dead letters, kept as they are with the time of archiving, and what stays."""
+    moved = dead.orderBy("msg_id").limit(most)
+    return moved.withColumn("archived_at", now), dead.join(moved.select("msg_id"), "msg_id", "left_anti")
+
+
+def purge(dead: DataFrame) -> DataFrame:
+    return dead.limit(0)
+
+
 def disposition(read_ct: Column, most: int, version: Column, known: int, outcome: Column) -> Column:
     """Too many reads go to the dead letters before anything is decoded; a payload from the future is retried."""
     return F.when(read_ct > most, "dead-letter").when(version > known, "retry").when(version < 1, "dead-letter").when(outcome == "ok", "archive").when(outcome == "retry", "retry").when(outcome == "poison", "dead-letter").otherwise("invisible")

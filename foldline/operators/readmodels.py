@@ -153,11 +153,13 @@ def next_phase(complete: Column, visible: Column, captured: Column, threshold: i
 
 
 def begin_rebuild(groups: DataFrame, want: DataFrame) -> DataFrame:
-    """Whether a group's rebuild may begin, and its status then: live, or failed with the same slice.
+    """Whether a group's rebuild may begin, and its status then: its slice is the one wanted, and it is live or failed.
     groups: grp, status, slice, checkpoints_ok; want: grp, want_slice."""
-    rows = groups.join(want, "grp")
-    ok = (F.col("status") == "live") | ((F.col("status") == "failed") & (F.col("slice") == F.col("want_slice")))
-    outcome = F.when(~ok, "refused").when(~F.col("checkpoints_ok"), "missing-checkpoint").otherwise("begun")
+    rows = want.join(groups.withColumn("_there", F.lit(True)), "grp", "left")
+    outcome = (
+        F.when(F.col("_there").isNull(), "unregistered").when(~F.col("slice").eqNullSafe(F.col("want_slice")), "slice-drift")
+        .when(~F.col("status").isin("live", "failed"), "not-live").when(~F.col("checkpoints_ok"), "missing-checkpoint").otherwise("begun")
+    )
     return rows.select("grp", outcome.alias("outcome"), F.when(outcome == "begun", "rebuilding").otherwise(F.col("status")).alias("status"))
 
 
@@ -190,6 +192,72 @@ def rebuild(targets: DataFrame, log: DataFrame, head: int, adapters: list, polic
     return targets.select("key", "value").join(made.select("key"), "key", "left_anti").unionByName(made)
 
 
+def summary(events: DataFrame, key: str) -> DataFrame:
+    """Rows made and changed by events (key, position, made, status, value): one that makes puts a row with its value in,
+    whatever was there; any other sets the status of a row that is there and does nothing where there is none. So
+    there is a row for each key that was made once, with the value of the last making and the status of the last event:
+    what comes after a making never misses the row."""
+    at = F.max_by(F.struct("status", "position"), "position")
+    rows = events.groupBy(key).agg(F.max_by("value", F.when(F.col("made"), F.col("position"))).alias("value"), at.alias("_last"), F.bool_or("made").alias("_made"))
+    return rows.filter("_made").select(key, "value", "_last.status", F.col("_last.position").alias("last_seen"))
+
+
+def reproject_refusal(requests: DataFrame, streams: DataFrame, events: DataFrame, most: int) -> DataFrame:
+    """Why a stream can't be projected anew, in the order of the checks; null if it can.
+
+    requests: stream; streams: stream, deleted (null where it isn't), truncate_before, version; events: stream,
+    stream_version, foreign. A stream without a row has no history; one with holes is incomplete.
+    """
+    seen = events.groupBy("stream").agg(F.count_distinct("stream_version").alias("_n"), F.max("stream_version").alias("_last"), F.min(F.when(F.col("foreign"), F.col("stream_version"))).alias("_foreign"))
+    rows = requests.join(streams.withColumn("_there", F.lit(True)), "stream", "left").join(seen, "stream", "left")
+    n, last = F.coalesce("_n", F.lit(0)), F.coalesce("_last", F.lit(0))
+    refusal = (
+        F.when(F.col("_there").isNull(), "history-unavailable").when(F.col("deleted").isNotNull(), "soft-deleted").when(F.col("truncate_before") > 0, "truncated")
+        .when(F.col("version") > most, "event-limit").when(F.col("_foreign").isNotNull(), "foreign-event").when((last != F.col("version")) | (n != F.col("version")), "history-incomplete")
+    )
+    return rows.select("stream", refusal.alias("refusal"), F.col("_foreign").alias("foreign_version"))
+
+
+def pruned(staged: DataFrame, floors: DataFrame) -> DataFrame:
+    """Staged rows (run, subscription, position, ...) beyond the floor of their subscription, or of one without a floor."""
+    low = floors.groupBy("run", "subscription").agg(F.max("position").alias("_floor"))
+    return staged.join(low, ["run", "subscription"], "left").filter("_floor is null or position > _floor").drop("_floor")
+
+
+def prepare(runs: DataFrame, staged: DataFrame, declared: DataFrame, generations: DataFrame, verifications: DataFrame) -> DataFrame:
+    """Whether each run may be promoted, or the first of the checks that it fails.
+
+    runs: run, ready, dedup_limit, serving, checkpoints_ok; staged: run (already ``pruned``); declared: run, side, target,
+    as the two revisions name them; generations: run, side, target, lifecycle, identity_ok, shape_ok; verifications:
+    run, passed. side is serving or candidate. Both revisions name the same targets, and each has its generations.
+    """
+    count = staged.groupBy("run").agg(F.count(F.lit(1)).alias("_staged"))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    life = F.when(F.col("side") == "serving", "serving").otherwise("staging")
+    of = declared.select("run", "target", "side", F.lit(True).alias("_declared"), *[F.lit(None).cast("boolean").alias(c) for c in ("_made", "_life", "identity_ok", "shape_ok")])
+    have = generations.select("run", "target", "side", F.lit(False).alias("_declared"), F.lit(True).alias("_made"), (F.col("lifecycle") == life).alias("_life"), "identity_ok", "shape_ok")
+    flags = [some((F.col("side") == s) & F.coalesce(F.col(c), F.lit(False))).alias(f"{s}{c}") for s in ("serving", "candidate") for c in ("_declared", "_made")]
+    every = lambda c: F.coalesce(F.bool_and(c), F.lit(True)).alias(c)
+    per = of.unionByName(have).groupBy("run", "target").agg(*flags, every("_life"), every("identity_ok"), every("shape_ok"))
+    paired = (F.col("serving_declared") == F.col("candidate_declared")) & (F.col("serving_made") == F.col("serving_declared")) & (F.col("candidate_made") == F.col("candidate_declared"))
+    per = per.withColumn("_paired", paired).groupBy("run").agg(every("_paired"), every("_life"), every("identity_ok"), every("shape_ok"))
+    proof = verifications.groupBy("run").agg(every("passed"))
+    rows = runs.join(count, "run", "left").join(per, "run", "left").join(proof, "run", "left")
+    fails = lambda c: ~F.coalesce(F.col(c), F.lit(True))
+    outcome = (
+        F.when(~F.col("ready"), "not-ready").when(F.coalesce("_staged", F.lit(0)) > F.col("dedup_limit"), "dedup-limit").when(F.col("serving").isNull(), "no-serving-revision")
+        .when(fails("_paired"), "targets-differ").when(fails("_life"), "wrong-lifecycle").when(fails("identity_ok"), "identity-changed").when(fails("shape_ok"), "shape-changed")
+        .when(fails("passed"), "verification-failed").when(~F.col("checkpoints_ok"), "missing-checkpoint").otherwise("prepared")
+    )
+    return rows.select("run", F.coalesce("_staged", F.lit(0)).alias("staged"), outcome.alias("outcome"))
+
+
+def installed(applied: DataFrame, staged: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """What projections have applied (projection, event_id) after the prepared runs put in what they staged, each once."""
+    go = staged.join(outcomes.filter("outcome = 'prepared'").select("run"), "run", "left_semi")
+    return applied.select("projection", "event_id").unionByName(go.select("projection", "event_id")).distinct()
+
+
 def progress(log: DataFrame, head: int, adapters: dict[str, object]) -> DataFrame:
     """Events seen and applied by each adapter's condition, in one scan: adapter, events, applied."""
     events = log.filter(F.col("global_position") <= head)

@@ -116,3 +116,27 @@ def manage(events: DataFrame, prefix: str, manager: str, commands: Column, timer
     fresh = rows.filter("kind = 'state' and outcome = 'appended'").select("source_event")
     own = base.join(fresh, "source_event", "left_semi").select("source_event", "correlation", F.lit("timer").alias("kind"), F.posexplode("_timers").alias("idx", "command"))
     return rows.unionByName(own.withColumn("command_id", F.lit(None).cast("string")).withColumn("outcome", F.lit("scheduled")))
+
+
+def domain_results(commands: DataFrame, done: DataFrame) -> DataFrame:
+    """Result of each command with a typed decision: duplicate if the log has its id, for then what it did isn't known
+    any more; failed with its error; else handled, with the decision (accepted, no-op, rejected) and what came with it.
+
+    commands: source_event, idx, target, command_id, decision, payload, error; done: command_id. A rejection that the
+    target's rules decide on is handled and is no failure, unlike a command that no edge takes.
+    """
+    seen = done.select("command_id").distinct().withColumn("_seen", F.lit(True))
+    rows = commands.join(seen, "command_id", "left")
+    result = F.when(F.col("_seen"), "duplicate").when(F.col("error").isNotNull(), "failed").otherwise("handled")
+    rows = rows.withColumn("result", result).drop("_seen")
+    handled = lambda c: F.when(F.col("result") == "handled", F.col(c)).alias(c)
+    return rows.select("source_event", "idx", "target", "command_id", "result", handled("decision"), handled("payload"), F.when(F.col("result") == "failed", F.col("error")).alias("error"))
+
+
+def domain_summary(results: DataFrame) -> DataFrame:
+    """What a worker decides from, without payloads: of each source event the number of duplicates and of failures, and
+    the first failure by its place. The failures themselves are the rows of ``results``; nothing is collected."""
+    failed = F.col("result") == "failed"
+    first = F.min(F.when(failed, F.struct("idx", "target", "error")))
+    per = results.groupBy("source_event").agg(F.count_if(F.col("result") == "duplicate").alias("duplicates"), F.count_if(failed).alias("failures"), first.alias("_first"))
+    return per.select("source_event", "duplicates", "failures", F.col("_first.target").alias("first_target"), F.col("_first.error").alias("first_error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "cancelled", "failed")
@@ -73,13 +73,89 @@ def upsert_instances(writes: DataFrame) -> DataFrame:
 
 
 def collectable(instances: DataFrame, children: DataFrame, before: Column, limit: int | None = None) -> DataFrame:
-    """Terminal workflows finished before a cutoff of which no parent is still at work, oldest first."""
+    """Terminal workflows finished by a cutoff of which no parent is still at work, oldest first."""
     busy = instances.filter(~F.col("status").isin(*TERMINAL)).select(F.col("workflow_id").alias("parent_id"))
     held = children.join(busy, "parent_id").select(F.col("child_id").alias("workflow_id"))
-    found = instances.filter(F.col("status").isin(*TERMINAL) & (F.col("completed_at") < before)).join(held, "workflow_id", "left_anti").orderBy("completed_at", "workflow_id")
+    found = instances.filter(F.col("status").isin(*TERMINAL) & (F.col("completed_at") <= before)).join(held, "workflow_id", "left_anti").orderBy("completed_at", "workflow_id")
     return found if limit is None else found.limit(limit)
 
 
+def without(gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables after workflows (workflow_id) are deleted with all that depends on them.
+
+    A row goes with the workflow named by ``workflow_id``; of ``children`` with either end, child_id or parent_id; of
+    ``timers`` by owner_id, and only timers of sleeping (``kind`` sleep), since others are not the workflow's own.
+    """
+    ids, out = gone.select("workflow_id").distinct(), {}
+    off = lambda df, key: df.join(ids.withColumnRenamed("workflow_id", key), key, "left_anti")
+    for name, df in tables.items():
+        if name == "children":
+            out[name] = off(off(df, "child_id"), "parent_id").select(*df.columns)
+        elif name == "timers":
+            asleep = df.join(ids.select(F.col("workflow_id").alias("owner_id"), F.lit(True).alias("_gone")), "owner_id", "left")
+            out[name] = asleep.filter(~(F.coalesce("_gone", F.lit(False)) & F.col("kind").eqNullSafe(F.lit("sleep")))).select(*df.columns)
+        else:
+            out[name] = off(df, "workflow_id").select(*df.columns)
+    return out
+
+
+def released(instances: DataFrame, forced: DataFrame) -> DataFrame:
+    """Instances after leases are taken away by force; ``freed`` tells where there was one."""
+    rows = instances.join(forced.select("workflow_id").distinct().withColumn("_forced", F.lit(True)), "workflow_id", "left")
+    freed = F.coalesce(F.col("_forced") & F.col("leased_by").isNotNull(), F.lit(False))
+    rows = rows.withColumn("freed", freed).drop("_forced")
+    return rows.withColumns({c: F.when(~F.col("freed"), F.col(c)) for c in ("leased_by", "lease_expires_at")})
+
+
+def spawned(children: DataFrame, requests: DataFrame) -> DataFrame:
+    """Children after requests (child_id, parent_id, await_step, seq): the first registers a running child, and one that
+    is there already stays what it is."""
+    first = requests.groupBy("child_id").agg(F.min_by(F.struct("parent_id", "await_step"), "seq").alias("_r"))
+    new = first.join(children.select("child_id"), "child_id", "left_anti").select("child_id", "_r.parent_id", "_r.await_step", F.lit("running").alias("status"), F.lit(None).cast("string").alias("result"))
+    return children.select(*new.columns).unionByName(new)
+
+
+def end_children(children: DataFrame, ends: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Children after ends (child_id, seq, status, result), and what goes to the journals of their parents.
+
+    The first end of a running child is its end. It is written as the step that its parent awaits, unless the parent
+    (workflow_id, status) has ended, which keeps the child's end but takes no step. A child that had completed before
+    gives its stored result again; failed and cancelled ones give nothing more. journal: parent_id, step_name, kind, result.
+    """
+    first = ends.groupBy("child_id").agg(F.min_by(F.struct("status", "result"), "seq").alias("_end"), F.bool_or(F.col("status") == "completed").alias("_again"))
+    rows = children.join(first, "child_id", "left")
+    won = (F.col("status") == "running") & F.col("_end").isNotNull()
+    rows = rows.withColumn("_won", won).withColumn("_stored", (F.col("status") == "completed") & F.coalesce("_again", F.lit(False)))
+    rows = rows.withColumn("result", F.when(won, F.when(F.col("_end.status") == "completed", F.col("_end.result"))).otherwise(F.col("result")))
+    rows = rows.withColumn("status", F.when(F.col("_won"), F.col("_end.status")).otherwise(F.col("status")))
+    open_ = parents.filter(~F.col("status").isin(*TERMINAL)).select(F.col("workflow_id").alias("parent_id"))
+    told = rows.filter("_won or _stored").join(open_, "parent_id", "left_semi")
+    return rows.drop("_end", "_again", "_won", "_stored"), told.select("parent_id", F.col("await_step").alias("step_name"), F.col("status").alias("kind"), "result")
+
+
+def shard_pass(shards: DataFrame, worker: str, now: Column) -> DataFrame:
+    """Owners after one worker's pass over the buckets of each subscription: shards (subscription, bucket, owner,
+    lease_expires_at).
+
+    It keeps what it owns, even if its lease has run out; below its fair share it claims the lowest bucket that nobody
+    holds; above it, unless it is alone, it gives up its highest ones. Live are the owners with a lease beyond ``now``
+    and the worker itself. Windows by subscription: its buckets are as many as were configured.
+    """
+    mine = F.col("owner").eqNullSafe(F.lit(worker))
+    live = F.size(F.array_distinct(F.array_append(F.coalesce("_live", F.array().cast("array<string>")), F.lit(worker))))
+    per = shards.groupBy("subscription").agg(
+        F.collect_set(F.when(F.col("lease_expires_at") > now, F.col("owner"))).alias("_live"), F.count(F.lit(1)).alias("_n"), F.count_if(mine).alias("_held"),
+        F.min(F.when(F.col("owner").isNull() | (~mine & (F.col("lease_expires_at") < now)), F.col("bucket"))).alias("_free"),
+    )
+    per = per.withColumn("_workers", live).withColumn("_share", fair_share(F.col("_n"), F.col("_workers")))
+    rows = shards.join(per, "subscription")
+    owned = mine | ((F.col("_held") < F.col("_share")) & (F.col("bucket") == F.col("_free")))
+    rows = rows.withColumn("_owned", F.coalesce(owned, F.lit(False)))
+    place = F.count_if("_owned").over(Window.partitionBy("subscription").orderBy("bucket"))
+    kept = F.col("_owned") & ((F.col("_workers") <= 1) | (place <= F.col("_share")))
+    return rows.select("subscription", "bucket", F.when(kept, worker).when(~F.col("_owned"), F.col("owner")).alias("owner"))
+
+
 def child_outcomes(children: DataFrame, instances: DataFrame) -> DataFrame:
     """What each parent's await of a child gives: its result, a failure, a cancellation, or nothing yet."""
     rows = children.join(instances.select(F.col("workflow_id").alias("child_id"), F.col("status").alias("child_status")), "child_id", "left")

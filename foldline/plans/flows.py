@@ -194,7 +194,7 @@ def wf_claim(spark: SparkSession, sf: str) -> DataFrame:
     return workflows.claim(_instances(spark, sf), _now()).select("workflow_id", "claim")
 
 
-@query(f"WITH i AS ({_INST}), c AS (SELECT workflow_id AS child_id, workflow_id // 4 AS parent_id FROM i WHERE workflow_id % 4 = 1) SELECT workflow_id, completed_at FROM i WHERE status IN ('completed', 'failed', 'cancelled') AND completed_at < TIMESTAMP '1997-06-01' AND NOT EXISTS (SELECT 1 FROM c JOIN i p ON p.workflow_id = c.parent_id WHERE c.child_id = i.workflow_id AND p.status NOT IN ('completed', 'failed', 'cancelled'))")
+@query(f"WITH i AS ({_INST}), c AS (SELECT workflow_id AS child_id, workflow_id // 4 AS parent_id FROM i WHERE workflow_id % 4 = 1) SELECT workflow_id, completed_at FROM i WHERE status IN ('completed', 'failed', 'cancelled') AND completed_at <= TIMESTAMP '1997-06-01' AND NOT EXISTS (SELECT 1 FROM c JOIN i p ON p.workflow_id = c.parent_id WHERE c.child_id = i.workflow_id AND p.status NOT IN ('completed', 'failed', 'cancelled'))")
 def wf_gc(spark: SparkSession, sf: str) -> DataFrame:
     i = _instances(spark, sf)
     children = i.filter("workflow_id % 4 = 1").select(F.col("workflow_id").alias("child_id"), F.floor(F.col("workflow_id") / 4).alias("parent_id"))

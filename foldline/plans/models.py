@@ -149,13 +149,16 @@ def versioned_step(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(k.alias("run"), step.alias("step"))
 
 
-@query("SELECT s_suppkey AS grp, CASE WHEN s_suppkey % 4 = 0 OR (s_suppkey % 4 = 1 AND s_nationkey % 2 = 0) THEN CASE WHEN s_acctbal < 0 THEN 'missing-checkpoint' ELSE 'begun' END ELSE 'refused' END AS outcome, CASE WHEN (s_suppkey % 4 = 0 OR (s_suppkey % 4 = 1 AND s_nationkey % 2 = 0)) AND s_acctbal >= 0 THEN 'rebuilding' ELSE (['live', 'failed', 'rebuilding', 'cutover'])[1 + s_suppkey % 4] END AS status FROM supplier")
+_BEGUN = "b AS (SELECT s_suppkey AS grp, CASE WHEN s_suppkey % 7 = 6 THEN 'unregistered' WHEN s_nationkey % 2 <> 0 THEN 'slice-drift' WHEN s_suppkey % 4 >= 2 THEN 'not-live' WHEN s_acctbal < 0 THEN 'missing-checkpoint' ELSE 'begun' END AS outcome, s_suppkey % 4 AS k FROM supplier)"
+
+
+@query(f"WITH {_BEGUN} SELECT grp, outcome, CASE outcome WHEN 'unregistered' THEN '' WHEN 'begun' THEN 'rebuilding' ELSE (['live', 'failed', 'rebuilding', 'cutover'])[1 + k] END AS status FROM b")
 def begin_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     s = table(spark, sf, "supplier")
     status = F.when(k % 4 == 0, "live").when(k % 4 == 1, "failed").when(k % 4 == 2, "rebuilding").otherwise("cutover")
-    groups = s.select(k.alias("grp"), status.alias("status"), (F.col("s_nationkey") % 2).alias("slice"), (F.col("s_acctbal") >= 0).alias("checkpoints_ok"))
-    return r.begin_rebuild(groups, s.select(k.alias("grp"), F.lit(0).alias("want_slice")))
+    groups = s.filter(k % 7 != 6).select(k.alias("grp"), status.alias("status"), (F.col("s_nationkey") % 2).alias("slice"), (F.col("s_acctbal") >= 0).alias("checkpoints_ok"))
+    return r.begin_rebuild(groups, s.select(k.alias("grp"), F.lit(0).alias("want_slice"))).fillna("", ["status"])
 
 
 @query(with_("all_log") + ", s AS (SELECT * FROM (VALUES ('mail', 'order'), ('stats', 'order'), ('stats2', 'event')) v(projection, category)) SELECT projection, count(*) AS staged, min(global_position) AS first, max(global_position) AS last FROM all_log JOIN s USING (category) GROUP BY 1")
@@ -165,7 +168,7 @@ def dedup_stage(spark: SparkSession, sf: str) -> DataFrame:
     return staged.groupBy("projection").agg(F.count(F.lit(1)).alias("staged"), F.min("global_position").alias("first"), F.max("global_position").alias("last"))
 
 
-@query("""WITH g AS (SELECT s_suppkey AS grp, (s_suppkey % 4 = 0 OR (s_suppkey % 4 = 1 AND s_nationkey % 2 = 0)) AND s_acctbal >= 0 AS go FROM supplier),
+@query("""WITH """ + _BEGUN + """, g AS (SELECT grp, outcome = 'begun' AS go FROM b),
 t AS (SELECT 'targets' AS part, l_suppkey AS grp, 0 AS position FROM lineitem UNION ALL SELECT 'dedup', l_suppkey, 0 FROM lineitem WHERE l_returnflag = 'R')
 SELECT part, count(*) AS n, 0::BIGINT AS positions FROM t JOIN g USING (grp) WHERE NOT go GROUP BY 1 UNION ALL SELECT 'checkpoints', count(*), sum(CASE WHEN go THEN 0 ELSE grp * 10 END)::BIGINT FROM g""")
 def begin_rebuild_effects(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foldline.functions import ids
+from foldline.functions import codec, ids
 from foldline.operators import catalog, fold, inverse, messaging, readmodels, routing, tables, workflows
 from foldline.sources import scans
 from foldline.streaming import subscriptions
@@ -138,3 +138,64 @@ def test_registry_and_awakeables(spark):
     rows, owners = workflows.cancel_awakeables(a, spark.createDataFrame([(1,), (1,), (2,), (3,), (9,)], "awakeable_id long"), i)
     assert {r["awakeable_id"]: (r["status"], r["accepted"]) for r in rows.collect()} == {1: ("cancelled", True), 2: ("completed", False), 3: ("cancelled", True), 4: ("pending", False)}
     assert {tuple(r) for r in owners.collect()} == {(10, "running", 4), (20, "failed", 1), (30, "suspended", 2)}
+
+
+def test_rebuild_begins_only_with_its_slice(spark):
+    groups = spark.createDataFrame([(1, "live", "a", True), (2, "live", "b", True), (3, "failed", "a", True), (4, "cutover", "a", True), (5, "live", "a", False)], "grp long, status string, slice string, checkpoints_ok boolean")
+    want = spark.createDataFrame([(g, "a") for g in range(1, 7)], "grp long, want_slice string")
+    got = {r["grp"]: r["outcome"] for r in readmodels.begin_rebuild(groups, want).collect()}
+    assert got == {1: "begun", 2: "slice-drift", 3: "begun", 4: "not-live", 5: "missing-checkpoint", 6: "unregistered"}
+
+
+def test_rows_made_and_changed_as_one_by_one(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(12), p, rnd.random() < 0.2, rnd.choice("abc"), p) for p in range(120)]
+    want = {}
+    for key, p, made, status, value in rows:
+        if made:
+            want[key] = [value, status, p]
+        elif key in want:
+            want[key][1:] = [status, p]
+    got = readmodels.summary(spark.createDataFrame(rows, "k long, position long, made boolean, status string, value long"), "k")
+    assert {r["k"]: [r["value"], r["status"], r["last_seen"]] for r in got.collect()} == want
+
+
+def test_promotion_is_prepared_or_told_why(spark):
+    runs = spark.createDataFrame([(1, True, 2, "r", True), (2, True, 1, "r", True), (3, True, 9, None, True), (4, True, 9, "r", True), (5, True, 9, "r", True)], "run long, ready boolean, dedup_limit int, serving string, checkpoints_ok boolean")
+    staged = spark.createDataFrame([(1, "s", 5, "p", 50), (1, "s", 7, "p", 70), (1, "t", 1, "p", 10), (2, "s", 1, "p", 1), (2, "s", 2, "p", 2)], "run long, subscription string, position long, projection string, event_id long")
+    left = readmodels.pruned(staged, spark.createDataFrame([(1, "s", 5)], "run long, subscription string, position long"))
+    declared = spark.createDataFrame([(r, s, "x") for r in range(1, 6) for s in ("serving", "candidate")], "run long, side string, target string")
+    made = [(r, s, "x", "serving" if s == "serving" else "staging", True, True) for r in range(1, 6) for s in ("serving", "candidate")] + [(4, "candidate", "y", "staging", True, True)]
+    generations = spark.createDataFrame(made, "run long, side string, target string, lifecycle string, identity_ok boolean, shape_ok boolean")
+    out = readmodels.prepare(runs, left, declared, generations, spark.createDataFrame([(5, True), (5, False)], "run long, passed boolean"))
+    assert {r["run"]: (r["staged"], r["outcome"]) for r in out.collect()} == {1: (2, "prepared"), 2: (2, "dedup-limit"), 3: (0, "no-serving-revision"), 4: (0, "targets-differ"), 5: (0, "verification-failed")}
+    applied = spark.createDataFrame([("p", 70), ("p", 1)], "projection string, event_id long")
+    assert sorted(r["event_id"] for r in readmodels.installed(applied, left, out).collect()) == [1, 10, 70]
+
+
+def test_children_end_once(spark):
+    children = spark.createDataFrame([(1, 10, "s1", "running", None), (2, 10, "s2", "completed", "old"), (3, 11, "s3", "running", None), (4, 10, "s4", "failed", None)], "child_id long, parent_id long, await_step string, status string, result string")
+    ends = spark.createDataFrame([(1, 2, "failed", "no"), (1, 1, "completed", "yes"), (2, 1, "completed", "new"), (3, 1, "cancelled", None), (4, 1, "completed", "late")], "child_id long, seq long, status string, result string")
+    parents = spark.createDataFrame([(10, "suspended"), (11, "completed")], "workflow_id long, status string")
+    state, told = workflows.end_children(children, ends, parents)
+    assert {r["child_id"]: (r["status"], r["result"]) for r in state.collect()} == {1: ("completed", "yes"), 2: ("completed", "old"), 3: ("cancelled", None), 4: ("failed", None)}
+    assert sorted((r["step_name"], r["kind"], r["result"]) for r in told.collect()) == [("s1", "completed", "yes"), ("s2", "completed", "old")]
+
+
+def test_shards_are_claimed_one_by_one_and_shed(spark):
+    now, soon, past = dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 1)
+    rows = [("few", b, "a" if b == 0 else "b" if b < 3 else None, soon) for b in range(6)] + [("many", b, "a" if b < 4 else "b", soon) for b in range(5)] + [("alone", b, "a" if b < 4 else "b", past) for b in range(5)]
+    shards = spark.createDataFrame(rows, "subscription string, bucket int, owner string, lease_expires_at timestamp_ntz")
+    got = {(r["subscription"], r["bucket"]): r["owner"] for r in workflows.shard_pass(shards, "a", F.lit(now).cast("timestamp_ntz")).collect()}
+    assert [got["few", b] for b in range(6)] == ["a", "b", "b", "a", None, None]
+    assert [got["many", b] for b in range(5)] == ["a", "a", "a", None, "b"]
+    assert [got["alone", b] for b in range(5)] == ["a"] * 5
+
+
+def test_bindings(spark):
+    order, status = codec.Structural({"id": ("orderId", "bigint"), "note": ("note", "string")}), codec.Nominal({"open": "O", "done": "D"})
+    wires = spark.createDataFrame([('{"orderId":7,"note":"x"}', "O"), ('{"orderId":"no"}', "D"), ("[", "?"), (None, None), ('{"note":null}', "O")], "w string, s string")
+    got = wires.select(order.decode(F.col("w")).alias("o"), status.decode(F.col("s")).alias("s")).collect()
+    assert [r["o"] and tuple(r["o"]) for r in got] == [(7, "x"), None, None, None, (None, None)] and [r["s"] for r in got] == ["open", "done", None, None, "open"]
+    with pytest.raises(ValueError):
+        codec.Nominal({"a": "x", "b": "x"})
