@@ -172,6 +172,31 @@ def begun(outcomes: DataFrame, targets: DataFrame, dedup: DataFrame, checkpoints
     return targets.join(go, "grp", "left_anti"), dedup.join(go, "grp", "left_anti"), reset.withColumn("position", position).drop("_go")
 
 
+def resume(asked: DataFrame, runs: DataFrame, groups: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Whether a run that stopped goes on, or why not, in the order of the checks.
+
+    asked: run; runs: run, grp, status, contract, slice (null for one from before slices were kept); groups: grp, status,
+    active_run, slice; contracts: grp, contract, as the catalog has it now. Only a running or failed run resumes, that
+    its group, still rebuilding, takes for the active one with the slice that the run began with.
+    """
+    now_ = contracts.select("grp", F.col("contract").alias("_now"))
+    state = groups.select("grp", F.col("status").alias("_group"), F.col("active_run").alias("_active"), F.col("slice").alias("_slice"))
+    rows = asked.join(runs.withColumn("_there", F.lit(True)), "run", "left").join(now_, "grp", "left").join(state, "grp", "left")
+    holds = F.col("status").isin("running", "failed") & (F.col("_group") == "rebuilding") & (F.col("_active") == F.col("run")) & (F.col("_slice") == F.col("slice"))
+    outcome = (
+        F.when(F.col("_there").isNull(), "not-found").when(F.col("slice").isNull(), "pre-canonical").when(F.col("_now").isNull(), "group-missing")
+        .when(F.col("_now") != F.col("contract"), "contract-mismatch").when(F.coalesce(holds, F.lit(False)), "resumed").otherwise("not-active")
+    )
+    return rows.select("run", "grp", outcome.alias("outcome"))
+
+
+def remaining(resumed: DataFrame, sources: DataFrame, log: DataFrame) -> DataFrame:
+    """Events that resumed runs have still to replay: of each source (run, category, cursor, captured_head) what lies
+    beyond its cursor, up to the head captured when the run began."""
+    go = sources.join(resumed.filter("outcome = 'resumed'").select("run"), "run", "left_semi").filter("cursor < captured_head")
+    return log.join(go, "category").filter("global_position > cursor and global_position <= captured_head").select("run", "category", "global_position")
+
+
 def rebuild(targets: DataFrame, log: DataFrame, head: int, adapters: list, policy: str) -> DataFrame:
     """Targets (key, value) rebuilt from the events up to a captured head, which is never extended.
 

@@ -221,3 +221,51 @@ def codec_bindings(spark: SparkSession, sf: str) -> DataFrame:
     back = ORDER.decode(F.col("wire"))
     same = ORDER.law(F.col("domain")) & STATUS.law(F.col("status")) & (STATUS.encode(F.col("status")) == F.col("o_orderstatus"))
     return rows.select(back["id"].alias("id"), back["total"].alias("total"), F.coalesce(back["note"], F.lit("")).alias("note"), "wire", "status", same.alias("same"))
+
+
+_RESUMED = """r AS (SELECT c_custkey AS run, CASE WHEN c_custkey % 17 <> 0 THEN c_custkey // 2 END AS grp, (['running', 'failed', 'promoted'])[1 + c_custkey % 3] AS status, c_custkey % 10 = 0 AS drifted, c_custkey % 13 <> 0 AS kept FROM customer WHERE c_custkey % 19 <> 0),
+out AS (SELECT c_custkey AS run, CASE WHEN r.run IS NULL THEN 'not-found' WHEN NOT kept THEN 'pre-canonical' WHEN r.grp IS NULL THEN 'group-missing' WHEN drifted THEN 'contract-mismatch' WHEN r.status = 'promoted' OR c_custkey % 2 = 1 OR (c_custkey // 2) % 7 = 0 THEN 'not-active' ELSE 'resumed' END AS outcome FROM customer LEFT JOIN r ON r.run = c_custkey)"""
+
+
+def _resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A run a customer, two to a group, of which the even one is active."""
+    k = F.col("run")
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("run"))
+    half = F.floor(k / 2)
+    runs = asked.filter(k % 19 != 0).select("run", F.when(k % 17 != 0, half).alias("grp"), one_of(("running", "failed", "promoted"), k % 3).alias("status"), F.when(k % 10 == 0, "old").otherwise("new").alias("contract"), F.when(k % 13 != 0, "s").alias("slice"))
+    all_groups = asked.select(half.alias("grp")).distinct()
+    groups = all_groups.select("grp", F.when(F.col("grp") % 7 == 0, "live").otherwise("rebuilding").alias("status"), (F.col("grp") * 2).alias("active_run"), F.lit("s").alias("slice"))
+    return r.resume(asked, runs, groups, all_groups.select("grp", F.lit("new").alias("contract")))
+
+
+@query(f"WITH {_RESUMED} SELECT run, outcome FROM out")
+def rebuild_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    return _resumed(spark, sf).select("run", "outcome")
+
+
+@query(f"WITH {_RESUMED} SELECT o_custkey AS run, count(*) AS events, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders JOIN out ON run = o_custkey WHERE outcome = 'resumed' AND o_orderkey > run * 3 AND o_orderkey <= run * 40 GROUP BY 1")
+def rebuild_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    """Each run's category is its customer's orders, read up to a cursor and captured up to a head."""
+    o, k = table(spark, sf, "orders"), F.col("c_custkey")
+    sources = table(spark, sf, "customer").select(k.alias("run"), k.alias("category"), (k * 3).alias("cursor"), (k * 40).alias("captured_head"))
+    left = r.remaining(_resumed(spark, sf), sources, o.select(F.col("o_custkey").alias("category"), F.col("o_orderkey").alias("global_position")))
+    return left.groupBy("run").agg(F.count(F.lit(1)).alias("events"), F.min("global_position").alias("first"), F.max("global_position").alias("last"))
+
+
+@query(with_("timers", "inbox") + f""", i AS ({_INST}) SELECT 'due-timers' AS gauge, count(*) AS n FROM timers WHERE status = 'scheduled' AND fire_at <= TIMESTAMP '{NOW}' UNION ALL SELECT 'stuck-timers', count(*) FROM timers WHERE status = 'firing' AND updated_at <= TIMESTAMP '{NOW}' AND attempts >= 3
+UNION ALL SELECT 'outbox-backlog', count(*) FROM orders WHERE NOT (o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderkey % 11 = 0)) UNION ALL SELECT 'inbox-backlog', count(*) FROM inbox WHERE flag <> 'N' UNION ALL SELECT 'pending-awakeables', count(*) FROM i WHERE status = 'suspended'
+UNION ALL SELECT 'active-children', count(*) FROM i WHERE workflow_id % 4 = 1 AND status = 'running' UNION ALL SELECT 'dedup-before', count(*) FROM lineitem WHERE l_suppkey % 4 = 1 AND l_shipdate < TIMESTAMP '{NOW}'""")
+def gauges(spark: SparkSession, sf: str) -> DataFrame:
+    """What an operator watches, each a filter and a count over one scan."""
+    i, t = _instances(spark, sf), lift.timers(spark, sf)
+    watched = {
+        "due-timers": t.filter((F.col("status") == "scheduled") & (F.col("fire_at") <= now())), "stuck-timers": messaging.stuck(t, now(), 3),
+        "outbox-backlog": lift.outbox(spark, sf).filter("status in ('pending', 'failed')"), "inbox-backlog": lift.inbox(spark, sf).filter("flag <> 'N'"),
+        "pending-awakeables": i.filter("status = 'suspended'"), "active-children": i.filter("workflow_id % 4 = 1 and status = 'running'"),
+        "dedup-before": table(spark, sf, "lineitem").filter((F.col("l_suppkey") % 4 == 1) & (F.col("l_shipdate") < now())),
+    }
+    counts = [df.agg(F.lit(name).alias("gauge"), F.count(F.lit(1)).alias("n")) for name, df in watched.items()]
+    out = counts[0]
+    for df in counts[1:]:
+        out = out.unionByName(df)
+    return out
